@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -33,7 +34,6 @@ SHARD = 40_000
 #: Chunks whose ids are remembered.
 MEMO = 600_000
 GROUP_BYTES = 2_000_000
-SPECIAL, SPECIAL_ID = "<|endoftext|>", 49407
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -68,8 +68,13 @@ def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
     return bins, offsets, gaps
 
 
-#: A full stop or comma between a Latin letter and white space: a token of its own, whatever stands before it.
-STOP = re.compile(rb"[.,](?:(?<=[a-z][.,])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][.,]))(?=[ \n])")
+#: ASCII signs but the apostrophe, between a Latin letter and white space: a token run of their own, whatever stands before.
+SIGNS = rb"[!-&(-/:-@\[-`{-~]"
+STOP = re.compile(SIGNS + rb"(?:(?<=[a-z].)|(?<=\xc3[\x9f-\xb6\xb8-\xbf].))" + SIGNS + rb"*(?=[ \n]|\Z)")
+#: A word of lower-case Latin letters: one token run, and left as it is by the normaliser.
+WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+#: How byte-level vocabularies write the bytes that aren't printable in Latin-1.
+WRITTEN = {b: 256 + n for n, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 
 
 def settle(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -91,7 +96,7 @@ class WordTokenizer:
     """Ids by ``tokenizers``; a text's white-space separated chunks have ids of their own, so those of known chunks are kept.
 
     The vocabulary is lower-case: A-Z are lowered beforehand where no combining mark (lead bytes CC, CD) could have
-    composed with one, so that more chunks are known.
+    composed with one, and signs after a word are set off, so that more chunks are known.
     """
 
     def __init__(self, path: str) -> None:
@@ -104,15 +109,12 @@ class WordTokenizer:
         return np.array(self.tool.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _learn(self, fresh: list[bytes]) -> None:
-        plain = [c for c in fresh if b"<|" not in c]
-        for chunk in set(fresh) - set(plain):
-            self.memo[chunk] = self._ids(chunk.decode("utf-8")).tobytes()
-        for start in range(0, len(plain), 20_000):
-            part = plain[start : start + 20_000]
-            ids = self._ids(f" {SPECIAL} ".join(c.decode("utf-8") for c in part))
-            cuts = [-1, *np.flatnonzero(ids == SPECIAL_ID).tolist(), len(ids)]
-            raw = ids.tobytes()
-            self.memo.update((c, raw[4 * (a + 1) : 4 * b]) for c, a, b in zip(part, cuts, cuts[1:], strict=False))
+        run = self.tool.model.tokenize
+        for chunk in fresh:
+            if WORD(chunk):
+                self.memo[chunk] = array("I", [token.id for token in run(chunk.decode("latin-1").translate(WRITTEN))]).tobytes()
+            else:
+                self.memo[chunk] = self._ids(chunk.decode("utf-8")).tobytes()
 
     @staticmethod
     def _chunks(text: bytes) -> list[bytes]:

@@ -1,14 +1,16 @@
 """WARC archives and a two-level capture index.
 
-``write_archive`` sorts captures by a reversed-host key (``com,example)/path`` and the capture's number), deals them out
-by ranges of that key, and writes for each range one archive (every record a gzip member of its own) and beside it
+``write_archive`` writes one archive per partition (every record a gzip member of its own) and returns where each
+capture lies. ``write_index`` sorts these rows by a reversed-host key (``com,example)/path`` and the capture's number),
+deals them out by ranges of that key, and writes for each range
 
 * ``.cdx``: the index lines in key order, in compressed blocks of ``BLOCK`` lines, and
 * ``.idx``: the sparse directory, one line per block with its first key, offset and length.
 
 The table it returns has one row per range: its files, first key and counts. ``read_captures`` looks captures up: a
 binary search over the ranges' first keys, one over the directory of the range found, a range read of that block, a
-binary search in it, and a range read of the record. Queries come in key order, so blocks are read once.
+binary search in it, and a range read of the record. Queries come in key order, so blocks are read once. Payloads cross
+the network once, on their way to the archive; only index rows are sorted.
 
 Files go through ``pyarrow.fs`` to the shared folder, under a temporary name that is renamed at the end: a task that is
 run again, or twice at once, leaves the same file. The table of ranges is saved before anything is read back.
@@ -40,7 +42,8 @@ from cadastra.runtime import Workspace, ship_package
 BLOCK = 500
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
-RANGES = "range int, warc string, cdx string, idx string, first_key string, captures long"
+CAPTURES = "key string, number long, refers_to long, warc string, offset long, length long"
+RANGES = "range int, cdx string, idx string, first_key string, captures long"
 
 
 def surt(url: Column) -> Column:
@@ -107,71 +110,103 @@ def _gz(data: bytes) -> bytes:
     return tool.compress(data) + tool.flush()
 
 
-def write_archive(captures: DataFrame, workspace: Workspace, block: int = BLOCK) -> DataFrame:
+class _Files:
+    """Files of one task under temporary names, which ``commit`` makes final."""
+
+    def __init__(self, root: str, suffixes: list[str]) -> None:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        self.part = context.partitionId()
+        self.store, base = _store(root)
+        self.store.create_dir(base, recursive=True)
+        self.final = {x: f"{base}/part-{self.part:06d}.{x}" for x in suffixes}
+        self.temporary = {x: f"{p}.{context.taskAttemptId()}.tmp" for x, p in self.final.items()}
+        self.streams = {x: self.store.open_output_stream(p) for x, p in self.temporary.items()}
+        self.at = dict.fromkeys(suffixes, 0)
+
+    def write(self, suffix: str, data: bytes) -> tuple[int, int]:
+        self.streams[suffix].write(data)
+        self.at[suffix] += len(data)
+        return self.at[suffix] - len(data), len(data)
+
+    def commit(self) -> None:
+        for x, stream in self.streams.items():
+            stream.close()
+            self.store.move(self.temporary[x], self.final[x])
+
+
+def write_archive(captures: DataFrame, workspace: Workspace) -> DataFrame:
     """``captures``: number long, url, key, payload binary (null for a revisit), size long, digest (hex), refers_to long."""
     spark = captures.sparkSession
     ship_package(spark)
     root = _qualified(spark, workspace.path("archive"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        files: _Files | None = None
+        for batch in batches:
+            offsets, lengths = [], []
+            for row in batch.to_pylist():
+                files = files or _Files(root, ["warc.gz"])
+                digest = base64.b32encode(bytes.fromhex(row["digest"])).decode()
+                offset, length = files.write("warc.gz", _gz(record(row["number"], row["key"], row["url"], row["payload"], row["size"], digest, row["refers_to"])))
+                offsets.append(offset)
+                lengths.append(length)
+            if files:
+                name = pa.array([files.final["warc.gz"]] * len(offsets), pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("number"), batch.column("refers_to"), name, pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], names=["key", "number", "refers_to", "warc", "offset", "length"])
+        if files:
+            files.commit()
 
-        context = TaskContext.get()
-        store, base = _store(root)
-        name, attempt = f"{base}/part-{context.partitionId():06d}", context.taskAttemptId()
-        temporary = {x: f"{name}.{x}.{attempt}.tmp" for x in ("warc.gz", "cdx", "idx")}
-        streams: dict = {}
+    return workspace.save(captures.select("number", "url", "key", "payload", "size", "digest", "refers_to").mapInArrow(run, CAPTURES), "captures")
+
+
+def write_index(captures: DataFrame, workspace: Workspace, block: int = BLOCK) -> DataFrame:
+    """``captures``: what ``write_archive`` returns."""
+    spark = captures.sparkSession
+    root = _qualified(spark, workspace.path("index"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files: _Files | None = None
         lines: list[str] = []
-        directory: list[str] = []
-        at = {"warc.gz": 0, "cdx": 0}
         count, first = 0, ""
 
         def close_block() -> None:
-            packed = _gz("".join(lines).encode())
-            streams["cdx"].write(packed)
-            directory.append(f"{lines[0].split(' {', 1)[0]}\t{at['cdx']}\t{len(packed)}\n")
-            at["cdx"] += len(packed)
+            offset, length = files.write("cdx", _gz("".join(lines).encode()))
+            files.write("idx", f"{lines[0].rsplit(' {', 1)[0]}\t{offset}\t{length}\n".encode())
             lines.clear()
 
         for batch in batches:
             for row in batch.to_pylist():
-                if not streams:
-                    store.create_dir(base, recursive=True)
-                    streams = {x: store.open_output_stream(p) for x, p in temporary.items()}
-                    first = row["key"]
-                digest = base64.b32encode(bytes.fromhex(row["digest"])).decode()
-                packed = _gz(record(row["number"], row["key"], row["url"], row["payload"], row["size"], digest, row["refers_to"]))
-                streams["warc.gz"].write(packed)
-                about = {"n": row["number"], "o": at["warc.gz"], "l": len(packed), "r": row["refers_to"]}
+                if files is None:
+                    files, first = _Files(root, ["cdx", "idx"]), row["key"]
+                about = {"n": row["number"], "r": row["refers_to"], "f": row["warc"], "o": row["offset"], "l": row["length"]}
                 lines.append(f"{row['key']} {json.dumps(about)}\n")
-                at["warc.gz"] += len(packed)
                 count += 1
                 if len(lines) == block:
                     close_block()
-        if streams:
+        if files:
             if lines:
                 close_block()
-            streams["idx"].write("".join(directory).encode())
-            for x, stream in streams.items():
-                stream.close()
-                store.move(temporary[x], f"{name}.{x}")
-            rows = {"range": [context.partitionId()], "warc": [f"{name}.warc.gz"], "cdx": [f"{name}.cdx"], "idx": [f"{name}.idx"], "first_key": [first], "captures": [count]}
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("range", pa.int32()), ("warc", pa.string()), ("cdx", pa.string()), ("idx", pa.string()), ("first_key", pa.string()), ("captures", pa.int64())]))
-
-    wanted = captures.select("number", "url", "key", "payload", "size", "digest", "refers_to")
-    dealt = wanted.repartitionByRange(_partitions(spark), "key").sortWithinPartitions("key")
+            files.commit()
+            yield pa.RecordBatch.from_pydict({"range": [files.part], "cdx": [files.final["cdx"]], "idx": [files.final["idx"]], "first_key": [first], "captures": [count]}, schema=pa.schema([("range", pa.int32()), ("cdx", pa.string()), ("idx", pa.string()), ("first_key", pa.string()), ("captures", pa.int64())]))
+
+    dealt = captures.repartitionByRange(_partitions(spark), "key").sortWithinPartitions("key")
     return workspace.save(dealt.mapInArrow(run, RANGES), "ranges")
 
 
 class IndexReader:
-    """Looks keys up in the ranges of one archive; keeps the directory and block it used last."""
+    """Looks keys up in the ranges of one index; keeps the directory and block it used last, and ``OPEN`` open archives."""
+
+    OPEN = 32
 
-    def __init__(self, root: str, ranges: list[tuple[str, str, str, str]]) -> None:
+    def __init__(self, root: str, ranges: list[tuple[str, str, str]]) -> None:
         self.store, _ = _store(root)
         self.ranges = sorted(ranges)
         self.firsts = [r[0] for r in self.ranges]
         self._directory: tuple[int, list] = (-1, [])
-        self._block: tuple[tuple[int, int], list, list, bytes, int] | None = None
+        self._block: tuple[tuple[int, int], list, list] | None = None
+        self._archives: dict = {}
 
     def _read(self, path: str, offset: int = 0, length: int | None = None) -> bytes:
         with self.store.open_input_file(path) as file:
@@ -179,6 +214,13 @@ class IndexReader:
                 return file.readall()
             return file.read_at(length, offset)
 
+    def _record(self, about: dict) -> bytes:
+        file = self._archives.pop(about["f"], None) or self.store.open_input_file(about["f"])
+        self._archives[about["f"]] = file  # the last one used stands last
+        if len(self._archives) > self.OPEN:
+            self._archives.pop(next(iter(self._archives))).close()
+        return gzip.decompress(file.read_at(about["l"], about["o"]))
+
     def find(self, key: str) -> Iterator[tuple[dict, bytes]]:
         """What the index says of each capture with this key, and its record."""
         number = max(0, bisect_right(self.firsts, key) - 1)
@@ -191,7 +233,7 @@ class IndexReader:
 
     def _in_range(self, number: int, key: str) -> Iterator[tuple[dict, bytes]]:
         if self._directory[0] != number:
-            entries = [line.split("\t") for line in self._read(self.ranges[number][3]).decode().splitlines()]
+            entries = [line.split("\t") for line in self._read(self.ranges[number][2]).decode().splitlines()]
             self._directory = (number, [(first, int(offset), int(length)) for first, offset, length in entries])
         blocks = self._directory[1]
         at = max(0, bisect_right(blocks, key, key=lambda b: b[0]) - 1)
@@ -203,17 +245,13 @@ class IndexReader:
 
     def _in_block(self, number: int, at: int, entry: tuple[str, int, int], key: str) -> Iterator[tuple[dict, bytes]]:
         if self._block is None or self._block[0] != (number, at):
-            text = gzip.decompress(self._read(self.ranges[number][2], entry[1], entry[2])).decode()
+            text = gzip.decompress(self._read(self.ranges[number][1], entry[1], entry[2])).decode()
             pairs = [line.rsplit(" {", 1) for line in text.splitlines()]
-            abouts = [json.loads("{" + about) for _, about in pairs]
-            start, end = abouts[0]["o"], abouts[-1]["o"] + abouts[-1]["l"]
-            # the captures of a block are neighbours in the archive: one range read
-            self._block = ((number, at), [k for k, _ in pairs], abouts, self._read(self.ranges[number][1], start, end - start), start)
-        _, keys, abouts, raw, start = self._block
+            self._block = ((number, at), [k for k, _ in pairs], [json.loads("{" + about) for _, about in pairs])
+        _, keys, abouts = self._block
         place = bisect_right(keys, key) - 1
         while place >= 0 and keys[place] == key:
-            about = abouts[place]
-            yield about, gzip.decompress(raw[about["o"] - start : about["o"] - start + about["l"]])
+            yield abouts[place], self._record(abouts[place])
             place -= 1
 
 
@@ -223,8 +261,8 @@ def read_captures(queries: DataFrame, ranges: DataFrame, workspace: Workspace) -
     The driver holds one short row for each range, that is, for each partition of the archive.
     """
     spark = queries.sparkSession
-    root = _qualified(spark, workspace.path("archive"))
-    known = [tuple(r) for r in ranges.select("first_key", "warc", "cdx", "idx").collect()]
+    root = _qualified(spark, workspace.path("index"))
+    known = [tuple(r) for r in ranges.select("first_key", "cdx", "idx").collect()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = IndexReader(root, known)
@@ -259,7 +297,7 @@ def plan_captures(pages: DataFrame, number: str = "page_id", url: str = "url", p
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     workspace = Workspace(spark, "warc")
-    ranges = write_archive(plan_captures(pages), workspace)
+    ranges = write_index(write_archive(plan_captures(pages), workspace), workspace)
     queries = pages.select(capture_key(F.col("url"), F.col("page_id")).alias("key"))
     return read_captures(queries, ranges, workspace).withColumnRenamed("number", "page_id")
 

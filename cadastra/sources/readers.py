@@ -36,7 +36,7 @@ def read_documents(spark: SparkSession, runs: str) -> DataFrame:
     A document that isn't JSON has nulls and its text in ``broken``: one bad file doesn't stop a run.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.v1.json").load(runs)
-    text = F.regexp_replace(F.decode(F.col("content"), F.lit("UTF-8")), "^\\uFEFF", "")
+    text = F.regexp_replace(F.decode(F.col("content"), "UTF-8"), "^\\uFEFF", "")
     rows = files.select(F.regexp_extract("path", r"/(run_[^/]*)/", 1).alias("run_id"), F.col("path"), text.alias("raw"))
     parsed = rows.withColumn("doc", F.from_json("raw", f"{V1}, broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}))
     return parsed.select("run_id", "path", "doc.*").withColumn("broken", F.when(F.col("project_details").isNull(), F.coalesce("broken", F.lit("no project_details"))))

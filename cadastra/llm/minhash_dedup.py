@@ -3,12 +3,12 @@
 A document's set is that of its shingles of ``width`` words. Equal sets are one node. A node's registers are banded
 (``BANDS`` bands of ``ROWS`` registers: a pair of similarity 0.8 shares no band with a probability of 1.3e-7), and
 
-1. every node of a bucket is held against the bucket's smallest id: first by the collision-corrected estimate, then on
-   the full sets; links make components;
+1. every node of a bucket is held against the bucket's most central one, whose buckets hold the most nodes: first by
+   the collision-corrected estimate, then on the full sets; links make components;
 2. buckets that still hold more than one component are gone through again, against a member drawn by a hash;
-3. of what is left, every pair of nodes of a bucket that are in different components is verified, but for pairs that
-   the distances to the bucket's smallest id rule out (1 - Jaccard is a metric, so d(x, y) >= |d(x, l) - d(y, l)|). A
-   pair is taken in the first band that it shares.
+3. of what is left, every pair of nodes of a bucket that are in different components is compared exactly inside the
+   join, by how both differ from the bucket's centre; only links come out. Nodes that differ too much from the centre
+   for that are compared by their texts, unless distances to it (1 - Jaccard is a metric) or registers rule the pair out.
 
 So no two nodes that share a band and belong together stay apart, and members of one group are not paired with one
 another once they are known to be connected. The estimate only drops pairs 5 standard deviations below the threshold.
@@ -32,6 +32,8 @@ from cadastra.llm.shingles import HyperMinHash, Words, common, digest, estimate,
 from cadastra.runtime import Workspace, ship_package
 
 BANDS, ROWS = 40, 5
+#: From this similarity on, a node is also known by how it differs from its bucket's centre.
+TELL = 0.4
 #: Ids of up to this many documents are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 WORDS = Words()
@@ -58,8 +60,14 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, registers binary")
 
 
-def _estimated(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """``pairs`` (a, b) whose estimate isn't clearly below the threshold."""
+def least_estimate(percent: int) -> float:
+    """Five standard deviations below the threshold."""
+    share = percent / 100
+    return share - 5 * (share * (1 - share) / (BANDS * ROWS)) ** 0.5
+
+
+def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b, estimate."""
     left = nodes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
     right = nodes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
 
@@ -68,31 +76,39 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(batch.num_rows, -1) for c in ("ra", "rb"))
-            similar = estimate(ra, rb, batch.column("na").to_numpy().astype(float), batch.column("nb").to_numpy().astype(float)) >= least
-            yield batch.select(["a", "b"]).filter(pa.array(similar))
+            similar = estimate(ra, rb, batch.column("na").to_numpy().astype(float), batch.column("nb").to_numpy().astype(float))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(similar, pa.float64())], names=["a", "b", "estimate"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long").distinct()
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long, estimate double")
+    return found.groupBy("a", "b").agg(F.max("estimate").alias("estimate"))  # an id may have several texts
 
 
 def _similarities(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """a, b, common, total (sizes of intersection and union) of the full sets. The b of many pairs is parsed once in a row."""
+    """a, b, common, total (sizes of intersection and union) of the full sets; and, if they share ``TELL`` or more, what a lacks of b and has beside it.
+
+    The b of many pairs is parsed once in a row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes, np.ndarray] | None = None
+        longs = pa.list_(pa.int64())
         for batch in batches:
-            shared, total = [], []
+            shared, total, lost, own = [], [], [], []
             for mine, theirs in zip(batch.column("ta"), batch.column("tb"), strict=True):
                 raw = theirs.as_py()
                 if last is None or last[0] != raw:
                     last = raw, shingle_set(WORDS.hashes(raw), width)
-                own = shingle_set(WORDS.hashes(mine.as_py()), width)
-                shared.append(common(own, last[1]))
-                total.append(len(own) + len(last[1]) - shared[-1])
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "common", "total"])
+                a, b = shingle_set(WORDS.hashes(mine.as_py()), width), last[1]
+                shared.append(common(a, b))
+                total.append(len(a) + len(b) - shared[-1])
+                near = shared[-1] >= TELL * total[-1] > 0
+                lost.append(np.setdiff1d(b, a, assume_unique=True).view(np.int64) if near else None)
+                own.append(np.setdiff1d(a, b, assume_unique=True).view(np.int64) if near else None)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(total, pa.int64()), pa.array(lost, longs), pa.array(own, longs)], names=["a", "b", "common", "total", "lost", "own"])
 
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, common long, total long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, common long, total long, lost array<long>, own array<long>")
 
 
 class _Run:
@@ -107,13 +123,13 @@ class _Run:
         texts = self.docs.join(F.broadcast(ids) if small else ids, "doc_id").distinct()
         return self.workspace.save(texts, f"{name}-texts")
 
-    def verify(self, pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
-        share = self.percent / 100
-        least = share - 5 * (share * (1 - share) / (BANDS * ROWS)) ** 0.5
-        likely = self.workspace.save(_estimated(pairs, nodes, least), f"{name}-likely")
+    def verify(self, pairs: DataFrame, nodes: DataFrame, name: str, least: float) -> tuple[DataFrame, DataFrame]:
+        """Estimates of all pairs, and similarities of those whose estimate is ``least`` or more."""
+        estimates = self.workspace.save(_estimated(pairs, nodes), f"{name}-estimates")
+        likely = estimates.where(F.col("estimate") >= least).select("a", "b")
         found = self.workspace.save(_similarities(likely, self.pick(likely, name), self.width), f"{name}-found")
-        self.workspace.drop(f"{name}-texts", f"{name}-ids", f"{name}-likely")
-        return found
+        self.workspace.drop(f"{name}-texts", f"{name}-ids")
+        return estimates, found
 
 
 def near_duplicates(docs: DataFrame, workspace: Workspace, width: int = 2, percent: int = 80) -> DataFrame:
@@ -129,11 +145,16 @@ def near_duplicates(docs: DataFrame, workspace: Workspace, width: int = 2, perce
 
     banded = nodes.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("registers"), b * (2 * ROWS) + 1, F.lit(2 * ROWS))))).alias("band", "key"))
     banded = workspace.save(banded, "bands")
-    crowded = banded.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("most")).where("lead < most").select("key", "lead")
-    buckets = workspace.save(banded.join(crowded, "key").select("key", "band", "id", "lead"), "buckets")
+    crowded = banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("key", "size")
+    shared = workspace.save(banded.join(crowded, "key").select("key", "band", "id", "size"), "shared")
     workspace.drop("bands")
+    central = shared.groupBy("id").agg(F.sum("size").alias("weight"))
+    weighed = shared.join(central, "id")
+    leads = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("x")).select("key", (-F.col("x.minus")).alias("lead"))
+    buckets = workspace.save(shared.join(leads, "key").select("key", "band", "id", "lead"), "buckets")
+    workspace.drop("shared")
 
-    first = run.verify(buckets.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct(), nodes, "first")
+    guessed, first = run.verify(buckets.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct(), nodes, "first", TELL - 5 * (0.25 / (BANDS * ROWS)) ** 0.5)
     links = linked(first)
     components = connected_components(links, workspace, "c1")
 
@@ -151,28 +172,36 @@ def near_duplicates(docs: DataFrame, workspace: Workspace, width: int = 2, perce
     drawn = open_rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id").alias("draw"), F.col("id").alias("other"), F.col("c").alias("oc"))).alias("x")).select("key", "x.other", "x.oc")
     pairs = open_rows.join(drawn, "key").where("c <> oc").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
     tested = first.select("a", "b").union(first.select("b", "a"))
-    second = run.verify(pairs.join(tested, ["a", "b"], "left_anti"), nodes, "second")
+    _, second = run.verify(pairs.join(tested, ["a", "b"], "left_anti"), nodes, "second", least_estimate(percent))
     links = workspace.save(links.union(linked(second)), "links2")
     components = connected_components(links, workspace, "c2")
 
-    # the rest: pairs across components that no bound rules out
-    distance = first.select(F.col("a").alias("id"), F.col("b").alias("lead"), (1 - F.col("common") / F.col("total")).alias("d"))
-    rest = unsettled(labelled(open_rows.drop("c"))).join(distance, ["id", "lead"], "left").withColumn("d", F.when(F.col("id") == F.col("lead"), F.lit(0.0)).otherwise(F.col("d")))
-    rest = workspace.save(rest.join(nodes.select("id", "n", "registers"), "id"), "open2")
-    x, y = (rest.select("key", "band", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "c", "d", "n", "registers"))) for s in "xy")
-    earlier = lambda b: F.substring(F.col("registers_x"), b * (2 * ROWS) + 1, F.lit(2 * ROWS)) == F.substring(F.col("registers_y"), b * (2 * ROWS) + 1, F.lit(2 * ROWS))
-    apart = (100 - percent) / 100 + 1e-9
-    near = x.join(y.drop("band"), "key").where(
-        (F.col("id_x") < F.col("id_y")) & (F.col("c_x") != F.col("c_y"))
-        & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent)
-        & F.coalesce(F.abs(F.col("d_x") - F.col("d_y")) <= apart, F.lit(True))
-        & ((F.col("band") == 0) | ~F.exists(F.sequence(F.lit(0), F.col("band") - 1), earlier))
-    )
-    pairs = near.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
+    # the rest: pairs across components. A node is its bucket's centre b without what it lost, with what is its own, so
+    # |x and y| = |b| - |lost x| - |lost y| + |lost by both| + |own of both|: exact, without the texts
+    told = first.groupBy(F.col("a").alias("id"), F.col("b").alias("lead")).agg(F.count(F.lit(1)).alias("times"), F.first("lost").alias("lost"), F.first("own").alias("own"), F.min(1 - F.col("common") / F.col("total")).alias("d"))
+    rough = guessed.select(F.col("a").alias("id"), F.col("b").alias("lead"), (1 - F.col("estimate")).alias("r"))
+    away = rough.join(told, ["id", "lead"], "left").select("id", "lead", *(F.when(F.col("times") == 1, F.col(c)).alias(c) for c in ("lost", "own")), F.coalesce("d", "r").alias("d"), F.when(F.col("d").isNull(), 2.5 / (BANDS * ROWS) ** 0.5).otherwise(0.0).alias("doubt"))
+    sizes = nodes.groupBy("id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("texts"))
+    rest = unsettled(labelled(open_rows.drop("c"))).join(away, ["id", "lead"], "left").join(sizes, "id").join(sizes.select(F.col("id").alias("lead"), F.col("n").alias("nb"), F.col("texts").alias("lead_texts")), "lead")
+    centre, single, none = F.col("id") == F.col("lead"), (F.col("texts") == 1) & (F.col("lead_texts") == 1), F.array().cast("array<long>")
+    rest = rest.withColumns({c: F.when(single, F.when(centre, none).otherwise(F.col(c))) for c in ("lost", "own")} | {"d": F.when(centre, 0.0).otherwise(F.col("d")), "doubt": F.coalesce("doubt", F.lit(0.0))})
+    rest = workspace.save(rest.select("key", "id", "c", "n", "nb", "lost", "own", "d", "doubt"), "open2")
+    x, y = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in rest.columns if c != "key")) for s in "xy")
+    apart = (F.col("c_x") != F.col("c_y")) & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent)
+    enough = lambda both: both * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent
+    size = lambda c: F.size(f"{c}_x") + F.size(f"{c}_y")
+    most = F.col("nb_x") - F.greatest(F.size("lost_x"), F.size("lost_y")) + F.least(F.size("own_x"), F.size("own_y"))
+    shared_size = F.col("nb_x") - size("lost") + F.size(F.array_intersect("lost_x", "lost_y")) + F.size(F.array_intersect("own_x", "own_y"))
+    exact = x.where("lost_x IS NOT NULL").join(y.where("lost_y IS NOT NULL"), "key").where((F.col("id_x") < F.col("id_y")) & apart & enough(most) & enough(shared_size))
+    # nodes that differ much from their centre, or whose id has several texts, are compared by their texts
+    bound = F.coalesce(F.abs(F.col("d_x") - F.col("d_y")) - F.col("doubt_x") - F.col("doubt_y") <= (100 - percent) / 100 + 1e-9, F.lit(True))
+    far = x.where("lost_x IS NULL").join(y, "key").where((F.col("id_x") != F.col("id_y")) & (F.col("lost_y").isNotNull() | (F.col("id_x") < F.col("id_y"))) & apart & bound)
+    pairs = far.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
     tested = first.select("a", "b").union(second.select("a", "b"))
     tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    third = run.verify(pairs.join(tested, ["a", "b"], "left_anti"), nodes, "third")
-    components = connected_components(links.union(linked(third)), workspace, "c3")
+    _, third = run.verify(pairs.join(tested, ["a", "b"], "left_anti"), nodes, "third", least_estimate(percent))
+    across = workspace.save(exact.select(F.col("id_x").alias("src"), F.col("id_y").alias("dst")).distinct(), "across")
+    components = connected_components(links.union(linked(third)).union(across), workspace, "c3")
 
     named = nodes.select("d1", "d2", F.col("id").alias("node")).join(components, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("c"))
     out = rows.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")

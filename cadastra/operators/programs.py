@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadastra.functions.documents import leaves, linked_data, map_pages, title_case
 from cadastra.functions.html import extract_pages
 from cadastra.operators.models import impute, outliers
 from cadastra.runtime import Workspace, shared_dir
@@ -63,6 +64,25 @@ def htm01_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def htm08_map_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return map_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html")
+
+
+def nst13_json_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaves(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id", "props")
+
+
+def nst16_linked_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    point = lambda f, n: F.when(F.col("o_orderkey") % 13 != 0, F.col("o_orderkey") * f % n / 1000)
+    projects = orders.select(F.col("o_orderkey").alias("project_id"), F.concat(F.lit("Project "), "o_orderkey").alias("project_name"), F.concat(F.lit("RG"), "o_orderkey").alias("reg_no"), point(37, 7000).alias("lat"), point(91, 4000).alias("lon"), F.col("o_totalprice").alias("total_price"))
+    return linked_data(projects)
+
+
+def str02_title_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", title_case(F.concat_ws("-", F.upper("p_name"), "p_type")).alias("title"))
+
+
 def ml02_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity > 0 AND l_extendedprice > 0")
     rows = lines.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("area"), F.col("l_extendedprice").alias("price"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("rate"))
@@ -75,9 +95,12 @@ def ml03_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impute(rows, ["units"], ["price", "discount"]).select("l_orderkey", "l_linenumber", "units", "units_imputed")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (stm01_rate_limit, stm01_rate_limit_stream, stm04_usage_windows, stm05_first_seen_stream, stm_sessions, htm01_extract, ml02_outliers, ml03_impute)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (stm01_rate_limit, stm01_rate_limit_stream, stm04_usage_windows, stm05_first_seen_stream, stm_sessions, htm01_extract, htm08_map_pages, nst13_json_leaves, nst16_linked_data, str02_title_case, ml02_outliers, ml03_impute)}
 _USAGE = "SELECT event_id, user_id AS client, event_type AS endpoint, value AS ms, CASE WHEN event_id % 9 = 0 THEN 500 WHEN event_id % 7 = 0 THEN 404 ELSE 200 END AS status_code, ts FROM events"
 ORACLE_SQL = {
+    "nst13_json_leaves": "SELECT event_id, 'k' AS path, json_extract_string(props, '$.k') AS value FROM events",
+    "str02_title_case": """
+        SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(lower(upper(p_name) || '-' || p_type), '([a-z]+|[^a-z]+)', 1), lambda w: upper(w[1]) || substr(w, 2)), '') AS title FROM part""",
     "stm04_usage_windows": f"SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, endpoint, count(*) AS requests, count(CASE WHEN status_code >= 400 THEN 1 END) AS errors, round(avg(ms), 4) AS avg_ms FROM ({_USAGE}) u GROUP BY 1, 2",
     "stm05_first_seen_stream": "SELECT DISTINCT event_id, user_id AS client FROM events",
     "stm_sessions": f"""

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,26 @@ class Logistic:
         return 1 / (1 + np.exp(-np.clip(z @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
+FOLDS = 3
+
+
+def cross_fitted(texts: dict[int, list[bytes]], build: Callable[[dict[int, list[bytes]]], Any], folds: int = FOLDS) -> tuple[Any, Logistic | None]:
+    """The model built on all texts, and the curve fitted to features of texts that were left out in turn.
+
+    ``build(texts)`` makes a model with ``features()``. Without ``folds`` texts of either class there is no curve.
+    """
+    if min(len(v) for v in texts.values()) < folds:
+        return None, None
+    x, y = [], []
+    for fold in range(folds):
+        of = build({k: [t for i, t in enumerate(v) if i % folds != fold] for k, v in texts.items()}).features()
+        for value in (1, 0):
+            left = texts[value][fold::folds]
+            x += [of(t) for t in left]
+            y += [float(value)] * len(left)
+    return build(texts), Logistic.fit(np.array(x), np.array(y))
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 

@@ -2,10 +2,10 @@
 
 One zstandard dictionary is trained on good labelled text and one on bad. A text is compressed window by window with
 either; the difference of the sizes, taken over the text's length and over the larger size, and the size itself become
-P(good) by a logistic curve that was calibrated on labelled texts which neither dictionary has seen.
+P(good) by a logistic curve that was calibrated on labelled texts left out of the dictionaries in turn.
 
 Defined results: null and empty texts get the score of the empty text; repeated rows score alike; labels, language,
-source and id are no inputs. Where a class has no labelled text, every score is 0.5. Extra columns pass through
+source and id are no inputs. Where a class has fewer than three labelled texts, every score is 0.5. Extra columns pass through
 ``score_quality``; an empty table gives an empty result.
 """
 
@@ -19,7 +19,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.llm.compression import THRESHOLD, Logistic, held_out, score_table, trained_compressor, training_texts, windows
+from cadastra.llm.compression import THRESHOLD, Logistic, cross_fitted, held_out, score_table, trained_compressor, training_texts, windows
 
 DICTIONARY, WINDOW, LEVEL = 110_000, 256, 9
 FOLDS, HELD_OUT = 4, 2
@@ -50,23 +50,20 @@ class QualityModel:
         return lambda text: float(curve(features(text)))
 
     @staticmethod
-    def fit(texts: dict[int, list[bytes]]) -> QualityModel:
-        first = {k: v[: (3 * len(v) + 4) // 5] for k, v in texts.items()}
-        rest = {k: v[len(first[k]) :] for k, v in texts.items()}
-        if not all(first.values()) or not all(rest.values()):
-            return QualityModel(b"", b"", None)
+    def build(texts: dict[int, list[bytes]]) -> QualityModel:
         made = []
         for value in (1, 0):
-            samples = [w for t in first[value] for w in windows(t, WINDOW)[:: max(1, len(t) // (20 * WINDOW))]]
+            samples = [w for t in texts[value] for w in windows(t, WINDOW)[:: max(1, len(t) // (20 * WINDOW))]]
             try:
                 made.append(zs.train_dictionary(min(DICTIONARY, max(1024, sum(map(len, samples)) // 8)), samples).as_bytes())
             except zs.ZstdError:  # too few samples to train on: their text itself is the dictionary
                 made.append(b"\n".join(samples)[-DICTIONARY:])
-        model = QualityModel(made[0], made[1], None)
-        features = model.features()
-        x = np.array([features(t) for value in (1, 0) for t in rest[value]])
-        y = np.array([1.0] * len(rest[1]) + [0.0] * len(rest[0]))
-        return QualityModel(made[0], made[1], Logistic.fit(x, y))
+        return QualityModel(made[0], made[1], None)
+
+    @staticmethod
+    def fit(texts: dict[int, list[bytes]]) -> QualityModel:
+        model, curve = cross_fitted(texts, QualityModel.build)
+        return QualityModel(model.good, model.bad, curve) if model else QualityModel(b"", b"", None)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, keep: list[str] | None = None) -> DataFrame:

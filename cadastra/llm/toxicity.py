@@ -1,12 +1,12 @@
 """Compression-distance classifier for toxicity.
 
-The ordinary dictionary holds the words of ordinary labelled text, the toxic one the same and, last, the words that
-toxic text has far more often. How often counts distinct neighbours, not occurrences, so that copies of one text don't
+The ordinary dictionary holds the words of ordinary labelled text, the toxic one the same and, last, the words and stems
+that toxic text has far more often. How often counts distinct neighbours, not occurrences, so that copies of one text don't
 weigh. A text is compressed window by window with either; the bytes that the toxic dictionary saves, at most and in
-all, become P(toxic) by a logistic curve calibrated on labelled texts that neither dictionary has seen.
+all, become P(toxic) by a logistic curve calibrated on labelled texts left out of the dictionaries in turn.
 
 Defined results: null and empty texts get the score of the empty text; repeated rows score alike; labels, language,
-source and id are no inputs. Where a class has no labelled text, every score is 0.5. Extra columns pass through;
+source and id are no inputs. Where a class has fewer than three labelled texts, every score is 0.5. Extra columns pass through;
 an empty table gives an empty result.
 """
 
@@ -22,11 +22,11 @@ import zstandard as zs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.llm.compression import THRESHOLD, Logistic, held_out, raw_compressor, score_table, training_texts, windows
+from cadastra.llm.compression import THRESHOLD, Logistic, cross_fitted, held_out, raw_compressor, score_table, training_texts, windows
 
 ORDINARY, TOXIC, WINDOW = 16_000, 8_000, 40
-#: A toxic word has this share of toxic texts as distinct neighbourhoods, and this many times the ordinary rate.
-LEAST_SHARE, RATIO = 1 / 80, 8
+#: A toxic word has this share of toxic texts as distinct neighbourhoods, and this many times the ordinary rate; a stem, twice the share.
+LEAST, LEAST_SHARE, RATIO, STEM_RATIO = 5, 1 / 40, 20, 50
 HOW = {"min_match": 5, "strategy": zs.STRATEGY_BTOPT, "hash_log": 15, "chain_log": 15, "search_log": 5, "window_log": 16}
 FOLDS, HELD_OUT = 3, 1
 NOT_WORD = re.compile(rb"[^0-9a-z\x80-\xff]+")
@@ -46,8 +46,14 @@ def neighbourhoods(texts: list[bytes]) -> dict[bytes, int]:
     return {word: len(pairs) for word, pairs in seen.items()}
 
 
-def _joined(words: list[tuple[int, bytes]]) -> bytes:
-    return b" " + b" ".join(w for _, w in words) + b" "
+def stems(words: dict[bytes, int]) -> dict[bytes, int]:
+    """Neighbourhoods of the words that begin with the same 4 to 7 letters, and go on."""
+    out: dict[bytes, int] = defaultdict(int)
+    for word, n in words.items():
+        letters = word.decode()
+        for size in range(4, min(8, len(letters))):
+            out[letters[:size].encode()] += n
+    return out
 
 
 @dataclass(frozen=True)
@@ -74,21 +80,24 @@ class ToxicityModel:
         return lambda text: float(curve(features(text)))
 
     @staticmethod
-    def fit(texts: dict[int, list[bytes]]) -> ToxicityModel:
-        first = {k: v[: (3 * len(v) + 4) // 5] for k, v in texts.items()}
-        rest = {k: v[len(first[k]) :] for k, v in texts.items()}
-        if not all(first.values()) or not all(rest.values()):
-            return ToxicityModel(b"", b"", None)
-        toxic, plain = neighbourhoods(first[1]), neighbourhoods(first[0])
+    def build(texts: dict[int, list[bytes]]) -> ToxicityModel:
+        toxic, plain = neighbourhoods(texts[1]), neighbourhoods(texts[0])
         toxic_all, plain_all = sum(toxic.values()) + 1, sum(plain.values()) + 1
-        least = max(3, round(len(first[1]) * LEAST_SHARE))
-        marked = sorted((n, w) for w, n in toxic.items() if n >= least and n / toxic_all > RATIO * (plain.get(w, 0) + 0.5) / plain_all)
+        least = max(LEAST, round(len(texts[1]) * LEAST_SHARE))
+
+        def marks(counts: dict[bytes, int], others: dict[bytes, int], count: int, ratio: float) -> list[tuple[int, bytes]]:
+            return [(n, w) for w, n in counts.items() if n >= count and n / toxic_all > ratio * (others.get(w, 0) + 0.5) / plain_all]
+
+        words = [(n, b" " + w + b" ") for n, w in marks(toxic, plain, least, RATIO)]
+        begun = [(n, b" " + w) for n, w in marks(stems(toxic), stems(plain), 2 * least, STEM_RATIO)]
         common = sorted((n, w) for w, n in plain.items())[-6000:]
-        model = ToxicityModel(_joined(common)[-ORDINARY:], _joined(marked)[-TOXIC:], None)
-        features = model.features()
-        x = np.array([features(t) for value in (1, 0) for t in rest[value]])
-        y = np.array([1.0] * len(rest[1]) + [0.0] * len(rest[0]))
-        return ToxicityModel(model.ordinary, model.toxic, Logistic.fit(x, y))
+        ordinary = b" " + b" ".join(w for _, w in common) + b" "
+        return ToxicityModel(ordinary[-ORDINARY:], b"".join(w for _, w in sorted(words + begun))[-TOXIC:], None)
+
+    @staticmethod
+    def fit(texts: dict[int, list[bytes]]) -> ToxicityModel:
+        model, curve = cross_fitted(texts, ToxicityModel.build)
+        return ToxicityModel(model.ordinary, model.toxic, curve) if model else ToxicityModel(b"", b"", None)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None) -> DataFrame:

@@ -90,7 +90,7 @@ OPERATORS = [
     Operator("agg28_usage_summary", ("AGG28", "STM04"), lambda d: f"""
         SELECT tier, endpoint, {d.hour('ts')} AS hour, count(*) AS requests, round(avg(ms), 6) AS avg_ms, count(CASE WHEN status_code >= 400 THEN 1 END) AS errors,
                round(count(CASE WHEN status_code >= 400 THEN 1 END) * 1.0e0 / count(*), 4) AS error_rate FROM {{usage}} GROUP BY tier, endpoint, {d.hour('ts')}"""),
-    Operator("agg29_merge_report", ("AGG29",), lambda d: f"SELECT count(*) AS merged, count(CASE WHEN score_status <> 'ok' THEN 1 END) AS for_review, {d.listagg('CASE WHEN overall_score IS NULL AND project_id < 200 THEN CAST(project_id AS VARCHAR(20)) END', 'project_id')} AS failed FROM {{scores}}"),
+    Operator("agg29_merge_report", ("AGG29",), lambda d: f"SELECT count(*) AS merged, count(CASE WHEN score_status <> 'ok' THEN 1 END) AS for_review, count(CASE WHEN overall_score IS NULL THEN 1 END) AS failed, min(CASE WHEN overall_score IS NULL THEN project_id END) AS first_failed FROM {{scores}}"),
     Operator("agg30_run_counters", ("AGG30", "Q15"), lambda d: f"SELECT {d.trunc('month', 'snapshot_date')} AS run_id, count(*) AS snapshots, count(DISTINCT project_id) AS projects, count(min_price) AS priced FROM {{snapshots}} GROUP BY {d.trunc('month', 'snapshot_date')}"),
     Operator("agg31_missing_inputs", ("AGG31",), lambda d: """
         SELECT missing, count(*) AS n FROM (SELECT 'amenity' AS missing FROM {scores} WHERE amenity_score IS NULL UNION ALL SELECT 'overall' FROM {scores} WHERE overall_score IS NULL) t GROUP BY missing"""),

@@ -29,16 +29,16 @@ SEARCH = """
 OPERATORS = [
     Operator("jn01_read_model", ("JN01", "WIN01", "WIN02", "WIN03", "WIN04", "AGG05", "AGG06"), lambda d: READ_MODEL),
     Operator("search_budget_topk", ("P0", "AGG07", "SRT01", "SRT02", "FLT04", "FLT10"), lambda d: SEARCH),
-    Operator("dml01_upsert_replace", ("DML01", "SNK05"), lambda d: first_row("(SELECT project_id, project_name AS name, 0 AS version FROM {projects} UNION ALL SELECT project_id, upper(project_name), 1 FROM {projects} WHERE project_id % 3 = 0) u", "project_id", "version DESC", "project_id, name")),
-    Operator("dml02_insert_ignore", ("DML02",), lambda d: "SELECT client, endpoint FROM (SELECT DISTINCT client, endpoint FROM {usage} WHERE event_id % 2 = 0) a UNION ALL SELECT n.client, n.endpoint FROM (SELECT DISTINCT client, endpoint FROM {usage} WHERE event_id % 2 = 1) n WHERE NOT EXISTS (SELECT 1 FROM {usage} o WHERE o.event_id % 2 = 0 AND o.client = n.client AND o.endpoint = n.endpoint)"),
-    Operator("dml05_poi_upsert", ("DML05", "SRC10", "SRC11"), lambda d: "SELECT coalesce(o.poi_id, n.poi_id) AS poi_id, greatest(o.radius, n.radius) AS radius, CASE WHEN n.poi_id IS NULL THEN 'kept' WHEN o.poi_id IS NULL THEN 'new' ELSE 'touched' END AS outcome FROM (SELECT poi_id, 3 AS radius FROM {poi} WHERE poi_id % 2 = 0) o FULL OUTER JOIN (SELECT poi_id, poi_id % 7 AS radius FROM {poi} WHERE poi_id % 3 = 0) n ON n.poi_id = o.poi_id"),
+    Operator("dml01_upsert_replace", ("DML01", "SNK05"), lambda d: first_row("(SELECT project_id, project_name AS name, 0 AS version FROM {projects} UNION ALL SELECT project_id, upper(project_name), 1 FROM {projects} WHERE status = 'F') u", "project_id", "version DESC", "project_id, name")),
+    Operator("dml02_insert_ignore", ("DML02",), lambda d: "SELECT client, endpoint FROM (SELECT DISTINCT client, endpoint FROM {usage} WHERE tier <> 'internal') a UNION ALL SELECT n.client, n.endpoint FROM (SELECT DISTINCT client, endpoint FROM {usage} WHERE tier = 'internal') n WHERE NOT EXISTS (SELECT 1 FROM {usage} o WHERE o.tier <> 'internal' AND o.client = n.client AND o.endpoint = n.endpoint)"),
+    Operator("dml05_poi_upsert", ("DML05", "SRC10", "SRC11"), lambda d: "SELECT coalesce(o.poi_id, n.poi_id) AS poi_id, greatest(o.radius, n.radius) AS radius, CASE WHEN n.poi_id IS NULL THEN 'kept' WHEN o.poi_id IS NULL THEN 'new' ELSE 'touched' END AS outcome FROM (SELECT poi_id, 3 AS radius FROM {poi} WHERE lat < 21) o FULL OUTER JOIN (SELECT poi_id, poi_id % 7 AS radius FROM {poi} WHERE lon < 82) n ON n.poi_id = o.poi_id"),
     Operator("dml06_skip_scored", ("DML06", "DML07"), lambda d: "SELECT p.project_id FROM {projects} p WHERE NOT EXISTS (SELECT 1 FROM {scores} s WHERE s.project_id = p.project_id)"),
     Operator("dml08_geocode_states", ("DML08",), lambda d: "SELECT CASE WHEN lat IS NULL AND parent_id IS NULL THEN 'FAILED' WHEN lat IS NULL THEN 'PENDING' ELSE 'SUCCESS' END AS geo_status, count(*) AS n FROM {projects} GROUP BY 1"),
     Operator("dml09_changed_locations", ("DML09",), lambda d: "SELECT p.project_id, l.lat, l.lon FROM {projects} p JOIN (SELECT project_id, max_by(lat, location_id) AS lat, max_by(lon, location_id) AS lon FROM {locations} WHERE is_active GROUP BY project_id) l ON l.project_id = p.project_id WHERE p.lat IS DISTINCT FROM l.lat OR p.lon IS DISTINCT FROM l.lon"),
-    Operator("dml10_run_audit", ("DML10", "Q14"), lambda d: f"SELECT run_id, max_by(state, step) AS state, count(*) AS entries FROM (SELECT client AS run_id, 0 AS step, 'started' AS state FROM {{usage}} WHERE endpoint = 'signup' UNION ALL SELECT client, 1, CASE WHEN status_code >= 500 THEN 'failed' ELSE 'finished' END FROM {{usage}} WHERE event_id % 40 = 0) a GROUP BY run_id HAVING count(DISTINCT CASE WHEN step = 1 THEN state END) < 2"),
+    Operator("dml10_run_audit", ("DML10", "Q14"), lambda d: "SELECT run_id, CASE max(step) WHEN 0 THEN 'started' WHEN 1 THEN 'finished' ELSE 'failed' END AS state, count(*) AS entries FROM (SELECT client AS run_id, 0 AS step FROM {usage} WHERE endpoint = 'signup' UNION ALL SELECT client, CASE WHEN status_code >= 500 THEN 2 ELSE 1 END FROM {usage} WHERE endpoint IN ('purchase', 'error')) a GROUP BY run_id"),
     Operator("dml11_retry_counts", ("DML11",), lambda d: "SELECT project_id, CAST(sum(CASE WHEN status = 'failed' THEN retry_count + 1 ELSE retry_count END) AS BIGINT) AS retries, count(CASE WHEN status = 'done' THEN 1 END) AS done FROM {downloads} GROUP BY project_id"),
-    Operator("dml12_price_csv_upsert", ("DML12", "SRC05"), lambda d: first_row("(SELECT project_id, snapshot_date, label, max_price, 0 AS version, snapshot_id FROM {snapshots} WHERE is_active UNION ALL SELECT project_id, snapshot_date, label, max_price * 2, 1, snapshot_id FROM {snapshots} WHERE is_active AND project_id % 5 = 0) u", "project_id, snapshot_date, label", "version DESC, snapshot_id DESC", "project_id, snapshot_date, label, max_price")),
-    Operator("dml14_exact_else_ilike", ("DML14",), lambda d: "SELECT f.filing_id, coalesce(e.project_id, p.project_id) AS project_id FROM {filings} f LEFT JOIN {projects} e ON e.project_id = f.project_id AND f.filing_id % 2 = 0 LEFT JOIN {projects} p ON p.reg_no = 'RG' || CAST(f.project_id AS VARCHAR(20)) AND e.project_id IS NULL"),
+    Operator("dml12_price_csv_upsert", ("DML12", "SRC05"), lambda d: first_row("(SELECT project_id, snapshot_date, label, max_price, 0 AS version, snapshot_id FROM {snapshots} WHERE is_active UNION ALL SELECT project_id, snapshot_date, label, max_price * 2, 1, snapshot_id FROM {snapshots} WHERE is_active AND label = 'A') u", "project_id, snapshot_date, label", "version DESC, snapshot_id DESC", "project_id, snapshot_date, label, max_price")),
+    Operator("dml14_exact_else_ilike", ("DML14",), lambda d: "SELECT f.filing_id, coalesce(e.project_id, p.project_id) AS project_id FROM {filings} f LEFT JOIN {projects} e ON e.project_id = f.project_id AND f.completion_text <> 'n/a' LEFT JOIN {projects} p ON p.reg_no = 'RG' || CAST(f.project_id AS VARCHAR(20)) AND e.project_id IS NULL"),
     Operator("dml15_coalesce_upsert", ("DML15",), lambda d: "SELECT p.project_id, coalesce(CASE WHEN p.project_id % 2 = 0 THEN NULL ELSE upper(p.district) || '!' END, p.district) AS district FROM {projects} p"),
     Operator("stm03_last_requests", ("STM03",), lambda d: first_row("{usage}", "client", "ts DESC, event_id DESC", "client, event_id, CAST(rn AS BIGINT) AS rn", 10)),
     Operator("stm11_resume_batch", ("STM11", "STM13"), lambda d: first_row("(SELECT * FROM {downloads} w WHERE NOT EXISTS (SELECT 1 FROM {downloads} x WHERE x.project_id = w.project_id AND x.document_type = w.document_type AND x.status = 'done' AND x.file_id < w.file_id)) w", "project_id", "file_id", "project_id, file_id", 3)),

@@ -39,7 +39,7 @@ OPERATORS = [
     Operator("flt12_null_safe_label", ("FLT12",), lambda d: "SELECT snapshot_id, label FROM {snapshots} WHERE label IS NOT DISTINCT FROM CAST(NULL AS VARCHAR(5))"),
     Operator("flt13_active_in_range", ("FLT13",), lambda d: """
         SELECT snapshot_id, project_id, snapshot_date FROM {snapshots}
-        WHERE is_active AND snapshot_date BETWEEN DATE '1999-01-01' AND DATE '1999-06-30' AND project_id % 4 IN (1, 2)"""),
+        WHERE is_active AND snapshot_date BETWEEN DATE '1999-01-01' AND DATE '1999-06-30' AND project_id IN (SELECT project_id FROM {projects} WHERE status = 'O')"""),
     Operator("flt14_optional_district", ("FLT14",), lambda d: "SELECT project_id FROM {projects} WHERE (CAST(NULL AS VARCHAR(20)) IS NULL OR district = CAST(NULL AS VARCHAR(20))) AND (status IS NULL OR status = 'O')"),
     Operator("flt15_out_of_bounds", ("FLT15",), lambda d: "SELECT project_id, lat * 2 - 4 AS lat2, lon FROM {projects} WHERE lat * 2 - 4 < 6 OR lat * 2 - 4 > 38 OR lon < 68 OR lon > 98"),
     Operator("flt16_brochure_lookup", ("FLT16",), lambda d: """
@@ -52,8 +52,8 @@ OPERATORS = [
     Operator("flt18_unified_lookup", ("FLT18",), lambda d: f"""
         SELECT q, project_id FROM (
           SELECT q, project_id, row_number() OVER (PARTITION BY q ORDER BY rank, project_id) AS rn FROM (
-            SELECT i.q, p.project_id, 1 AS rank FROM (SELECT CAST(o_orderkey AS VARCHAR(20)) AS q FROM {{orders}} WHERE o_orderkey % 1000 = 7) i JOIN {{projects}} p ON {d.matches('i.q', '^[0-9]+$')} AND p.project_id = try_cast(i.q AS BIGINT)
-            UNION ALL SELECT i.q, p.project_id, 2 FROM (SELECT 'RG' || CAST(o_orderkey AS VARCHAR(20)) AS q FROM {{orders}} WHERE o_orderkey % 1000 = 9) i JOIN {{projects}} p ON p.reg_no = i.q) u) v
+            SELECT i.q, p.project_id, 1 AS rank FROM (SELECT CAST(o_orderkey AS VARCHAR(20)) AS q FROM {{orders}} ) i JOIN {{projects}} p ON {d.matches('i.q', '^[0-9]+$')} AND p.project_id = try_cast(i.q AS BIGINT)
+            UNION ALL SELECT i.q, p.project_id, 2 FROM (SELECT 'RG' || CAST(o_orderkey AS VARCHAR(20)) AS q FROM {{orders}} ) i JOIN {{projects}} p ON p.reg_no = i.q) u) v
         WHERE rn = 1"""),
     Operator("prj01_search_item", ("PRJ01",), lambda d: """
         SELECT p.project_id, p.project_name, p.reg_no, p.status, p.district, CAST(NULL AS VARCHAR(5)) AS cover_image, coalesce(s.overall_score, 0) AS overall_score,

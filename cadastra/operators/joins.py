@@ -36,7 +36,7 @@ def radius_join(left: str, right: str, left_cols: str, right_cols: str, radius_k
 OPERATORS = [
     Operator("jn02_projects_with_scores", ("JN02", "SRT03"), lambda d: "SELECT p.project_id, p.project_name, s.overall_score FROM {projects} p JOIN {scores} s ON s.project_id = p.project_id WHERE s.overall_score IS NOT NULL ORDER BY s.overall_score DESC, p.project_name, p.project_id LIMIT 40"),
     Operator("jn04_active_tags", ("JN04",), lambda d: "SELECT pt.project_id, t.slug, t.category FROM {project_tags} pt JOIN {tags} t ON t.slug = pt.slug WHERE t.is_active"),
-    Operator("jn06_developer_siblings", ("JN06",), lambda d: "SELECT DISTINCT a.project_id, b.project_id AS sibling_id FROM {developers} a JOIN {developers} b ON b.developer_id = a.developer_id AND b.project_id <> a.project_id WHERE a.project_id % 500 = 3"),
+    Operator("jn06_developer_siblings", ("JN06",), lambda d: "SELECT DISTINCT a.project_id, b.project_id AS sibling_id FROM {developers} a JOIN {developers} b ON b.developer_id = a.developer_id AND b.project_id <> a.project_id"),
     Operator("jn07_parent_siblings", ("JN07",), lambda d: "SELECT a.project_id, b.project_id AS sibling_id FROM {projects} a JOIN {projects} b ON b.parent_id = a.parent_id AND b.project_id <> a.project_id"),
     Operator("jn08_without_stats", ("JN08",), lambda d: "SELECT p.project_id FROM {projects} p WHERE p.lat IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {amenity_stats} s WHERE s.project_id = p.project_id)"),
     Operator("jn09_stats_without_scores", ("JN09",), lambda d: "SELECT project_id FROM {amenity_stats} s WHERE NOT EXISTS (SELECT 1 FROM {scores} c WHERE c.project_id = s.project_id) GROUP BY project_id"),
@@ -60,7 +60,7 @@ OPERATORS = [
         LEFT JOIN (SELECT project_id, count(*) AS units FROM {units} GROUP BY project_id) u ON u.project_id = p.project_id
         LEFT JOIN (SELECT project_id, count(*) AS checks FROM {verifications} GROUP BY project_id) v ON v.project_id = p.project_id"""),
     Operator("jn16_case_folded_lookup", ("JN16", "DML03"), lambda d: "SELECT upper(trim(name)) AS k, upper(segment) AS s, min(parent_id) AS parent_id, count(*) AS n FROM {parents} GROUP BY upper(trim(name)), upper(segment)"),
-    Operator("jn17_natural_key", ("JN17",), lambda d: "SELECT o.project_id AS old_id, n.project_id AS new_id, coalesce(o.reg_no, n.reg_no) AS reg_no FROM (SELECT * FROM {projects} WHERE project_id % 2 = 0) o FULL OUTER JOIN (SELECT * FROM {projects} WHERE project_id % 3 = 0) n ON n.state_code = o.state_code AND n.reg_no = o.reg_no"),
+    Operator("jn17_natural_key", ("JN17",), lambda d: "SELECT o.project_id AS old_id, n.project_id AS new_id, coalesce(o.reg_no, n.reg_no) AS reg_no FROM (SELECT * FROM {projects} WHERE status <> 'P') o FULL OUTER JOIN (SELECT * FROM {projects} WHERE total_price IS NOT NULL) n ON n.state_code = o.state_code AND n.reg_no = o.reg_no"),
     Operator("jn18_inventory_merge", ("JN18",), lambda d: """
         SELECT coalesce(t.project_id, g.project_id) AS project_id, coalesce(t.unit_no, g.unit_no) AS unit_no, t.block, coalesce(g.status, t.status) AS status,
                CASE WHEN t.project_id IS NULL THEN 'new' WHEN g.project_id IS NULL THEN 'table' ELSE 'both' END AS origin

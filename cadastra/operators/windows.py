@@ -53,10 +53,11 @@ OPERATORS = [
     Operator("srt10_first_three", ("SRT10",), lambda d: first_row("""(
         SELECT project_id, 'onsite ' || amenity_type AS factor, 0 AS list_no, stat_id FROM {amenity_stats} WHERE onsite_available
         UNION ALL SELECT project_id, 'nearby ' || amenity_type, 1, stat_id FROM {amenity_stats} WHERE nearby_count >= 5) f""", "project_id", "list_no, stat_id", "project_id, factor, CAST(rn AS BIGINT) AS place", 3)),
-    Operator("set05_key_union", ("SET05", "SET06"), lambda d: "SELECT project_id, slug FROM {project_tags} WHERE project_id % 50 = 1 UNION SELECT project_id, label FROM {snapshots} WHERE project_id % 50 = 1 AND label IS NOT NULL"),
+    Operator("set05_key_union", ("SET05", "SET06"), lambda d: "SELECT project_id, slug FROM {project_tags} UNION SELECT project_id, label FROM {snapshots} WHERE label IS NOT NULL"),
     Operator("set07_symmetric_difference", ("SET07", "NST13"), lambda d: """
-        (SELECT slug, 'left' AS side FROM (SELECT slug FROM {project_tags} WHERE project_id % 700 = 1 EXCEPT SELECT slug FROM {project_tags} WHERE project_id % 700 = 2) a)
-        UNION ALL (SELECT slug, 'right' FROM (SELECT slug FROM {project_tags} WHERE project_id % 700 = 2 EXCEPT SELECT slug FROM {project_tags} WHERE project_id % 700 = 1) b)"""),
+        WITH old AS (SELECT DISTINCT p.parent_id, t.slug FROM {projects} p JOIN {project_tags} t ON t.project_id = p.project_id WHERE p.status = 'F'),
+        new AS (SELECT DISTINCT p.parent_id, t.slug FROM {projects} p JOIN {project_tags} t ON t.project_id = p.project_id WHERE p.status = 'O')
+        SELECT parent_id, slug, 'left' AS side FROM (SELECT * FROM old EXCEPT SELECT * FROM new) a UNION ALL SELECT parent_id, slug, 'right' FROM (SELECT * FROM new EXCEPT SELECT * FROM old) b"""),
     Operator("set08_delta_ids", ("SET08", "STM05", "STM11"), lambda d: "SELECT DISTINCT client FROM {usage} u WHERE NOT EXISTS (SELECT 1 FROM {usage} s WHERE s.client = u.client AND s.ts < TIMESTAMP '2024-01-02 00:00:00')"),
     Operator("set09_search_pairs", ("SET09", "STM10"), lambda d: "SELECT dd.district, s.status FROM (SELECT DISTINCT district FROM {projects}) dd CROSS JOIN (SELECT DISTINCT status FROM {projects}) s ORDER BY dd.district, s.status LIMIT 30"),
     Operator("set_intersect_tags", ("SET02",), lambda d: "SELECT project_id FROM {project_tags} WHERE slug = 'Brand#5' INTERSECT SELECT project_id FROM {project_tags} WHERE slug = 'Brand#6'"),

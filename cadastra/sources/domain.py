@@ -30,7 +30,7 @@ RELATIONS: dict[str, Callable[[object], str]] = {
         SELECT o_orderkey AS project_id, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderkey * 31 % 101 AS DOUBLE) END AS overall_score,
                CAST(o_orderkey * 17 % 101 AS DOUBLE) AS location_score, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey * 13 % 101 AS DOUBLE) END AS amenity_score,
                CASE WHEN o_orderkey % 9 = 0 THEN 'insufficient_data' WHEN o_orderkey % 4 = 0 THEN 'partial' ELSE 'ok' END AS score_status
-        FROM {orders} WHERE o_orderkey % 10 <> 0"""),
+        FROM {orders} WHERE o_orderpriority <> '4-NOT SPECIFIED'"""),
     "snapshots": _fixed("""
         SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS snapshot_id, l_orderkey AS project_id, CAST(l_shipdate AS DATE) AS snapshot_date,
                CASE WHEN l_linenumber = 7 THEN NULL ELSE l_returnflag END AS label, l_linestatus = 'O' AS is_active,
@@ -87,5 +87,5 @@ RELATIONS: dict[str, Callable[[object], str]] = {
         SELECT event_id AS file_id, user_id AS project_id, CASE event_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'pending' WHEN 2 THEN 'done' ELSE 'pending' END AS status,
                event_id % 4 AS retry_count, ts AS created_at, event_type AS document_type, value AS cost
         FROM {events}"""),
-    "developers": _fixed("SELECT DISTINCT l_suppkey % 50 AS developer_id, l_orderkey AS project_id FROM {lineitem} WHERE l_linenumber <= 2"),
+    "developers": _fixed("SELECT DISTINCT l_suppkey * 1000 + l_partkey % 997 AS developer_id, l_orderkey AS project_id FROM {lineitem}"),
 }

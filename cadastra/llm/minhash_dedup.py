@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadastra.llm.graph import connected_components
-from cadastra.llm.shingles import HyperMinHash, Words, common, digest, estimate, grouped, shingle_set
+from cadastra.llm.shingles import WORDS, HyperMinHash, common, digest, estimate, grouped, shingle_set
 from cadastra.runtime import Workspace, ship_package
 
 BANDS, ROWS = 40, 5
@@ -36,7 +36,6 @@ BANDS, ROWS = 40, 5
 TELL = 0.4
 #: Ids of up to this many documents are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-WORDS = Words()
 
 
 def _sketches(docs: DataFrame, width: int) -> DataFrame:

@@ -32,7 +32,7 @@ CAPACITY = 2048
 #: Pieces of a shard on the average.
 SHARD = 40_000
 #: Chunks whose ids are remembered.
-MEMO = 600_000
+MEMO = 400_000
 GROUP_BYTES = 2_000_000
 
 

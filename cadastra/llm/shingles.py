@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hashes are remembered by a task.
-MEMO = 600_000
+MEMO = 400_000
 MIX1, MIX2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 MANTISSA_BITS = 10
 
@@ -35,6 +35,10 @@ class Words(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+#: One memo for all operators that a worker runs.
+WORDS = Words()
+
+
 def windows(words: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of ``width`` words; of the whole sequence if it is shorter; nothing for no words."""
     n = len(words)

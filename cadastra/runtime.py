@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import hashlib
+import io
 import tempfile
 import uuid
 import zipfile
@@ -13,20 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 _PACKAGE = Path(__file__).resolve().parent
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, so that functions pickled by name load there."""
-    context = spark.sparkContext
-    if getattr(context, "_cadastra_shipped", False):
-        return
-    folder = tempfile.mkdtemp(prefix="cadastra-")
-    archive = os.path.join(folder, "cadastra_pkg.zip")
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
-        for source in sorted(_PACKAGE.rglob("*.py")):
-            out.write(source, source.relative_to(_PACKAGE.parent).as_posix())
-    context.addPyFile(archive)
-    context._cadastra_shipped = True
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a temporary folder becomes the checkpoint folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,6 +25,27 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors once per application, so that functions pickled by name load there.
+
+    The archive goes to the shared folder, under a name that its content gives.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_cadastra_shipped", False):
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(_PACKAGE.rglob("*.py")):
+            out.writestr(zipfile.ZipInfo(source.relative_to(_PACKAGE.parent).as_posix()), source.read_bytes())
+    name = f"{shared_dir(spark)}/cadastra-{hashlib.sha256(packed.getvalue()).hexdigest()[:16]}-{uuid.uuid4().hex[:8]}.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    stream.write(bytearray(packed.getvalue()))
+    stream.close()
+    context.addPyFile(name)
+    context._cadastra_shipped = True
+
+
 class Workspace:
     """Tables written to a private folder under the shared one.
 

@@ -27,7 +27,7 @@ from cadastra.runtime import Workspace, ship_package
 
 PIVOTS, SAMPLE = 16, 2000
 QUERY_BLOCK, BLOCK = 512, 4096
-LONG = np.iinfo(np.int64)
+LONG = range(-(1 << 63), 1 << 63)
 
 
 def choose_pivots(sample: np.ndarray, count: int = PIVOTS) -> np.ndarray:
@@ -44,6 +44,10 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((x * x).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * x @ pivots.T, 0, None))
 
 
+def held(score: int) -> int:
+    return min(max(score, LONG[0]), LONG[-1])
+
+
 def block_top_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, data: np.ndarray, pivots: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
     """(query, candidate, score) of each query's k best candidates in one block. Components are whole numbers."""
     exact = max(np.abs(queries).max(initial=0), 1) * max(np.abs(data).max(initial=0), 1) * data.shape[1] < 2**53
@@ -61,11 +65,11 @@ def block_top_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, dat
         while done < len(order) and upper[order[done]] > -np.inf and (len(best) < k or upper[order[done]] >= best[-1][0] * -1):
             now = order[done : done + step]
             now = now[upper[now] > -np.inf]
-            scores = data[now] @ queries[at] if exact else np.array([sum(int(a) * int(b) for a, b in zip(row, queries[at], strict=True)) for row in data[now]], dtype=object)
+            scores = data[now] @ queries[at] if exact else np.array([held(sum(int(a) * int(b) for a, b in zip(row, queries[at], strict=True))) for row in data[now]], dtype=object)
             best = sorted([*best, *((-s, int(i)) for s, i in zip(scores.tolist(), ids[now].tolist(), strict=True))])[:k]
             done, step = done + step, 2 * step
         for score, number in best:
-            yield int(query_ids[at]), number, int(min(max(-score, LONG.min), LONG.max))
+            yield int(query_ids[at]), number, int(-score)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int, workspace: Workspace) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.functions.html import parse_page
+from cadastra.functions.html import LATITUDES, LONGITUDES, listing_rows, parse_page
 from cadastra.runtime import ship_package
 
 #: Canonical fields and words of the labels that mean them, looked for in this order.
@@ -168,6 +168,21 @@ def map_pages(pages: DataFrame, key: str, html: str, registration: str | None =
     return pages.select(key, F.col(html).alias("html"), reg.alias("reg")).mapInArrow(run, f"{key} {kind}, document string")
 
 
+def amenity_rows(html: str) -> list[dict]:
+    """Amenities of the table whose headers name one, with coordinates inside the bounds; others are dropped."""
+    names = {"amenity": ("amenity", "facility"), "area": ("area",), "latitude": ("latitude", "lat"), "longitude": ("longitude", "long", "lng")}
+    page = parse_page(html)
+    out = []
+    for record in listing_rows(page, names):
+        try:
+            lat, lon = float(record.get("latitude", "")), float(record.get("longitude", ""))
+        except ValueError:
+            continue
+        if record.get("amenity") and LATITUDES[0] <= lat <= LATITUDES[1] and LONGITUDES[0] <= lon <= LONGITUDES[1]:
+            out.append({"amenity": record["amenity"], "area": typed("area", record.get("area", "")), "latitude": lat, "longitude": lon})
+    return out
+
+
 def linked_data(projects: DataFrame) -> DataFrame:
     """project_id, json_ld: a schema.org description; what is null is left out."""
     place = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.struct(F.lit("GeoCoordinates").alias("@type"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude")))

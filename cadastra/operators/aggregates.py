@@ -105,5 +105,8 @@ OPERATORS = [
           SELECT project_id, parent_id, count(*) OVER (PARTITION BY coalesce(parent_id, -project_id)) AS phases,
                  row_number() OVER (PARTITION BY coalesce(parent_id, -project_id) ORDER BY coalesce(total_price, 0) DESC, project_id) AS rn FROM {projects} WHERE status <> 'P') t WHERE rn = 1"""),
     Operator("agg36_backfill_counters", ("AGG36",), lambda d: "SELECT CASE WHEN lat IS NULL THEN 'no_location' WHEN total_price IS NULL THEN 'weak' ELSE 'updated' END AS outcome, count(*) AS n FROM {projects} GROUP BY 1"),
+    Operator("snk03_batch_report", ("SNK03", "AGG27"), lambda d: """
+        SELECT coalesce(document_type, 'unknown') AS document_type, status, count(*) AS files, round(sum(cost), 4) AS cost, max(retry_count) AS most_retries, min(file_id) AS first_file
+        FROM {downloads} GROUP BY coalesce(document_type, 'unknown'), status ORDER BY files DESC, document_type, status"""),
     Operator("ext_rollup_sales", ("EXT",), lambda d: "SELECT district, status, count(*) AS n, round(sum(total_price), 2) AS total FROM {projects} GROUP BY GROUPING SETS ((district, status), (district), ())"),
 ]

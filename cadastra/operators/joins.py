@@ -36,6 +36,10 @@ def radius_join(left: str, right: str, left_cols: str, right_cols: str, radius_k
 OPERATORS = [
     Operator("jn02_projects_with_scores", ("JN02", "SRT03"), lambda d: "SELECT p.project_id, p.project_name, s.overall_score FROM {projects} p JOIN {scores} s ON s.project_id = p.project_id WHERE s.overall_score IS NOT NULL ORDER BY s.overall_score DESC, p.project_name, p.project_id LIMIT 40"),
     Operator("jn04_active_tags", ("JN04",), lambda d: "SELECT pt.project_id, t.slug, t.category FROM {project_tags} pt JOIN {tags} t ON t.slug = pt.slug WHERE t.is_active"),
+    Operator("jn05_project_landmarks", ("JN05", "SRT07"), lambda d: f"""
+        SELECT landmark_id, project_id, distance_km, CAST(place AS BIGINT) AS place FROM (
+          SELECT landmark_id, project_id, round(km, 4) AS distance_km, row_number() OVER (PARTITION BY landmark_id ORDER BY km, project_id) AS place
+          FROM ({radius_join('{projects}', '(SELECT * FROM {landmarks} WHERE is_active)', 'l.project_id', 'r.landmark_id', 10)}) t) ranked WHERE place <= 5"""),
     Operator("jn06_developer_siblings", ("JN06",), lambda d: "SELECT DISTINCT a.project_id, b.project_id AS sibling_id FROM {developers} a JOIN {developers} b ON b.developer_id = a.developer_id AND b.project_id <> a.project_id"),
     Operator("jn07_parent_siblings", ("JN07",), lambda d: "SELECT a.project_id, b.project_id AS sibling_id FROM {projects} a JOIN {projects} b ON b.parent_id = a.parent_id AND b.project_id <> a.project_id"),
     Operator("jn08_without_stats", ("JN08",), lambda d: "SELECT p.project_id FROM {projects} p WHERE p.lat IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {amenity_stats} s WHERE s.project_id = p.project_id)"),

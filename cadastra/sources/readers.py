@@ -99,6 +99,17 @@ def read_pdf_texts(spark: SparkSession, path: str, least: int = 50) -> DataFrame
     return files.select("path", (F.substring("content", 1, 5) == F.lit(b"%PDF-")).alias("is_pdf"), F.col("length").alias("bytes"), (F.col("length") < least).alias("too_short")).orderBy(F.lower("path"))
 
 
+def with_sidecars(pages: DataFrame, listings: DataFrame) -> DataFrame:
+    """``pages`` (name, ...) with the fields of the listing file beside each, null where there is none.
+
+    ``listings``: name of the listing file (``x.listing.json`` for ``x.html``) and its fields.
+    """
+    stem = lambda c, suffix: F.regexp_replace(c, suffix, "")
+    left = pages.withColumn("__stem", stem("name", r"\.html$"))
+    right = listings.withColumn("__stem", stem("name", r"\.listing\.json$")).drop("name")
+    return left.join(right, "__stem", "left").drop("__stem")
+
+
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     """One CSV with a header; for reports, whose rows are few."""
     df.select(*columns).coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -62,3 +62,27 @@ def test_file_arrival_is_idempotent(spark, tmp_path):
     run()
     last = sorted(p.name for p in (tmp_path / "out").iterdir())[-1]
     assert [(r.reg, r.name) for r in spark.read.parquet(f"{target}/{last}").collect()] == [("R1", "New")]
+
+
+def test_amenities_inside_bounds():
+    html = "<table><tr><th>Amenity</th><th>Area</th><th>Latitude</th><th>Longitude</th></tr><tr><td>Park</td><td>12.5 sqm</td><td>21.2</td><td>81.6</td></tr><tr><td>Pool</td><td></td><td>51</td><td>0</td></tr><tr><td>Gym</td><td></td><td>x</td><td>y</td></tr></table>"
+    assert d.amenity_rows(html) == [{"amenity": "Park", "area": 12.5, "latitude": 21.2, "longitude": 81.6}]
+
+
+def test_sidecars(spark):
+    from cadastra.sources.readers import with_sidecars
+
+    pages = spark.createDataFrame([("a.html", "x"), ("b.html", "y")], "name string, html string")
+    listings = spark.createDataFrame([("a.listing.json", "R1")], "name string, reg string")
+    assert sorted((r.name, r.reg) for r in with_sidecars(pages, listings).collect()) == [("a.html", "R1"), ("b.html", None)]
+
+
+def test_migrations_twice_are_once(spark, sf_dir):
+    from cadastra.plans.migrations import migrate
+    from cadastra.plans.operator import Operator
+    from cadastra.sources.domain import RELATIONS
+
+    frames = {n: Operator(n, (), lambda dialect, n=n: f"SELECT * FROM {{{n}}}").query(spark, sf_dir) for n in ("locations", "snapshots", "projects", "scores", "amenity_stats", "verifications", "project_tags", "tags")}
+    assert set(frames) <= set(RELATIONS)
+    assert migrate(spark, frames) == migrate(spark, frames) == ["best_locations", "latest_prices", "search_view"]
+    assert spark.table("search_view").count() == frames["projects"].count()

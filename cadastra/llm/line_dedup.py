@@ -110,8 +110,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     for number in range(batches):
         mine = found.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == number)
         store.add(mine.select("h1", "h2", "doc_id").distinct())
-    doomed = store.repeated(min_docs)
-    # the hot key of this join is split by AQE: one side holds a key once
+    # saved, so that Spark knows its size: it is broadcast if small; else both sides are plain shuffles, and AQE splits a hot
+    # key, which one side holds once
+    doomed = workspace.save(store.repeated(min_docs), "doomed")
     gone = found.join(doomed, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
     lines, drop, key, owner = (one_of(docs.columns, c) for c in ("lines", "drops", "rid", "owner"))
     drops = gone.groupBy(F.col("rid").alias(key), F.col("doc_id").alias(owner)).agg(F.collect_set("pos").alias(drop))

@@ -177,13 +177,13 @@ def near_duplicates(docs: DataFrame, workspace: Workspace, width: int = 2, perce
 
     # the rest: pairs across components. A node is its bucket's centre b without what it lost, with what is its own, so
     # |x and y| = |b| - |lost x| - |lost y| + |lost by both| + |own of both|: exact, without the texts
-    told = first.groupBy(F.col("a").alias("id"), F.col("b").alias("lead")).agg(F.count(F.lit(1)).alias("times"), F.first("lost").alias("lost"), F.first("own").alias("own"), F.min(1 - F.col("common") / F.col("total")).alias("d"))
+    told = first.groupBy(F.col("a").alias("id"), F.col("b").alias("lead")).agg(F.count(F.lit(1)).alias("times"), F.first("lost").alias("lost"), F.first("own").alias("own"), F.first(F.col("common") + F.size("lost")).alias("nb"), F.min(1 - F.col("common") / F.col("total")).alias("d"))
     rough = guessed.select(F.col("a").alias("id"), F.col("b").alias("lead"), (1 - F.col("estimate")).alias("r"))
-    away = rough.join(told, ["id", "lead"], "left").select("id", "lead", *(F.when(F.col("times") == 1, F.col(c)).alias(c) for c in ("lost", "own")), F.coalesce("d", "r").alias("d"), F.when(F.col("d").isNull(), 2.5 / (BANDS * ROWS) ** 0.5).otherwise(0.0).alias("doubt"))
+    away = rough.join(told, ["id", "lead"], "left").select("id", "lead", *(F.when(F.col("times") == 1, F.col(c)).alias(c) for c in ("lost", "own", "nb")), F.coalesce("d", "r").alias("d"), F.when(F.col("d").isNull(), 2.5 / (BANDS * ROWS) ** 0.5).otherwise(0.0).alias("doubt"))
     sizes = nodes.groupBy("id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("texts"))
-    rest = unsettled(labelled(open_rows.drop("c"))).join(away, ["id", "lead"], "left").join(sizes, "id").join(sizes.select(F.col("id").alias("lead"), F.col("n").alias("nb"), F.col("texts").alias("lead_texts")), "lead")
-    centre, single, none = F.col("id") == F.col("lead"), (F.col("texts") == 1) & (F.col("lead_texts") == 1), F.array().cast("array<long>")
-    rest = rest.withColumns({c: F.when(single, F.when(centre, none).otherwise(F.col(c))) for c in ("lost", "own")} | {"d": F.when(centre, 0.0).otherwise(F.col("d")), "doubt": F.coalesce("doubt", F.lit(0.0))})
+    rest = unsettled(labelled(open_rows.drop("c"))).join(away, ["id", "lead"], "left").join(sizes, "id")
+    centre, single, none = F.col("id") == F.col("lead"), F.col("texts") == 1, F.array().cast("array<long>")
+    rest = rest.withColumns({c: F.when(single, F.when(centre, none).otherwise(F.col(c))) for c in ("lost", "own")} | {"nb": F.when(centre, F.col("n")).otherwise(F.col("nb")), "d": F.when(centre, 0.0).otherwise(F.col("d")), "doubt": F.coalesce("doubt", F.lit(0.0))})
     rest = workspace.save(rest.select("key", "id", "c", "n", "nb", "lost", "own", "d", "doubt"), "open2")
     x, y = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in rest.columns if c != "key")) for s in "xy")
     apart = (F.col("c_x") != F.col("c_y")) & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent)

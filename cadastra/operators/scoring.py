@@ -16,9 +16,8 @@ def bucket(count: str, steps: tuple[tuple[int | None, int], ...]) -> str:
 
 
 def nearby(kind: str, target: float) -> str:
-    """Count at the largest radius up to the target, else at the smallest; a type without rows counts 0."""
-    at = f"coalesce(max(CASE WHEN amenity_type = '{kind}' AND radius_km <= {target} THEN radius_km END), min(CASE WHEN amenity_type = '{kind}' THEN radius_km END))"
-    return at
+    """The largest radius up to the target, else the smallest that a type has."""
+    return f"coalesce(max(CASE WHEN amenity_type = '{kind}' AND radius_km <= {target} THEN radius_km END), min(CASE WHEN amenity_type = '{kind}' THEN radius_km END))"
 
 
 def counts(kinds: dict[str, float]) -> str:

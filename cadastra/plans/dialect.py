@@ -53,22 +53,6 @@ class SparkDialect:
     def json_int(x: str, key: str) -> str:
         return f"try_cast(get_json_object({x}, '$.{key}') AS BIGINT)"
 
-    @staticmethod
-    def each(array: str, name: str) -> str:
-        return f"LATERAL VIEW explode({array}) {name}_t AS {name}"
-
-    @staticmethod
-    def words(x: str) -> str:
-        return f"split({x}, ' ')"
-
-    @staticmethod
-    def array(*items: str) -> str:
-        return f"array({', '.join(items)})"
-
-    @staticmethod
-    def sorted_text(array: str) -> str:
-        return f"array_join(array_sort({array}), ',')"
-
     @staticmethod
     def find_all(x: str, pattern: str, group: int = 0) -> str:
         return f"regexp_extract_all({x}, r'{pattern}', {group})"
@@ -101,14 +85,6 @@ class SparkDialect:
     def hour(ts: str) -> str:
         return f"date_format(date_trunc('hour', {ts}), 'yyyy-MM-dd HH')"
 
-    @staticmethod
-    def seconds(ts: str) -> str:
-        return f"unix_timestamp(CAST({ts} AS TIMESTAMP))"
-
-    @staticmethod
-    def series(start: str, end: str, name: str) -> str:
-        return f"LATERAL VIEW explode(sequence({start}, {end}, INTERVAL 1 MONTH)) {name}_t AS {name}"
-
 
 class DuckDialect:
     name = "duck"
@@ -157,22 +133,6 @@ class DuckDialect:
     def json_int(x: str, key: str) -> str:
         return f"try_cast(json_extract_string({x}, '$.{key}') AS BIGINT)"
 
-    @staticmethod
-    def each(array: str, name: str) -> str:
-        return f", unnest({array}) AS {name}_t({name})"
-
-    @staticmethod
-    def words(x: str) -> str:
-        return f"string_split({x}, ' ')"
-
-    @staticmethod
-    def array(*items: str) -> str:
-        return f"[{', '.join(items)}]"
-
-    @staticmethod
-    def sorted_text(array: str) -> str:
-        return f"array_to_string(list_sort({array}), ',')"
-
     @staticmethod
     def find_all(x: str, pattern: str, group: int = 0) -> str:
         return f"regexp_extract_all({x}, '{pattern}', {group})"
@@ -205,13 +165,5 @@ class DuckDialect:
     def hour(ts: str) -> str:
         return f"strftime(date_trunc('hour', {ts}), '%Y-%m-%d %H')"
 
-    @staticmethod
-    def seconds(ts: str) -> str:
-        return f"CAST(floor(epoch({ts})) AS BIGINT)"
-
-    @staticmethod
-    def series(start: str, end: str, name: str) -> str:
-        return f", unnest(generate_series({start}, {end}, INTERVAL 1 MONTH)) AS {name}_t({name})"
-
 
 SPARK, DUCK = SparkDialect(), DuckDialect()

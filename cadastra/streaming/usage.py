@@ -6,10 +6,12 @@ client in ``transformWithStateInPandas`` and the batch form applies it per clien
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -92,6 +94,8 @@ class Limiter(StatefulProcessor):
 def rate_limit_stream(requests: DataFrame, tiers: dict[str, Tier] | None = None) -> DataFrame:
     """Streaming form; needs the RocksDB state store. Requests of one client must arrive in time order across batches."""
     ship_package(requests.sparkSession)
+    # the process that prepares the processor on the driver doesn't load shipped archives: send the code itself
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     return requests.select("client", "event_id", "tier", "ts").groupBy("client").transformWithStateInPandas(Limiter(tiers), VERDICTS, "append", "none")
 
 

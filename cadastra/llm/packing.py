@@ -6,7 +6,8 @@ that no task grows with the input, and each shard is packed by one pass of the r
 a piece of length s goes where the sum of the N(g)^2 becomes least, that is, where N(g - s) - N(g) is least over the
 gaps g >= s that are open, or into a new sequence if that is better still. A shard takes its pieces from the longest on,
 dissolves the sequences that stay open and packs their pieces once more; what is still open goes to the next level with
-that of other shards, until one shard is left.
+that of other shards, until one shard is left or a level leaves more than ``LEFT`` of its pieces open: pieces that
+cannot fill a sequence fill none at a later level either, so the sequences that this level has open stay as they are.
 
 Defined results: a null or empty text is the one id 0; repeated rows are packed each on their own; extra columns are
 not carried; an empty table gives an empty result.
@@ -31,6 +32,8 @@ from cadastra.runtime import Workspace, ship_package
 CAPACITY = 2048
 #: Pieces of a shard on the average.
 SHARD = 40_000
+#: A level that leaves more than this share of its pieces open is the last.
+LEFT = 0.75
 #: Chunks whose ids are remembered.
 MEMO = 400_000
 GROUP_BYTES = 2_000_000
@@ -200,12 +203,14 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, workspac
         order = [c for c in ("doc_id", "piece", "ids_crc32") if c in names] or names
         dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(level), *order), F.lit(shards)).cast("int"))
         packed = workspace.save(dealt.groupBy("shard").applyInPandas(_shard_packer(capacity, level, last), schema), f"level{level}")
-        good = packed.where(~F.col("left_over")).select(*names, "sequence_id", "offset")
+        rows = packed.where("left_over").select(*names)
+        left = rows.count()
+        last = last or left > LEFT * count
+        good = (packed if last else packed.where(~F.col("left_over"))).select(*names, "sequence_id", "offset")
         done = good if done is None else done.unionByName(good)
         if last:
             break
-        rows = packed.where("left_over").select(*names)
-        level, count = level + 1, rows.count()
+        level, count = level + 1, left
     return done if done is not None else rows.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
 
 

@@ -169,6 +169,20 @@ def test_packing_over_levels_is_near_the_bound(spark):
     assert check_packing(out) <= 1.01 * sum(r.length for r in out) / 2048 + 1
 
 
+def test_packing_ends_where_pieces_fill_no_sequence(spark):
+    class Few(Workspace):
+        def save(self, df, name):
+            assert name not in ("level6", "level7"), "levels without end"
+            return super().save(df, name)
+
+    sizes = [1500] * 900 + [1100] * 200 + [548] * 100
+    rows = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, length long")
+    out = packing.pack(rows, shard=100, workspace=Few(spark, "t")).collect()
+    assert sorted((r.doc_id, r.length) for r in out) == list(enumerate(sizes))
+    # no two of the 1,100 longer pieces share a sequence, and the short ones fit beside them
+    assert check_packing(out) == 1100
+
+
 def test_sum_of_squares_takes_the_least():
     bins, offsets, gaps = packing.sum_of_squares(np.array([6, 4, 5, 5, 3]), 10)
     assert gaps.count(0) == 2 and (bins[0], offsets[1]) == (bins[1], 6)

@@ -2,9 +2,12 @@
 
 Equal vectors are one node with a count. Nodes are dealt by a hash into shards (``SHARDS``, more where a shard would
 pass ``SHARD_ROWS``); a task builds the graph of a shard. Every node then queries every shard. A beam starts at
-``BEAM`` and doubles until a recall audit passes: of a fixed number of the task's queries the links found are held
-against all rows of the shard. A query whose beam is full of links can have more of them than the beam holds: it is
-answered by all rows of the shard, in blocks. Cosines are verified in double precision.
+``BEAM``, or a row in ``BEAM_ROWS`` of a larger shard, and doubles until a recall audit of the block passes; later blocks of the task begin
+where it ended. The audit holds against all rows of the shard what ``AUDIT`` queries find beside themselves, and what
+``PROBES`` planted ones find: queries that are moved away from, or towards, their nearest row of the shard until that is
+just a link, so that there is evidence where links are rare. A beam that takes longer than all rows of the shard isn't
+tried: all rows answer then, in blocks. They also answer a query whose beam is full of links, which can have more of
+them than the beam holds. Cosines are verified in double precision.
 
 Links are counted where they are found. For the components, a task joins what it finds in a union-find and hands on a
 spanning forest, never the pairs: it has at most one row for each node that the task has seen.
@@ -31,7 +34,10 @@ from cadastra.runtime import Workspace, ship_package
 THRESHOLD = 0.9
 SHARDS, SHARD_ROWS = 6, 50_000
 NEIGHBOURS, BUILD_BEAM, BEAM = 12, 32, 16
-AUDIT, RECALL = 48, 0.995
+BEAM_ROWS = 250
+#: Rows that are gone through, at the least, while a beam handles one of its nodes (measured: about 1,600).
+NODE_ROWS = 200
+AUDIT, PROBES, RECALL = 48, 200, 0.995
 QUERY_BLOCK, BLOCKS_PER_TASK = 1024, 64
 GRAPHS = "dim int, shard int, ids binary, counts binary, data binary, levels binary, links binary"
 
@@ -182,46 +188,74 @@ class Forest:
         return [(x, self.root(x)) for x in self.parent]
 
 
-def shard_links(unit: np.ndarray, queries: np.ndarray, graph: Hnsw, threshold: float, beam: int = BEAM) -> list[np.ndarray]:
-    """For each query, the rows of the shard with a cosine of at least ``threshold``."""
-    single, slack = queries.astype(np.float32), np.float32(threshold - 1e-4)
+def _at_threshold(unit: np.ndarray, queries: np.ndarray, own: np.ndarray, threshold: float) -> np.ndarray:
+    """``queries`` turned about their nearest row (their own one in ``own`` aside) until its cosine is just ``threshold``."""
+    scores = queries @ unit.T
+    inside = np.flatnonzero(own >= 0)
+    scores[inside, own[inside]] = -2
+    near = unit[scores.argmax(1)]
+    aside = queries - (queries * near).sum(1, keepdims=True) * near
+    length = np.sqrt((aside * aside).sum(1, keepdims=True))
+    cosine = min(1.0, threshold + 1e-6)
+    return np.where(length > 1e-6, cosine * near + np.sqrt(1 - cosine * cosine) * aside / np.maximum(length, 1e-6), near)
 
-    def verified(q: int, rows: np.ndarray) -> np.ndarray:
-        return rows[unit[rows] @ queries[q] >= threshold] if len(rows) else rows
 
-    def all_rows(numbers: np.ndarray) -> dict[int, np.ndarray]:
+def shard_links(unit: np.ndarray, queries: np.ndarray, graph: Hnsw, threshold: float, beam: int = BEAM, own: np.ndarray | None = None) -> tuple[list[np.ndarray], int]:
+    """For each query, the rows of the shard with a cosine of at least ``threshold``; and the beam that passed the audit.
+
+    ``own``: the row that a query itself is, or -1.
+    """
+    slack = np.float32(threshold - 1e-4)
+    own = np.full(len(queries), -1) if own is None else own
+
+    def verified(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return rows[unit[rows] @ q >= threshold] if len(rows) else rows
+
+    def all_rows(asked: np.ndarray, numbers: np.ndarray) -> dict[int, np.ndarray]:
         out: dict[int, np.ndarray] = {}
         for start in range(0, len(numbers), 256):
             part = numbers[start : start + 256]
-            hits = (graph.unit @ single[part].T) >= slack
-            out |= {int(q): verified(int(q), np.flatnonzero(hits[:, i])) for i, q in enumerate(part)}
+            hits = (graph.unit @ asked[part].astype(np.float32).T) >= slack
+            out |= {int(q): verified(asked[q], np.flatnonzero(hits[:, i])) for i, q in enumerate(part)}
         return out
 
-    def by_beam(numbers: np.ndarray, width: int) -> tuple[dict[int, np.ndarray], list[int]]:
+    def by_beam(asked: np.ndarray, numbers: np.ndarray, width: int) -> tuple[dict[int, np.ndarray], list[int]]:
         out, full = {}, []
         for q in numbers.tolist():
-            found = graph.query(single[q], width)
+            found = graph.query(asked[q].astype(np.float32), width)
             near = np.array([n for s, n in found if s >= slack], dtype=np.int64)
             if len(near) >= width:
                 full.append(q)
             else:
-                out[q] = verified(q, near)
+                out[q] = verified(asked[q], near)
         return out, full
 
+    def spread(count: int) -> np.ndarray:
+        return np.unique(np.linspace(0, len(queries) - 1, min(count, len(queries))).astype(np.int64))
+
+    def fits(width: int) -> bool:
+        return width * NODE_ROWS < len(unit)
+
     numbers = np.arange(len(queries))
-    audited = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(np.int64))
-    truth = all_rows(audited)
-    while beam < len(unit):
-        got, full = by_beam(audited, beam)
-        there = sum(len(truth[q]) for q in got)
-        if sum(len(np.intersect1d(truth[q], rows)) for q, rows in got.items()) >= RECALL * there:
-            break
-        beam *= 2
-    found, full = by_beam(numbers, beam) if beam < len(unit) else ({}, numbers.tolist())
+    beam = max(beam, len(unit) // BEAM_ROWS)
+    if len(unit) and fits(beam):
+        some = spread(PROBES)
+        asked = np.concatenate([queries[spread(AUDIT)], _at_threshold(unit, queries[some], own[some], threshold)])
+        mine = np.concatenate([own[spread(AUDIT)], np.full(len(some), -1)])
+        truth = {q: rows[rows != mine[q]] for q, rows in all_rows(asked, np.arange(len(asked))).items()}
+        while fits(beam):
+            got, full = by_beam(asked, np.arange(len(asked)), beam)
+            there = sum(len(truth[q]) for q in got)
+            # each kind by itself: links of a group that are easily found don't speak for rare ones
+            planted = [q for q in got if q >= len(asked) - len(some)]
+            kinds = [[q for q in got if q < len(asked) - len(some)], planted]
+            if (there or not got) and all(sum(len(np.intersect1d(truth[q], got[q])) for q in kind) >= RECALL * sum(len(truth[q]) for q in kind) for kind in kinds):
+                break
+            beam *= 2
+    found, full = by_beam(queries, numbers, beam) if fits(beam) else ({}, numbers.tolist())
     if full:
-        found |= all_rows(np.array(full))
-    found |= truth
-    return [found[q] for q in range(len(queries))]
+        found |= all_rows(queries, np.array(full))
+    return [found[q] for q in range(len(queries))], beam
 
 
 def _build(key: tuple, nodes: pd.DataFrame) -> pd.DataFrame:
@@ -241,11 +275,15 @@ def _task(threshold: float) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.
         ids, data = unpack(row["ids"], row["data"], dim)
         counts, unit = np.frombuffer(row["counts"], dtype="<i8"), unit_rows(data)
         graph = Hnsw.unpacked(unit, row["levels"], row["links"])
-        forest, parts = Forest(), []
+        forest, parts, beam = Forest(), [], BEAM
+        order = np.argsort(ids, kind="stable")
         for block_ids, block_data in zip(asked["ids"], asked["data"], strict=True):
             query_ids, queries = unpack(block_ids, block_data, dim)
             totals = []
-            for q, rows in zip(query_ids.tolist(), shard_links(unit, unit_rows(queries), graph, threshold), strict=True):
+            place = order[np.minimum(np.searchsorted(ids[order], query_ids), len(ids) - 1)]
+            own = np.where(ids[place] == query_ids, place, -1)
+            found_rows, beam = shard_links(unit, unit_rows(queries), graph, threshold, beam, own)
+            for q, rows in zip(query_ids.tolist(), found_rows, strict=True):
                 rows = rows[ids[rows] != q]
                 totals.append(int(counts[rows].sum()))
                 for other in ids[rows].tolist():

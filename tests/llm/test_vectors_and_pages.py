@@ -60,6 +60,26 @@ def test_hnsw_graph_survives_packing():
     assert sorted(made.query(q, 10)) == sorted(again.query(q, 10)) and max(again.query(q, 10))[1] == 7
 
 
+def test_hnsw_finds_rare_links():
+    rng = np.random.default_rng(6)
+    unit = hnsw.unit_rows(rng.normal(size=(3000, 64)))
+    queries = hnsw.unit_rows(rng.normal(size=(600, 64)))
+    # one query in twenty, none of the evenly spread ones of the audit, has one partner at a cosine of 0.92
+    audited = np.linspace(0, 599, 48).astype(int)
+    near = np.setdiff1d(np.arange(600), audited)[::20]
+    partners = rng.choice(3000, len(near), replace=False)
+    aside = rng.normal(size=(len(near), 64))
+    aside = hnsw.unit_rows(aside - (aside * unit[partners]).sum(1, keepdims=True) * unit[partners])
+    queries[near] = 0.92 * unit[partners] + np.sqrt(1 - 0.92**2) * aside
+    truth = (queries @ unit.T) >= 0.9
+    assert not truth[audited].any()
+    # a graph of few links, so that a beam of 16 misses as it does in a large shard
+    graph = hnsw.Hnsw(unit, neighbours=3, build_beam=6)
+    found = hnsw.shard_links(unit, queries, graph, 0.9)
+    rows = found[0] if isinstance(found, tuple) else found
+    assert sum(len(r) for r in rows) >= 0.99 * truth.sum()
+
+
 def test_hnsw_of_nothing(spark):
     assert hnsw.near_duplicates(table(spark, []), Workspace(spark, "t")).count() == 0
     rows = hnsw.near_duplicates(table(spark, odd_vectors()[:2]), Workspace(spark, "t")).collect()

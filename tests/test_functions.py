@@ -148,3 +148,18 @@ def test_rate_limits_in_order():
     assert out[:4] == ["", "", "", "burst"] and "hour" in out
     again, rest = limit_rows(limit_rows(START, Tier(5, 8, 3), [0, 0])[0], Tier(5, 8, 3), [0, 0])
     assert rest == ["", "burst"]
+
+
+def test_outliers_are_a_share_of_all_rows(spark):
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, 1.0).otherwise(F.randn(3)).alias("a"), F.when(F.col("id") % 3 == 0, 1.0).otherwise(F.randn(4)).alias("b"))
+    out = outliers(rows, ["a", "b"], sample=256).collect()
+    scores = np.array([r.anomaly_score for r in out])
+    edge = np.quantile(scores, 0.99)
+    assert len(out) == 4000 and all(r.is_outlier == (r.anomaly_score >= edge) for r in out)
+
+
+def test_imputation_counts_a_frequent_value(spark):
+    # a third of 90,000 rows is equal
+    rows = spark.range(90_000).select("id", F.when(F.col("id") % 3 == 0, 1.0).otherwise(F.col("id") / 1e5).alias("x"), F.when(F.col("id") % 3 == 0, 1000.0).otherwise(0.0).alias("y"))
+    rows = rows.union(spark.createDataFrame([(-1, None, None)], "id long, x double, y double"))
+    assert [r.y for r in impute(rows, ["y"], ["x"]).where("id = -1").collect()] == [333.0]

@@ -297,6 +297,18 @@ def test_passages_with_a_changed_word(spark):
     assert [(r.a, r.b, r.a_start, r.b_start, r.words) for r in rows] == [(1, 0, 40, 50, 120)]
 
 
+def test_passages_with_inserted_and_replaced_words():
+    rng = random.Random(31)
+    words = shingles.Words()
+    for length, places, put, drop in ((90, [45], 1, 0), (90, [45], 0, 1), (90, [45], 2, 2), (150, [40, 75, 110], 1, 0)):
+        passage = sentence(rng, length).split()
+        other = list(passage)
+        for at in reversed(places):
+            other[at : at + drop] = [f"new{n}" for n in range(put)]
+        a, b = (words.hashes(" ".join([sentence(rng, 30), *p, sentence(rng, 30)]).encode()) for p in (other, passage))
+        assert passage_dedup.passages(a, passage_dedup.Indexed(b)) == [(30, 30, len(other))]
+
+
 def test_paragraph_bands_are_likely_to_meet():
     rng = random.Random(9)
     met = 0

@@ -309,6 +309,19 @@ def test_passages_with_inserted_and_replaced_words():
         assert passage_dedup.passages(a, passage_dedup.Indexed(b)) == [(30, 30, len(other))]
 
 
+def test_a_shared_passage_does_not_explain_another(spark):
+    rng = random.Random(37)
+    noise = lambda: sentence(rng, 40)
+    texts = []
+    for _ in range(12):
+        p, q = sentence(rng, 120), sentence(rng, 52)
+        excerpt = " ".join(q.split()[1:50])  # under 50 words, no passage
+        texts += [f"{noise()} {p} {noise()} {excerpt} {noise()}", f"{noise()} {p} {noise()} {q} {noise()}", f"{noise()} {q} {noise()}"]
+    rows = passage_dedup.find_matches(documents(spark, texts), Workspace(spark, "t")).collect()
+    found = {(r.a, r.b) for r in rows}
+    assert found == {(3 * n + 1, 3 * n) for n in range(12)} | {(3 * n + 2, 3 * n + 1) for n in range(12)}
+
+
 def test_paragraph_bands_are_likely_to_meet():
     rng = random.Random(9)
     met = 0

@@ -46,7 +46,7 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             sizes, first, second, registers = [], [], [], []
             for part in grouped([t or b"" for t in batch.column("text").to_pylist()]):
-                sets = [shingle_set(WORDS.hashes(t), width) for t in part]
+                sets = [shingle_set(w, width) for w in WORDS.of(part)]
                 rows = iter(hasher.registers([s for s in sets if len(s)]))
                 for s in sets:
                     a, b = digest(s)

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import xxhash
 
-#: Words whose hashes are remembered by a task.
-MEMO = 400_000
 MIX1, MIX2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 MANTISSA_BITS = 10
 
@@ -19,23 +18,67 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Words(dict):
-    """64-bit hash of a word."""
+SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+LOWERED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
+#: A random 64-bit value for each byte, and the powers of an odd number (that leaves 3 over 8) with their inverses.
+BYTES = np.random.default_rng(29).integers(0, 2**64, size=256, dtype=np.uint64)
+BASE = 0x9E3779B97F4A7C13
 
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        self[word] = value
-        return value
 
-    def hashes(self, text: bytes) -> np.ndarray:
-        """A-Z lowered, split at ASCII white space (20, 09-0D): bytes do both, whatever the language."""
-        if len(self) > MEMO:
-            self.clear()
-        words = text.lower().split()
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+@lru_cache(maxsize=1)
+def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        table = np.ones(1, dtype=np.uint64)
+        for i in range(bits):
+            table = np.concatenate([table, table * np.uint64(pow(base, 1 << i, 1 << 64))])
+        out.append(table)
+    return out[0], out[1]
+
+
+def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of many texts that lie one after another in ``data`` (bytes), and how many each text has.
+
+    A-Z are lowered and words end at ASCII white space (20, 09-0D): bytes do both, whatever the language. The hash is a
+    polynomial in random values of the bytes, taken from running sums, so no word is ever looked up.
+    """
+    if not len(data):
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(ends), dtype=np.int64)
+    inside = ~SPACES[data]
+    begins = np.append(0, ends[:-1])
+    fresh = np.zeros(len(data) + 1, dtype=bool)
+    fresh[begins] = True
+    fresh = fresh[:-1]
+    fresh[1:] |= ~inside[:-1]
+    starts = np.flatnonzero(inside & fresh)
+    counts = np.bincount(np.searchsorted(ends, starts, side="right"), minlength=len(ends))
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64), counts
+    letters = LOWERED[data[inside]]
+    # where each word begins among the letters
+    firsts = np.flatnonzero(fresh[inside])
+    up, down = powers(max(20, len(letters).bit_length()))
+    sums = np.append(np.uint64(0), np.cumsum(BYTES[letters] * up[: len(letters)]))
+    sizes = np.diff(firsts, append=len(letters))
+    return mixed((sums[firsts + sizes] - sums[firsts]) * down[firsts] + sizes.astype(np.uint64) * STEP), counts
+
+
+class Words:
+    """Word hashes of texts."""
+
+    @staticmethod
+    def hashes(text: bytes) -> np.ndarray:
+        return word_hashes(np.frombuffer(text, dtype=np.uint8), np.array([len(text)]))[0]
+
+    @staticmethod
+    def of(texts: list[bytes]) -> list[np.ndarray]:
+        """One array per text; all are hashed together."""
+        if not texts:
+            return []
+        hashes, counts = word_hashes(np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([len(t) for t in texts]))
+        return np.split(hashes, np.cumsum(counts)[:-1])
 
 
-#: One memo for all operators that a worker runs.
 WORDS = Words()
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import hashlib
 import io
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +15,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
+#: Workspaces of this application.
+_OPEN: list[Workspace] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,7 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not configured:
-        configured = context.getCheckpointDir() or tempfile.mkdtemp(prefix="cadastra-checkpoints-")
+        configured = context.getCheckpointDir()
+    if not configured:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="cadastra-checkpoints-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)
     return configured.rstrip("/")
@@ -56,6 +65,8 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.tables: set[str] = set()
+        _OPEN.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -67,11 +78,45 @@ class Workspace:
     def load(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    def _table(self, name: str) -> str:
+        return f"`{re.sub(r'[^0-9a-z]', '_', self.root.rsplit('/', 1)[-1].lower())}_{name}`"
+
+    def save_buckets(self, df: DataFrame, name: str, buckets: int, keys: list[str]) -> DataFrame:
+        """``df`` as a table bucketed and sorted by ``keys``: joins and groups on them need no exchange."""
+        self.tables.add(name)
+        df.write.mode("overwrite").format("parquet").option("compression", "zstd").option("path", self.path(name)).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(self._table(name))
+        return self.table(name)
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.table(self._table(name))
+
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            if name in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self._table(name)}")
+                self.tables.discard(name)
+            _delete(self.spark, self.path(name))
+
+    def close(self) -> None:
+        """Removes the folder. What was not collected or written yet can't be read any more."""
+        self.drop(*self.tables)
+        _delete(self.spark, self.root)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _close_all() -> None:
+    """Results are read from their workspaces until the application ends; what it leaves then is nobody's."""
+    for workspace in list(_OPEN):
+        with contextlib.suppress(Exception):  # the session is stopped: its files can't be reached from here
+            if workspace.spark.sparkContext._jsc is not None:
+                workspace.close()
+
+
+atexit.register(_close_all)
 
 
 def one_of(columns: list[str], wanted: str) -> str:

@@ -1,9 +1,13 @@
 """Line deduplication over levelled sorted runs of line hashes (DataFrame functions only).
 
-A *run* is a table sorted by line hash with, for each key, the number of documents that hold it and the largest of
-their ids. Every batch of documents becomes one run at level 0: it is merge-anti-joined with the keys of the earlier
-runs, which tells its fresh keys from those met before, and is then added. When a level holds ``FANOUT`` runs they are
-merged into one run of the next level, so that a store of n batches has O(log n) runs.
+A *run* is a table of line hashes, sorted within buckets of their hash; all runs have the same number of buckets, so that
+joining and merging them moves no row of an earlier run. Every batch of documents is merge-anti-joined with the runs:
+keys that no run holds are its fresh keys, with the number of documents that hold them and the largest of their ids; for
+the others it keeps what it adds to these, apart. Both halves are the batch's run at level 0. When a level holds
+``FANOUT`` runs they are merged into one run of the next level, so that a store of n batches has O(log n) runs.
+
+A key is fresh in exactly one run. So the repeated lines come from the fresh halves as they stand, with the sums of
+the other halves joined to them: only lines that came again in a later batch are ever grouped anew.
 
 Keys are 128 bits (two differently seeded 64-bit hashes), so that distinct lines don't meet at 10^12 lines.
 
@@ -37,34 +41,35 @@ class LineRuns:
     def __init__(self, spark: SparkSession, workspace: Workspace | None = None) -> None:
         self.spark = spark
         self.workspace = workspace or Workspace(spark, "line-runs")
+        # that of Spark's own exchanges: a batch is dealt once, by the exchange of its aggregation
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
         self._made = 0
 
     def _write(self, run: DataFrame, level: int) -> str:
-        name = f"level{level}-run{self._made}"
+        name = f"level{level}_run{self._made}"
         self._made += 1
-        self.workspace.save(run.sortWithinPartitions("h1", "h2"), name)
+        self.workspace.save_buckets(run, name, self.buckets, ["h1", "h2"])
         return name
 
     def runs(self) -> list[str]:
         return [name for level in self.levels for name in level]
 
     def _union(self, names: list[str]) -> DataFrame:
-        out = self.workspace.load(names[0])
+        out = self.workspace.table(names[0])
         for name in names[1:]:
-            out = out.unionByName(self.workspace.load(name))
+            out = out.unionByName(self.workspace.table(name))
         return out
 
     def add(self, keys: DataFrame) -> None:
-        """``keys``: h1, h2, doc_id, one row for each document and distinct key of a new batch.
-
-        One merge join with the runs gives both halves: fresh keys (the anti-join) and counts for known ones.
-        """
+        """``keys``: h1, h2, doc_id, one row for each document and distinct key of a new batch."""
         batch = keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
         if names := self.runs():
             known = self._union(names).where("fresh").select("h1", "h2")
-            marked = known.withColumn("known", F.lit(True))
-            batch = batch.join(marked, ["h1", "h2"], "left").withColumn("fresh", F.col("known").isNull()).drop("known")
+            batch = self.workspace.save_buckets(batch, f"batch{self._made}", self.buckets, ["h1", "h2"])
+            fresh = batch.join(known.hint("merge"), ["h1", "h2"], "left_anti").withColumn("fresh", F.lit(True))
+            again = batch.join(known.hint("merge"), ["h1", "h2"], "left_semi").withColumn("fresh", F.lit(False))
+            batch = fresh.unionByName(again)
         else:
             batch = batch.withColumn("fresh", F.lit(True))
         self.levels[0].append(self._write(batch, 0))
@@ -85,8 +90,11 @@ class LineRuns:
     def repeated(self, min_docs: int) -> DataFrame:
         """h1, h2, last_doc of every key that at least ``min_docs`` documents hold."""
         rows = self._union(self.runs())
-        totals = rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
-        return totals.where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc")
+        more = rows.where("NOT fresh").groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_more"), F.max("last_doc").alias("last_more"))
+        totals = rows.where("fresh").join(more, ["h1", "h2"], "left")
+        enough = totals.where(F.col("n_docs") + F.coalesce("n_more", F.lit(0)) >= min_docs)
+        # greatest() passes over nulls
+        return enough.select("h1", "h2", F.greatest("last_doc", "last_more").alias("last_doc"))
 
 
 def _long_lines(docs: DataFrame, text: str, min_chars: int) -> DataFrame:

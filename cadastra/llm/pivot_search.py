@@ -1,12 +1,17 @@
 """Exact top-k by inner product with pivot-table elimination.
 
-Distances of every vector to ``PIVOTS`` pivots are computed once for its block. For a query q and a candidate x, each
-pivot gives |d(q, p) - d(x, p)| <= d(q, x); the largest is the best lower bound of the distance, and
-(|q|^2 + |x|^2 - bound^2) / 2 an upper bound of the inner product. Candidates are evaluated in the order of that bound
-until it falls below the k-th best score found: what is left cannot enter the result.
+Distances of every vector to ``PIVOTS`` pivots are computed once and stored beside its block. For a query q and a
+candidate x, each pivot gives |d(q, p) - d(x, p)| <= d(q, x); the largest is the best lower bound of the distance, and
+(|q|^2 + |x|^2 - bound^2) / 2 an upper bound of the inner product. The first ``FEW`` pivots are looked at for every
+candidate, the others for those that remain. Candidates are evaluated in the order of their bound until it falls below
+the k-th best score found: what is left cannot enter the result.
 
-Pivots are chosen farthest-first from a sample of ``SAMPLE`` vectors; any choice gives exact results. Queries are dealt
-to the candidates in blocks; a block of queries meets every block of candidates once, in ``slots`` groups of equal size.
+A query starts with the k-th best score of one block that all queries meet first, and carries it on from block to block
+of its task. Query blocks and data blocks are dealt to a grid of groups of at most ``DATA_BLOCKS`` and ``QUERY_BLOCKS``
+blocks by shuffles; nothing is broadcast.
+
+Pivots are chosen farthest-first from a sample of ``SAMPLE`` vectors; any choice gives exact results. Vectors of a length
+that the sample lacks have the origin as their one pivot.
 
 Defined results: a row with the query's own id is the query's own; a repeated query id is answered once (by one of its
 rows); repeated candidate rows each count; vectors of another length than the query's are no candidates; scores beyond a
@@ -15,18 +20,21 @@ long are held at its limits. Extra columns are not carried; an empty table gives
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadastra.llm.vectors import blocks, unpack, usable
+from cadastra.llm.vectors import BLOCKS, blocks, unpack, usable
 from cadastra.runtime import Workspace, ship_package
 
-PIVOTS, SAMPLE = 16, 2000
+PIVOTS, FEW, SAMPLE = 64, 16, 2000
 QUERY_BLOCK, BLOCK = 512, 4096
+DATA_BLOCKS, QUERY_BLOCKS = 32, 64
 LONG = range(-(1 << 63), 1 << 63)
 
 
@@ -48,56 +56,115 @@ def held(score: int) -> int:
     return min(max(score, LONG[0]), LONG[-1])
 
 
-def block_top_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, data: np.ndarray, pivots: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    """(query, candidate, score) of each query's k best candidates in one block. Components are whole numbers."""
-    exact = max(np.abs(queries).max(initial=0), 1) * max(np.abs(data).max(initial=0), 1) * data.shape[1] < 2**53
-    dq, dx = _distances(queries, pivots), _distances(data, pivots)
-    q2, x2 = (queries * queries).sum(1), (data * data).sum(1)
-    for at in range(len(queries)):
-        lower = np.abs(dx - dq[at]).max(1)
+class Block:
+    """Vectors of whole numbers with their ids, lengths and distances to the pivots."""
+
+    def __init__(self, ids: np.ndarray, data: np.ndarray, distances: np.ndarray) -> None:
+        self.ids, self.data = ids, data
+        self.few, self.distances = np.ascontiguousarray(distances[:, :FEW]), distances
+        self.squares = (data * data).sum(1)
+        self.largest = np.abs(data).max(initial=0)
+
+    @staticmethod
+    def of(row: pd.Series | dict) -> Block:
+        ids, data = unpack(row["ids"], row["data"], row["dim"])
+        return Block(ids, data, np.frombuffer(row["distances"], dtype=np.float64).reshape(len(ids), -1))
+
+
+def block_top_k(asked: Block, held_by: Block, best: list[list[tuple[int, int]]], k: int, floors: np.ndarray | None = None) -> None:
+    """Enters each query's best candidates of one block in ``best``: heaps of (score, -candidate), the worst first.
+
+    ``floors``: a score for each query that its k best all reach.
+    """
+    exact = max(asked.largest, 1) * max(held_by.largest, 1) * held_by.data.shape[1] < 2**53
+    for at, mine in enumerate(best):
+        q, q2 = asked.data[at], asked.squares[at]
+        floor = -np.inf if floors is None else floors[at]
+        if len(mine) == k:
+            floor = max(floor, mine[0][0])
         # rounding of the distances must not hide a candidate
-        slack = 1e-6 * (q2[at] + x2) + 1e-6
-        upper = (q2[at] + x2 - lower * lower) / 2 + slack
-        upper[ids == query_ids[at]] = -np.inf
+        slack = 1e-6 * (q2 + held_by.squares) + 1e-6
+        upper = (q2 + held_by.squares - np.square(np.abs(held_by.few - asked.few[at]).max(1))) / 2 + slack
+        rest = np.flatnonzero((upper >= floor) & (held_by.ids != asked.ids[at]))
+        bound = np.abs(held_by.distances[rest] - asked.distances[at]).max(1, initial=0)
+        upper = (q2 + held_by.squares[rest] - bound * bound) / 2 + slack[rest]
         order = np.argsort(-upper, kind="stable")
-        best: list[tuple[float, int]] = []
+        rest, upper = rest[order], upper[order]
         done, step = 0, 64
-        while done < len(order) and upper[order[done]] > -np.inf and (len(best) < k or upper[order[done]] >= best[-1][0] * -1):
-            now = order[done : done + step]
-            now = now[upper[now] > -np.inf]
-            scores = data[now] @ queries[at] if exact else np.array([held(sum(int(a) * int(b) for a, b in zip(row, queries[at], strict=True))) for row in data[now]], dtype=object)
-            best = sorted([*best, *((-s, int(i)) for s, i in zip(scores.tolist(), ids[now].tolist(), strict=True))])[:k]
+        while done < len(rest) and upper[done] >= floor:
+            now = rest[done : done + step]
+            scores = (held_by.data[now] @ q).astype(np.int64).tolist() if exact else [held(sum(int(a) * int(b) for a, b in zip(row, q, strict=True))) for row in held_by.data[now]]
+            for entry in zip(scores, (-held_by.ids[now]).tolist(), strict=True):
+                if len(mine) < k:
+                    heapq.heappush(mine, entry)
+                elif entry > mine[0]:
+                    heapq.heapreplace(mine, entry)
+            if len(mine) == k:
+                floor = max(floor, mine[0][0])
             done, step = done + step, 2 * step
-        for score, number in best:
-            yield int(query_ids[at]), number, int(-score)
+
+
+def _task(k: int) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    def run(key: tuple, data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[int, int, int]] = []
+        candidates = [Block.of(row) for _, row in data.iterrows()] if len(asked) else []
+        for _, row in asked.iterrows() if len(data) else ():
+            queries = Block.of(row)
+            best: list[list[tuple[int, int]]] = [[] for _ in queries.ids]
+            floors = np.frombuffer(row["floors"], dtype=np.float64)
+            for block in candidates:
+                block_top_k(queries, block, best, k, floors)
+            found += [(int(q), -minus, score) for q, mine in zip(queries.ids, best, strict=True) for score, minus in mine]
+        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype="int64")
+
+    return run
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int, workspace: Workspace) -> DataFrame:
     """query_id, rank, vec_id, score. ``vectors``: id, values (array<double> of whole numbers)."""
     spark = vectors.sparkSession
     ship_package(spark)
-    everything = workspace.save(blocks(vectors, BLOCK), "blocks")
-    asked = workspace.save(blocks(vectors.where(is_query).dropDuplicates(["id"]), QUERY_BLOCK), "queries")
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("values").collect()
     by_length: dict[int, list] = {}
     for row in sample:
         by_length.setdefault(len(row["values"]), []).append(row["values"])
     pivots = {dim: choose_pivots(np.array(rows)) for dim, rows in by_length.items()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [unpack(ids, data, dim)[1] for ids, data, dim in zip(*(batch.column(c).to_pylist() for c in ("ids", "data", "dim")), strict=True)]
+            stored = [_distances(data, pivots.get(data.shape[1], np.zeros((1, data.shape[1])))).tobytes() for data in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(stored, pa.binary())], names=[*batch.schema.names, "distances"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            floors = []
             for row in batch.to_pylist():
-                ids, data = unpack(row["ids"], row["data"], row["dim"])
-                query_ids, queries = unpack(row["query_ids"], row["query_data"], row["dim"])
-                table = pivots.get(row["dim"], data[:1])
-                found = list(block_top_k(query_ids, queries, ids, data, table, k))
-                columns = zip(*found, strict=True) if found else ([], [], [])
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-    slots = max(1, min(everything.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    left = everything.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int"))
-    right = asked.select("dim", F.col("ids").alias("query_ids"), F.col("data").alias("query_data"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    found = left.join(right, ["dim", "slot"]).select("dim", "ids", "data", "query_ids", "query_data").mapInArrow(run, "query_id long, vec_id long, score long")
+                queries = Block.of(row)
+                best: list[list[tuple[int, int]]] = [[] for _ in queries.ids]
+                block_top_k(queries, Block.of({"dim": row["dim"]} | {c: row[f"first_{c}"] for c in ("ids", "data", "distances")}), best, k)
+                floors.append(np.array([mine[0][0] if len(mine) == k else -np.inf for mine in best], dtype=np.float64).tobytes())
+            kept = [batch.column(c) for c in ("dim", "block", "ids", "data", "distances")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(floors, pa.binary())], names=["dim", "block", "ids", "data", "distances", "floors"])
+
+    everything = workspace.save(blocks(vectors, BLOCK).mapInArrow(measured, f"{BLOCKS}, distances binary"), "blocks")
+    asked = workspace.save(blocks(vectors.where(is_query).dropDuplicates(["id"]), QUERY_BLOCK).mapInArrow(measured, f"{BLOCKS}, distances binary"), "queries")
+    # one block of each length
+    seeds = everything.join(everything.groupBy("dim").agg(F.min("block").alias("block")), ["dim", "block"])
+    seeds = seeds.select("dim", *(F.col(c).alias(f"first_{c}") for c in ("ids", "data", "distances")))
+    met = asked.hint("merge").join(seeds, "dim").mapInArrow(first, "dim int, block string, ids binary, data binary, distances binary, floors binary")
+    met = workspace.save(met, "met")
+    n_data, n_asked = everything.count(), met.count()
+    slots = max(1, -(-n_data // DATA_BLOCKS))
+    # as many groups as keep every core busy
+    q_slots = max(1, -(-n_asked // QUERY_BLOCKS), min(n_asked, -(-2 * spark.sparkContext.defaultParallelism // slots)))
+
+    def dealt(table: DataFrame, mine: str, n: int, other: str, m: int) -> DataFrame:
+        return table.withColumn(mine, F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    keys = ["dim", "slot", "q_slot"]
+    left, right = dealt(everything, "slot", slots, "q_slot", q_slots), dealt(met, "q_slot", q_slots, "slot", slots)
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_task(k), "query_id long, vec_id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -1,13 +1,14 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs, one per shard.
 
 Equal vectors are one node with a count. Nodes are dealt by a hash into shards (``SHARDS``, more where a shard would
-pass ``SHARD_ROWS``); a task builds the graph of a shard. Every node then queries every shard. A beam starts at
-``BEAM``, or a row in ``BEAM_ROWS`` of a larger shard, and doubles until a recall audit of the block passes; later blocks of the task begin
-where it ended. The audit holds against all rows of the shard what ``AUDIT`` queries find beside themselves, and what
-``PROBES`` planted ones find: queries that are moved away from, or towards, their nearest row of the shard until that is
-just a link, so that there is evidence where links are rare. A beam that takes longer than all rows of the shard isn't
-tried: all rows answer then, in blocks. They also answer a query whose beam is full of links, which can have more of
-them than the beam holds. Cosines are verified in double precision.
+pass ``SHARD_ROWS`` rows or ``SHARD_BYTES``); a task builds the graph of a shard, in the order of another hash, and links
+what can't be reached from its entry. Every node then queries every shard. A query goes on through every node that is a
+link, and through ``beam`` others beside them, so the beam widens with the links of the query and no number of them fills
+it. It starts at ``BEAM``, or a row in ``BEAM_ROWS`` of a larger shard, and doubles until the task's recall audit passes. The
+audit holds against all rows of the shard what ``AUDIT`` queries find beside themselves, and what ``PROBES`` planted ones find:
+queries that are moved away from, or towards, their nearest row of the shard until that is just a link, so that there is
+evidence where links are rare. These rows are the only ones that are ever gone through whole. A beam as wide as the shard
+reaches all of it, so the audit ends. Cosines are verified in double precision.
 
 Links are counted where they are found. For the components, a task joins what it finds in a union-find and hands on a
 spanning forest, never the pairs: it has at most one row for each node that the task has seen.
@@ -28,15 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadastra.llm.graph import connected_components
+from cadastra.llm.shingles import mixed
 from cadastra.llm.vectors import blocks, unpack, usable
 from cadastra.runtime import Workspace, ship_package
 
 THRESHOLD = 0.9
-SHARDS, SHARD_ROWS = 6, 50_000
+SHARDS, SHARD_ROWS, SHARD_BYTES = 6, 50_000, 256_000_000
 NEIGHBOURS, BUILD_BEAM, BEAM = 12, 32, 16
 BEAM_ROWS = 250
-#: Rows that are gone through, at the least, while a beam handles one of its nodes (measured: about 1,600).
-NODE_ROWS = 200
 AUDIT, PROBES, RECALL = 48, 200, 0.995
 QUERY_BLOCK, BLOCKS_PER_TASK = 1024, 64
 GRAPHS = "dim int, shard int, ids binary, counts binary, data binary, levels binary, links binary"
@@ -56,6 +56,26 @@ class Hnsw:
         self.entry = -1
         for node in range(len(unit)):
             self._insert(node)
+        self._join_up()
+
+    def _join_up(self) -> None:
+        """Links every node of the lowest layer that no path from the entry reaches."""
+        if self.entry < 0:
+            return
+        layer, seen = self.links[0], {self.entry}
+
+        def spread(ahead: list[int]) -> None:
+            while ahead:
+                fresh = [n for n in layer[ahead.pop()] if n not in seen]
+                seen.update(fresh)
+                ahead += fresh
+
+        spread([self.entry])
+        for node in range(len(self.unit)):
+            if node not in seen:
+                layer[next((n for n in layer[node] if n in seen), self.entry)].append(node)
+                seen.add(node)
+                spread([node])
 
     def packed(self) -> tuple[bytes, bytes]:
         """Levels and links, the latter as rows of (layer, node, number of links, links)."""
@@ -148,13 +168,35 @@ class Hnsw:
         if level > top:
             self.entry = node
 
-    def query(self, q: np.ndarray, beam: int) -> list[tuple[float, int]]:
+    def query(self, q: np.ndarray, beam: int, least: float = np.inf) -> list[tuple[float, int]]:
+        """(cosine, node) of what lies at ``least`` or nearer, and of the ``beam`` nearest others."""
         if self.entry < 0:
             return []
         at = [(float(self.unit[self.entry] @ q), self.entry)]
         for layer in range(int(self.levels[self.entry]), 0, -1):
             at = [max(self._search(q, at, layer, 1))]
-        return self._search(q, at, 0, beam)
+        links, unit = self.links[0], self.unit
+        near, others = [x for x in at if x[0] >= least], [x for x in at if x[0] < least]
+        seen, ahead = {n for _, n in at}, [(-s, n) for s, n in at]
+        while ahead:
+            score, node = heapq.heappop(ahead)
+            if len(others) >= beam and -score < others[0][0]:
+                break
+            fresh = [n for n in links[node] if n not in seen]
+            if not fresh:
+                continue
+            seen.update(fresh)
+            for s, n in zip((unit[fresh] @ q).tolist(), fresh, strict=True):
+                if s >= least:
+                    near.append((s, n))
+                elif len(others) < beam:
+                    heapq.heappush(others, (s, n))
+                elif s > others[0][0]:
+                    heapq.heapreplace(others, (s, n))
+                else:
+                    continue
+                heapq.heappush(ahead, (-s, n))
+        return near + others
 
 
 def unit_rows(data: np.ndarray) -> np.ndarray:
@@ -200,66 +242,46 @@ def _at_threshold(unit: np.ndarray, queries: np.ndarray, own: np.ndarray, thresh
     return np.where(length > 1e-6, cosine * near + np.sqrt(1 - cosine * cosine) * aside / np.maximum(length, 1e-6), near)
 
 
-def shard_links(unit: np.ndarray, queries: np.ndarray, graph: Hnsw, threshold: float, beam: int = BEAM, own: np.ndarray | None = None) -> tuple[list[np.ndarray], int]:
-    """For each query, the rows of the shard with a cosine of at least ``threshold``; and the beam that passed the audit.
-
-    ``own``: the row that a query itself is, or -1.
-    """
-    slack = np.float32(threshold - 1e-4)
+def audited_beam(unit: np.ndarray, queries: np.ndarray, graph: Hnsw, threshold: float, beam: int = BEAM, own: np.ndarray | None = None) -> int:
+    """The beam that passes the recall audit; ``own``: the row that a query itself is, or -1."""
     own = np.full(len(queries), -1) if own is None else own
 
-    def verified(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        return rows[unit[rows] @ q >= threshold] if len(rows) else rows
-
-    def all_rows(asked: np.ndarray, numbers: np.ndarray) -> dict[int, np.ndarray]:
-        out: dict[int, np.ndarray] = {}
-        for start in range(0, len(numbers), 256):
-            part = numbers[start : start + 256]
-            hits = (graph.unit @ asked[part].astype(np.float32).T) >= slack
-            out |= {int(q): verified(asked[q], np.flatnonzero(hits[:, i])) for i, q in enumerate(part)}
-        return out
-
-    def by_beam(asked: np.ndarray, numbers: np.ndarray, width: int) -> tuple[dict[int, np.ndarray], list[int]]:
-        out, full = {}, []
-        for q in numbers.tolist():
-            found = graph.query(asked[q].astype(np.float32), width)
-            near = np.array([n for s, n in found if s >= slack], dtype=np.int64)
-            if len(near) >= width:
-                full.append(q)
-            else:
-                out[q] = verified(asked[q], near)
-        return out, full
-
     def spread(count: int) -> np.ndarray:
         return np.unique(np.linspace(0, len(queries) - 1, min(count, len(queries))).astype(np.int64))
 
-    def fits(width: int) -> bool:
-        return width * NODE_ROWS < len(unit)
-
-    numbers = np.arange(len(queries))
     beam = max(beam, len(unit) // BEAM_ROWS)
-    if len(unit) and fits(beam):
-        some = spread(PROBES)
-        asked = np.concatenate([queries[spread(AUDIT)], _at_threshold(unit, queries[some], own[some], threshold)])
-        mine = np.concatenate([own[spread(AUDIT)], np.full(len(some), -1)])
-        truth = {q: rows[rows != mine[q]] for q, rows in all_rows(asked, np.arange(len(asked))).items()}
-        while fits(beam):
-            got, full = by_beam(asked, np.arange(len(asked)), beam)
-            there = sum(len(truth[q]) for q in got)
-            # each kind by itself: links of a group that are easily found don't speak for rare ones
-            planted = [q for q in got if q >= len(asked) - len(some)]
-            kinds = [[q for q in got if q < len(asked) - len(some)], planted]
-            if (there or not got) and all(sum(len(np.intersect1d(truth[q], got[q])) for q in kind) >= RECALL * sum(len(truth[q]) for q in kind) for kind in kinds):
-                break
-            beam *= 2
-    found, full = by_beam(queries, numbers, beam) if fits(beam) else ({}, numbers.tolist())
-    if full:
-        found |= all_rows(queries, np.array(full))
-    return [found[q] for q in range(len(queries))], beam
+    if not len(unit) or not len(queries):
+        return beam
+    few, some = spread(AUDIT), spread(PROBES)
+    asked = np.concatenate([queries[few], _at_threshold(unit, queries[some], own[some], threshold)])
+    mine = np.concatenate([own[few], np.full(len(some), -1)])
+    slack = threshold - 1e-4
+    hits = asked @ unit.T >= threshold
+    truth = [np.setdiff1d(np.flatnonzero(row), [m]) for row, m in zip(hits, mine, strict=True)]
+    while beam < len(unit):
+        got = [[n for _, n in graph.query(q.astype(np.float32), beam, slack)] for q in asked]
+        there = [len(np.intersect1d(t, g)) for t, g in zip(truth, got, strict=True)]
+        wanted = [len(t) for t in truth]
+        # each kind by itself: links of a group that are easily found don't speak for rare ones
+        if all(sum(there[part]) >= RECALL * sum(wanted[part]) for part in (slice(len(few)), slice(len(few), None))):
+            break
+        beam *= 2
+    return beam
+
+
+def shard_links(unit: np.ndarray, queries: np.ndarray, graph: Hnsw, threshold: float, beam: int = 0) -> list[np.ndarray]:
+    """For each query, the rows of the shard with a cosine of at least ``threshold`` that ``beam`` (0: the one that an audit passes) finds."""
+    slack, beam = threshold - 1e-4, beam or audited_beam(unit, queries, graph, threshold)
+    out = []
+    for q in queries:
+        rows = np.array([n for s, n in graph.query(q.astype(np.float32), beam, slack) if s >= slack], dtype=np.int64)
+        out.append(rows[unit[rows] @ q >= threshold] if len(rows) else rows)
+    return out
 
 
 def _build(key: tuple, nodes: pd.DataFrame) -> pd.DataFrame:
-    nodes = nodes.sort_values("id", kind="stable")
+    # neighbours of one group, whose ids may follow one another, are not inserted in a row
+    nodes = nodes.iloc[np.lexsort((nodes["id"], mixed(nodes["id"].to_numpy().astype(np.uint64))))]
     data = np.array(nodes["values"].tolist(), dtype=np.float64)
     levels, links = Hnsw(unit_rows(data)).packed()
     return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "ids": [nodes["id"].to_numpy("<i8").tobytes()], "counts": [nodes["count"].to_numpy("<i8").tobytes()], "data": [data.tobytes()], "levels": [levels], "links": [links]})
@@ -275,14 +297,17 @@ def _task(threshold: float) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.
         ids, data = unpack(row["ids"], row["data"], dim)
         counts, unit = np.frombuffer(row["counts"], dtype="<i8"), unit_rows(data)
         graph = Hnsw.unpacked(unit, row["levels"], row["links"])
-        forest, parts, beam = Forest(), [], BEAM
+        forest, parts, beam = Forest(), [], 0
         order = np.argsort(ids, kind="stable")
         for block_ids, block_data in zip(asked["ids"], asked["data"], strict=True):
             query_ids, queries = unpack(block_ids, block_data, dim)
             totals = []
             place = order[np.minimum(np.searchsorted(ids[order], query_ids), len(ids) - 1)]
             own = np.where(ids[place] == query_ids, place, -1)
-            found_rows, beam = shard_links(unit, unit_rows(queries), graph, threshold, beam, own)
+            turned = unit_rows(queries)
+            # once for a task: what is gone through whole doesn't grow with the queries
+            beam = beam or audited_beam(unit, turned, graph, threshold, own=own)
+            found_rows = shard_links(unit, turned, graph, threshold, beam)
             for q, rows in zip(query_ids.tolist(), found_rows, strict=True):
                 rows = rows[ids[rows] != q]
                 totals.append(int(counts[rows].sum()))
@@ -305,7 +330,8 @@ def near_duplicates(vectors: DataFrame, workspace: Workspace, threshold: float =
     nodes = rows.where("fine").groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("count"), F.first("values").alias("values"))
     nodes = workspace.save(nodes.where("id IS NOT NULL"), "nodes")
     total = nodes.count()
-    shards = max(SHARDS, -(-total // SHARD_ROWS))
+    longest = nodes.agg(F.max(F.size("values"))).first()[0] or 1
+    shards = max(SHARDS, -(-total // SHARD_ROWS), -(-total * longest * 8 // SHARD_BYTES))
     in_shard = nodes.select(F.size("values").alias("dim"), F.pmod(F.xxhash64("h1", F.lit("shard")), F.lit(shards)).cast("int").alias("shard"), "id", "count", "values")
     graphs = workspace.save(in_shard.groupBy("dim", "shard").applyInPandas(_build, GRAPHS), "graphs")
     asked = workspace.save(blocks(nodes, QUERY_BLOCK), "queries")

@@ -6,6 +6,7 @@ import base64
 import hashlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cadastra.llm import graph, hnsw, pivot_search, warc
@@ -80,6 +81,24 @@ def test_hnsw_finds_rare_links():
     assert sum(len(r) for r in rows) >= 0.99 * truth.sum()
 
 
+@pytest.mark.parametrize("size", [1, 40, 100])
+@pytest.mark.parametrize("in_order", [False, True])
+def test_hnsw_finds_groups_by_its_graph(size, in_order):
+    rng = np.random.default_rng(size)
+    unit = hnsw.unit_rows(np.repeat(rng.normal(size=(1000 // size, 32)), size, axis=0) + 0.05 * rng.normal(size=(1000 // size * size, 32)))
+    unit = unit if in_order else unit[rng.permutation(len(unit))]
+    graph, truth = hnsw.Hnsw(unit), (unit @ unit.T) >= 0.9
+    # a beam that is narrower than the groups, and no audit, which alone looks at all rows
+    found = hnsw.shard_links(unit, unit[:200], graph, 0.9, beam=32)
+    assert sum(len(r) for r in found) >= 0.995 * truth[:200].sum()
+
+
+def test_hnsw_reaches_every_node():
+    unit = hnsw.unit_rows(np.repeat(np.eye(8), 60, axis=0) + 1e-3 * np.random.default_rng(5).normal(size=(480, 8)))
+    graph = hnsw.Hnsw(unit, neighbours=3, build_beam=4)
+    assert len(graph.query(unit[0].astype(np.float32), len(unit))) == len(unit)
+
+
 def test_hnsw_of_nothing(spark):
     assert hnsw.near_duplicates(table(spark, []), Workspace(spark, "t")).count() == 0
     rows = hnsw.near_duplicates(table(spark, odd_vectors()[:2]), Workspace(spark, "t")).collect()

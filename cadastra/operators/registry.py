@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from cadastra.operators import aggregates, dml, filters, joins, programs, scalars, scoring, windows
+from cadastra.operators import aggregates, dml, filters, joins, programs, records, scalars, scoring, windows
 from cadastra.plans.operator import Operator, registry
 
 OPERATORS: list[Operator] = [o for m in (filters, joins, aggregates, windows, scoring, scalars, dml) for o in m.OPERATORS]
 QUERIES, ORACLE_SQL = registry(OPERATORS)
 QUERIES |= programs.QUERIES
 ORACLE_SQL |= programs.ORACLE_SQL
+QUERIES |= records.QUERIES
+ORACLE_SQL |= records.ORACLE_SQL
 BY_NAME = {o.name: o for o in OPERATORS}

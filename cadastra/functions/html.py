@@ -46,6 +46,7 @@ class PageParser(HTMLParser):
         self._label: str | None = None
         self._link: tuple[str, list[str]] | None = None
         self._grid_on = False
+        self._unit: str | None = None
         self._silent = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -66,8 +67,9 @@ class PageParser(HTMLParser):
             self._value(values.get("value", ""))
         elif tag == "option" and "selected" in values:
             self._capture, self._text = "option", []
-        if self._grid_on and tag in ("div", "td", "span") and values.get("class", "").startswith("bg_"):
-            self.grid.append({"class": values["class"].split()[0], "title": squash(values.get("title", ""))})
+        if self._grid_on and tag in ("div", "td", "span") and values.get("class", "").startswith("bg_ll"):
+            self.grid.append({"class": values["class"].split()[0], "text": "", "title": squash(values.get("title", ""))})
+            self._unit = tag
 
     def _value(self, text: str) -> None:
         text = squash(text)
@@ -82,6 +84,8 @@ class PageParser(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self._silent:
             return
+        if self._unit:
+            self.grid[-1]["text"] = squash(f"{self.grid[-1]['text']} {data}")
         if self._link is not None:
             self._link[1].append(data)
         if self._capture:
@@ -96,6 +100,8 @@ class PageParser(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in SILENT and self._silent:
             self._silent -= 1
+        if tag == self._unit:
+            self._unit = None
         if tag == self._capture:
             text, self._capture = squash("".join(self._text)), None
             if tag == "title":

@@ -19,11 +19,11 @@ READ_MODEL = """
 
 SEARCH = """
     WITH latest AS (SELECT project_id, min(min_price) AS min_price, max(max_price) AS max_price FROM (
-        SELECT *, max(snapshot_date) OVER (PARTITION BY project_id) AS last_date FROM {snapshots} WHERE is_active) s WHERE snapshot_date = last_date GROUP BY project_id)
-    SELECT project_id, project_name, district, min_price, max_price, total FROM (
-      SELECT p.project_id, p.project_name, p.district, l.min_price, l.max_price, count(*) OVER () AS total
+        SELECT *, max(snapshot_date) OVER (PARTITION BY project_id) AS last_date FROM {snapshots} WHERE is_active) s WHERE snapshot_date = last_date GROUP BY project_id),
+    hits AS (SELECT p.project_id, p.project_name, p.district, l.min_price, l.max_price
       FROM {projects} p JOIN latest l ON l.project_id = p.project_id LEFT JOIN {scores} s ON s.project_id = p.project_id
-      WHERE p.status IN ('O', 'F') AND l.max_price >= 15000 AND l.min_price <= 60000 AND s.overall_score >= 20) f
+      WHERE p.status IN ('O', 'F') AND l.max_price >= 15000 AND l.min_price <= 60000 AND s.overall_score >= 20)
+    SELECT project_id, project_name, district, min_price, max_price, (SELECT count(*) FROM hits) AS total FROM hits
     ORDER BY min_price, project_id LIMIT 20"""
 
 OPERATORS = [

@@ -18,7 +18,7 @@ def grid(radius_km: float, max_lat: float) -> tuple[float, float]:
     return height, height / math.cos(math.radians(max_lat))
 
 
-def radius_join(left: str, right: str, left_cols: str, right_cols: str, radius_km: float, max_lat: float = 36.0, where: str = "TRUE") -> str:
+def radius_join(left: str, right: str, left_cols: str, right_cols: str, radius_km: float, max_lat: float = 40.0, where: str = "TRUE") -> str:
     """SELECT of ``left_cols`` (of l), ``right_cols`` (of r) and km for all pairs within the radius."""
     h, w = grid(radius_km, max_lat)
     cell = lambda x, size: f"CAST(floor({x} / {size!r}e0) AS BIGINT)"
@@ -59,6 +59,14 @@ OPERATORS = [
                count(CASE WHEN km <= 10 THEN 1 END) AS within_10, round(min(km), 3) AS nearest_km
         FROM ({radius_join('{projects}', '{poi}', 'l.project_id', 'r.poi_id, r.amenity_type', 10)}) t
         GROUP BY project_id, amenity_type"""),
+    # zero rows too: every located project with each kind and radius (the cross join is with twelve literals)
+    Operator("agg13_poi_counts_dense", ("AGG13", "JN14"), lambda d: f"""
+        SELECT p.project_id, t.amenity_type, t.radius_km, coalesce(c.n, 0) AS nearby_count, c.nearest_km
+        FROM {{projects}} p CROSS JOIN ({' UNION ALL '.join(f"SELECT '{k}' AS amenity_type, {r} AS radius_km" for k in ('grocery', 'school', 'hospital', 'bank') for r in (1, 3, 10))}) t
+        LEFT JOIN (SELECT project_id, amenity_type, radius_km, count(*) AS n, round(min(km), 3) AS nearest_km
+                   FROM ({radius_join('{projects}', '{poi}', 'l.project_id', 'r.poi_id, r.amenity_type', 10)}) x JOIN (SELECT 1 AS radius_km UNION ALL SELECT 3 UNION ALL SELECT 10) r ON x.km <= r.radius_km
+                   GROUP BY project_id, amenity_type, radius_km) c ON c.project_id = p.project_id AND c.amenity_type = t.amenity_type AND c.radius_km = t.radius_km
+        WHERE p.lat IS NOT NULL AND p.lon IS NOT NULL"""),
     Operator("jn15_children_preaggregated", ("JN15",), lambda d: """
         SELECT p.project_id, coalesce(u.units, 0) AS units, coalesce(v.checks, 0) AS checks FROM {projects} p
         LEFT JOIN (SELECT project_id, count(*) AS units FROM {units} GROUP BY project_id) u ON u.project_id = p.project_id

@@ -43,7 +43,7 @@ OPERATORS = [
         SELECT p.project_id, coalesce(s.overall_score, 0) AS sort_score, lower(p.project_name) AS sort_name FROM {projects} p LEFT JOIN {scores} s ON s.project_id = p.project_id
         ORDER BY coalesce(s.overall_score, 0) DESC, lower(p.project_name), p.project_id LIMIT 60"""),
     Operator("srt01_price_order", ("SRT01", "SRT04"), lambda d: "SELECT project_id, total_price FROM {projects} ORDER BY total_price ASC NULLS LAST, project_id LIMIT 60"),
-    Operator("srt02_page_with_total", ("SRT02",), lambda d: "SELECT project_id, total FROM (SELECT project_id, total_price, count(*) OVER () AS total FROM {projects} WHERE status = 'O' AND total_price IS NOT NULL) t ORDER BY total_price DESC, project_id LIMIT 20 OFFSET 20"),
+    Operator("srt02_page_with_total", ("SRT02",), lambda d: "WITH hits AS (SELECT project_id, total_price FROM {projects} WHERE status = 'O' AND total_price IS NOT NULL) SELECT project_id, (SELECT count(*) FROM hits) AS total FROM hits ORDER BY total_price DESC, project_id LIMIT 20 OFFSET 20"),
     Operator("srt05_queue_order", ("SRT05", "STM08"), lambda d: "SELECT file_id, status, retry_count FROM {downloads} WHERE status IN ('pending', 'failed') ORDER BY retry_count, created_at, file_id LIMIT 100"),
     Operator("srt06_landmarks_by_importance", ("SRT06",), lambda d: "SELECT landmark_id, name, importance FROM {landmarks} WHERE is_active ORDER BY importance DESC, name LIMIT 30"),
     Operator("srt09_media_order", ("SRT09", "SET03", "NST18"), lambda d: """

@@ -95,6 +95,10 @@ def settle(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.
     return bins, offsets, gaps
 
 
+#: Texts that tell whether a vocabulary can be used by chunks.
+PROBES = ["The Quick brown", "a  b\n\nc", "word, (word). 'tis it's", "über Straße naïve", " lead and trail ", "x--y a.b. U.S.A."]
+
+
 class WordTokenizer:
     """Ids by ``tokenizers``; a text's white-space separated chunks have ids of their own, so those of known chunks are kept.
 
@@ -107,6 +111,11 @@ class WordTokenizer:
 
         self.tool = Tokenizer.from_file(path)
         self.memo: dict[bytes, bytes] = {}
+        # another vocabulary may keep upper case, or see white space in its tokens: whole texts are encoded then
+        self.by_chunks = True
+        whole = [np.array(self._ids(p)).tobytes() for p in PROBES]
+        self.by_chunks = self.encode_many([p.encode() for p in PROBES]) == whole
+        self.memo.clear()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tool.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -126,6 +135,8 @@ class WordTokenizer:
         return STOP.sub(rb" \g<0>", text.lower()).split()
 
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
+        if not self.by_chunks:
+            return [self._ids(t.decode("utf-8", "replace")).tobytes() for t in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
         split = [self._chunks(t) for t in texts]

@@ -12,8 +12,9 @@ binary search over the ranges' first keys, one over the directory of the range f
 binary search in it, and a range read of the record. Queries come in key order, so blocks are read once. Payloads cross
 the network once, on their way to the archive; only index rows are sorted.
 
-Files go through ``pyarrow.fs`` to the shared folder, under a temporary name that is renamed at the end: a task that is
-run again, or twice at once, leaves the same file. The table of ranges is saved before anything is read back.
+Files go through ``pyarrow.fs`` to the shared folder, under a temporary name that is renamed at the end, and a final one
+that holds the task's attempt: a task that is run again, or twice at once, leaves another file, and the saved rows name the
+file of the attempt that they come from. The table of ranges is saved before anything is read back.
 
 Defined results: a null payload is empty, a null or unparsable URL gets the key of its text as it stands (null: empty);
 repeated rows are captures each of their own; of equal payloads of at least ``min_bytes``, the row with the largest
@@ -120,8 +121,9 @@ class _Files:
         self.part = context.partitionId()
         self.store, base = _store(root)
         self.store.create_dir(base, recursive=True)
-        self.final = {x: f"{base}/part-{self.part:06d}.{x}" for x in suffixes}
-        self.temporary = {x: f"{p}.{context.taskAttemptId()}.tmp" for x, p in self.final.items()}
+        # the attempt is in the name: rows may come in another order to another attempt, and offsets hold for one file only
+        self.final = {x: f"{base}/part-{self.part:06d}-{context.taskAttemptId()}.{x}" for x in suffixes}
+        self.temporary = {x: f"{p}.tmp" for x, p in self.final.items()}
         self.streams = {x: self.store.open_output_stream(p) for x, p in self.temporary.items()}
         self.at = dict.fromkeys(suffixes, 0)
 

@@ -365,3 +365,59 @@ def test_windows_cover_the_text():
     for text in (b"", b"a", b"a b  c " * 50, b"x" * 1000):
         joined = b" ".join(compression.windows(text, 40))
         assert joined.replace(b" ", b"") == text.replace(b" ", b"")
+
+
+def test_packing_encodes_whole_texts_where_a_vocabulary_needs_it(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    own = Tokenizer(models.WordLevel({"A": 1, "a": 2, "?": 0}, unk_token="?"))
+    own.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    own.save(str(tmp_path / "own.json"))
+    tool = packing.WordTokenizer(str(tmp_path / "own.json"))
+    assert not tool.by_chunks and np.frombuffer(tool.encode_many([b"A a b"])[0], dtype="<u4").tolist() == [1, 2, 0]
+    assert packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json")).by_chunks
+
+
+def test_packing_ends_where_no_sequence_fills(spark):
+    rows = spark.createDataFrame([(i, 0, 0, 1500, i) for i in range(200)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    packed = packing.pack(rows, shard=50)
+    assert packed.count() == 200 and packed.select("sequence_id").distinct().count() == 200
+
+
+def test_passages_with_each_kind_of_edit(spark):
+    rng = random.Random(41)
+    texts, pairs = [], 0
+    for words in (55, 60, 80, 95):
+        for put, drop in ((["new"], 1), (["new"], 0), ([], 1)):
+            for _ in range(8):
+                passage = sentence(rng, words).split()
+                edited = [*passage[: words // 2], *put, *passage[words // 2 + drop :]]
+                texts += [" ".join([sentence(rng, 40), *p, sentence(rng, 40)]) for p in (passage, edited)]
+                pairs += 1
+    rows = passage_dedup.find_matches(documents(spark, texts), Workspace(spark, "t")).collect()
+    assert all(r.a == r.b + 1 and r.b % 2 == 0 for r in rows)
+    assert len({r.a for r in rows}) >= 0.9 * pairs
+
+
+def test_passages_behind_a_line_that_many_hold(spark):
+    rng = random.Random(43)
+    line = sentence(rng, 14)
+    texts = [f"{sentence(rng, 60)} {line} {sentence(rng, 60)}" for _ in range(60)]
+    # the last two share 55 words around the line; 60 smaller ids hold the line alone
+    before, after = sentence(rng, 20), sentence(rng, 21)
+    texts += [f"{sentence(rng, 60)} {before} {line} {after} {sentence(rng, 60)}" for _ in range(2)]
+    rows = passage_dedup.find_matches(documents(spark, texts), Workspace(spark, "t")).collect()
+    assert {(r.a, r.b) for r in rows} == {(61, 60)}
+
+
+def test_line_runs_are_not_shuffled_again(spark):
+    store = line_dedup.LineRuns(spark, Workspace(spark, "t"))
+    keys = lambda a, b: spark.range(a, b).select(F.xxhash64("id").alias("h1"), F.col("id").alias("h2"), F.col("id").alias("doc_id"))
+    store.add(keys(0, 100))
+    store.add(keys(50, 150))
+    rows = {(r.h2, r.n_docs, r.fresh) for name in store.runs() for r in store.workspace.table(name).collect()}
+    assert len(rows) == 200 and sum(not f for _, _, f in rows) == 50
+    known = store._union(store.runs()).where("fresh")
+    text = store.workspace.table(store.runs()[0]).join(known.hint("merge"), ["h1", "h2"], "left_anti")._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in text and "Exchange" not in text.split("== Physical Plan ==")[1]
+    assert {r.h2 for r in store.repeated(2).collect()} == set(range(50, 100))

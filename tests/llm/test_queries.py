@@ -49,3 +49,17 @@ def test_no_local_checkpoints():
     root = Path(corpus_pipeline.__file__).resolve().parent
     for source in [root / "corpus_pipeline.py", *(root / "cadastra").rglob("*.py")]:
         assert "localCheckpoint" not in source.read_text()
+
+
+@pytest.mark.parametrize("kind", ["empty", "nulls"])
+def test_pipeline_and_classifiers_on_odd_tables(spark, tmp_path, kind):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.limit(0) if kind == "empty" else docs.limit(30).withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.col("text")))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    # a null id, and labels that contradict one another
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    labels = labels.unionByName(labels.withColumns({"toxic": 1 - F.col("toxic"), "quality": 1 - F.col("quality")})).unionByName(labels.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    count = docs.count()
+    assert QUERIES["op4_quality"](spark, str(tmp_path)).count() == QUERIES["op9_toxicity"](spark, str(tmp_path)).count() == count
+    assert (corpus_pipeline.run(spark, str(tmp_path)).count() > 0) == (count > 0)

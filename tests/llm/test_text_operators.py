@@ -410,6 +410,13 @@ def test_passages_behind_a_line_that_many_hold(spark):
     assert {(r.a, r.b) for r in rows} == {(61, 60)}
 
 
+def test_leader_that_holds_a_key_twice_has_its_least_place(spark):
+    for places in ([70, 5], [5, 70]):
+        rows = [(1, 0, p, 8) for p in places] + [(1, 3, 9, 8)]
+        led = passage_dedup._led(spark.createDataFrame(rows, "key long, doc_id long, place long, words int"), Workspace(spark, "t"), "led")
+        assert {(r.a, r.place, r.b, r.b_place) for r in led.collect()} == {(0, 70, None, None), (3, 9, 0, 5)}
+
+
 def test_line_runs_are_not_shuffled_again(spark):
     store = line_dedup.LineRuns(spark, Workspace(spark, "t"))
     keys = lambda a, b: spark.range(a, b).select(F.xxhash64("id").alias("h1"), F.col("id").alias("h2"), F.col("id").alias("doc_id"))

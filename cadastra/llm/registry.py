@@ -8,6 +8,7 @@ from cadastra.llm.line_dedup import OP5_SQL, op5_line_dedup
 from cadastra.llm.minhash_dedup import OP6_SQL, op6_minhash
 from cadastra.llm.packing import op10_pack
 from cadastra.llm.passage_dedup import op3_passages
+from cadastra.llm.piece_bpe import op13_piece_bpe
 from cadastra.llm.pivot_search import OP7_SQL, op7_pivot_topk
 from cadastra.llm.quality import op4_quality
 from cadastra.llm.toxicity import op9_toxicity
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_pack": op10_pack,
+    "op13_piece_bpe": op13_piece_bpe,
 }
 ORACLE_SQL = {
     "op1_hnsw": OP1_SQL,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cadastra.llm.byte_bpe import op8_byte_bpe
+from cadastra.llm.collocations import OP11_SQL, op11_collocations
 from cadastra.llm.hnsw import OP1_SQL, op1_hnsw
 from cadastra.llm.line_dedup import OP5_SQL, op5_line_dedup
 from cadastra.llm.minhash_dedup import OP6_SQL, op6_minhash
@@ -11,6 +12,7 @@ from cadastra.llm.passage_dedup import op3_passages
 from cadastra.llm.piece_bpe import op13_piece_bpe
 from cadastra.llm.pivot_search import OP7_SQL, op7_pivot_topk
 from cadastra.llm.quality import op4_quality
+from cadastra.llm.spelling import op12_spelling
 from cadastra.llm.toxicity import op9_toxicity
 from cadastra.llm.warc import OP2_SQL, op2_warc
 
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_pack": op10_pack,
+    "op11_collocations": op11_collocations,
+    "op12_spelling": op12_spelling,
     "op13_piece_bpe": op13_piece_bpe,
 }
 ORACLE_SQL = {
@@ -33,4 +37,5 @@ ORACLE_SQL = {
     "op5_line_dedup": OP5_SQL,
     "op6_minhash": OP6_SQL,
     "op7_pivot_topk": OP7_SQL,
+    "op11_collocations": OP11_SQL,
 }

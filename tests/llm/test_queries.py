@@ -19,7 +19,7 @@ def test_every_operator_is_registered():
     import __spark_entry__
 
     numbers = {int(n[2:].split("_")[0]) for n in QUERIES}
-    assert numbers == set(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert numbers == set(range(1, 14)) and "pipeline" in __spark_entry__.queries()
 
 
 def test_pipeline_stages(spark, sf_dir):

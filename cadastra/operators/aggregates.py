@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from cadastra.plans.operator import Operator
+from cadastra.plans.operator import Operator, Picked
+
+
+def pooled(unit: str, d: object) -> str:
+    start = d.trunc(unit, "snapshot_date")
+    return f"SELECT {start} AS period, min_rate AS rate, 1 AS own FROM {{snapshots}} WHERE is_active UNION ALL SELECT {start}, max_rate, 0 FROM {{snapshots}} WHERE is_active"
 
 
 def trend(unit: str, d: object) -> str:
     """Per period: average, least, most and exact median of the pooled minimum and maximum rates, and the change."""
-    start = d.trunc(unit, "snapshot_date")
+    # a day may hold two rates only, whose mean has more digits
+    digits = 9 if unit == "day" else 6
     return f"""
-        WITH pooled AS (
-          SELECT {start} AS period, min_rate AS rate, 1 AS own FROM {{snapshots}} WHERE is_active
-          UNION ALL SELECT {start}, max_rate, 0 FROM {{snapshots}} WHERE is_active),
-        periods AS (
-          SELECT period, avg(rate) AS avg_rate, min(rate) AS min_rate, max(rate) AS max_rate, median(rate) AS median_rate, sum(own) AS sample_size
-          FROM pooled GROUP BY period),
+        WITH pooled AS ({pooled(unit, d)}),
+        averages AS (SELECT period, avg(rate) AS avg_rate, min(rate) AS min_rate, max(rate) AS max_rate, sum(own) AS sample_size FROM pooled GROUP BY period),
+        periods AS (SELECT a.*, m.mid AS median_rate FROM averages a LEFT JOIN {{mids}} m ON m.period IS NOT DISTINCT FROM a.period),
         moved AS (SELECT *, lag(avg_rate) OVER (ORDER BY period) AS prev FROM periods)
-        SELECT period, round(avg_rate, 6) AS avg_rate, round(min_rate, 6) AS min_rate, round(max_rate, 6) AS max_rate, round(median_rate, 6) AS median_rate,
-               CAST(sample_size AS BIGINT) AS sample_size, round(nullif(avg_rate - prev, 0), 6) AS change_abs, round((avg_rate - prev) / nullif(prev, 0) * 100, 6) AS change_pct
+        SELECT period, round(avg_rate, {digits}) AS avg_rate, round(min_rate, {digits}) AS min_rate, round(max_rate, {digits}) AS max_rate, round(median_rate, {digits}) AS median_rate,
+               CAST(sample_size AS BIGINT) AS sample_size, round(nullif(avg_rate - prev, 0), {digits}) AS change_abs, round((avg_rate - prev) / nullif(prev, 0) * 100, {digits}) AS change_pct
         FROM moved"""
 
 
@@ -44,13 +47,13 @@ OPERATORS = [
         FROM (SELECT *, max(snapshot_date) OVER (PARTITION BY project_id) AS last_date FROM {snapshots} WHERE is_active) s WHERE snapshot_date = last_date GROUP BY project_id"""),
     Operator("agg08_any_date_min_price", ("AGG08",), lambda d: "SELECT project_id, min(min_price) AS min_price FROM {snapshots} WHERE is_active GROUP BY project_id"),
     Operator("agg09_any_date_range", ("AGG09",), lambda d: "SELECT project_id, min(nullif(min_price, 0)) AS low, max(nullif(max_price, 0)) AS high FROM {snapshots} WHERE is_active GROUP BY project_id"),
-    *(Operator(f"agg10_trend_{unit}", ("AGG10", "WIN06", "DT04", "STM09"), lambda d, unit=unit: trend(unit, d)) for unit in ("week", "month", "quarter", "year")),
+    *(Operator(f"agg10_trend_{unit}", ("AGG10", "WIN06", "DT04", "STM09"), lambda d, unit=unit: trend(unit, d), {"mids": Picked(lambda d, unit=unit: pooled(unit, d), "rate", ("period",))}) for unit in ("day", "week", "month", "quarter", "year")),
     Operator("agg11_trend_summary", ("AGG11",), lambda d: f"""
         WITH periods AS (SELECT {d.trunc('quarter', 'snapshot_date')} AS period, avg(max_rate) AS rate FROM {{snapshots}} WHERE is_active GROUP BY 1)
         SELECT round(max_by(rate, period), 4) AS current_avg, round(max(rate), 4) AS most, round(min(rate), 4) AS least,
                round((max_by(rate, period) - min_by(rate, period)) / nullif(min_by(rate, period), 0) * 100, 2) AS change_pct, min(period) AS earliest, max(period) AS latest FROM periods"""),
     Operator("agg10_trend_by_district", ("Q22", "AGG10"), lambda d: f"SELECT p.district, {d.trunc('year', 's.snapshot_date')} AS period, round(avg(s.max_rate), 6) AS avg_rate, count(*) AS sample_size FROM {{snapshots}} s JOIN {{projects}} p ON p.project_id = s.project_id WHERE s.is_active GROUP BY p.district, {d.trunc('year', 's.snapshot_date')}"),
-    Operator("agg12_median_price", ("AGG12",), lambda d: "SELECT round(median(min_price), 4) AS median_price, count(min_price) AS n FROM {snapshots} WHERE is_active"),
+    Operator("agg12_median_price", ("AGG12",), lambda d: "SELECT round((SELECT mid FROM {mids}), 4) AS median_price, count(min_price) AS n FROM {snapshots} WHERE is_active", {"mids": Picked(lambda d: "SELECT min_price FROM {snapshots} WHERE is_active", "min_price")}),
     Operator("agg14_centroid", ("AGG14",), lambda d: "SELECT district, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon FROM {projects} GROUP BY district"),
     Operator("agg15_inventory", ("AGG15",), lambda d: """
         SELECT project_id, count(*) AS total, count(CASE WHEN lower(status) = 'available' THEN 1 END) AS available, count(CASE WHEN lower(status) IN ('booked', 'sold') THEN 1 END) AS booked,
@@ -59,9 +62,9 @@ OPERATORS = [
         SELECT project_id, unit_type, count(*) AS total, count(CASE WHEN lower(status) = 'available' THEN 1 END) AS available, count(CASE WHEN lower(status) = 'sold' THEN 1 END) AS sold,
                min(nullif(area, 0)) AS min_area, max(nullif(area, 0)) AS max_area FROM {units} GROUP BY project_id, unit_type"""),
     Operator("agg17_size_bands", ("AGG17",), lambda d: f"""
-        WITH q AS (SELECT {d.quantile('area', 0.33)} AS q1, {d.quantile('area', 0.67)} AS q2, min(area) AS lo, max(area) AS hi FROM {{units}} WHERE area > 0),
+        WITH q AS (SELECT (SELECT q1 FROM {{thirds}}) AS q1, (SELECT q2 FROM {{thirds}}) AS q2, min(area) AS lo, max(area) AS hi FROM {{units}} WHERE area > 0),
         bands AS (SELECT 'compact' AS band, lo AS a, q1 AS b FROM q UNION ALL SELECT 'medium', q1, q2 FROM q UNION ALL SELECT 'large', q2, hi FROM q)
-        SELECT b.band, round(b.a, 6) AS low, round(b.b, 6) AS high, count(*) AS units FROM bands b JOIN {{units}} u ON u.area > 0 AND u.area >= b.a AND u.area <= b.b GROUP BY b.band, b.a, b.b"""),
+        SELECT b.band, round(b.a, 6) AS low, round(b.b, 6) AS high, count(*) AS units FROM bands b JOIN {{units}} u ON u.area > 0 AND u.area >= b.a AND u.area <= b.b GROUP BY b.band, b.a, b.b""", {"thirds": Picked(lambda d: "SELECT area FROM {units} WHERE area > 0", "area", (), {"q1": 0.33, "q2": 0.67})}),
     Operator("agg18_location_groups", ("AGG18",), lambda d: "SELECT source_type, precision_level, count(*) AS n FROM {locations} GROUP BY source_type, precision_level"),
     Operator("agg19_geo_completeness", ("AGG19",), lambda d: """
         SELECT coalesce(status, 'UNSET') AS status, count(*) AS total, count(lat) AS with_lat, count(CASE WHEN lat IS NULL OR lon IS NULL THEN 1 END) AS missing,
@@ -75,9 +78,9 @@ OPERATORS = [
           UNION ALL SELECT 'missing_amenity' FROM {scores} WHERE amenity_score IS NULL) t GROUP BY reason ORDER BY n DESC, reason LIMIT 10"""),
     Operator("agg23_null_percentages", ("AGG23",), lambda d: null_share({"lat": "lat IS NULL", "total_price": "total_price IS NULL", "parent_id": "parent_id IS NULL", "project_name": "project_name IS NULL OR trim(project_name) = ''"}, "{projects}")),
     Operator("agg24_score_histogram", ("AGG24",), lambda d: """
-        SELECT round(avg(overall_score), 4) AS mean, round(stddev_samp(overall_score), 4) AS sd, min(overall_score) AS least, max(overall_score) AS most, median(overall_score) AS mid,
+        SELECT round(avg(overall_score), 4) AS mean, round(stddev_samp(overall_score), 4) AS sd, min(overall_score) AS least, max(overall_score) AS most, (SELECT mid FROM {mids}) AS mid,
                count(CASE WHEN overall_score < 20 THEN 1 END) AS b0, count(CASE WHEN overall_score >= 20 AND overall_score < 40 THEN 1 END) AS b20, count(CASE WHEN overall_score >= 40 AND overall_score < 60 THEN 1 END) AS b40,
-               count(CASE WHEN overall_score >= 60 AND overall_score < 80 THEN 1 END) AS b60, count(CASE WHEN overall_score >= 80 THEN 1 END) AS b80 FROM {scores}"""),
+               count(CASE WHEN overall_score >= 60 AND overall_score < 80 THEN 1 END) AS b60, count(CASE WHEN overall_score >= 80 THEN 1 END) AS b80 FROM {scores}""", {"mids": Picked(lambda d: "SELECT overall_score FROM {scores}", "overall_score")}),
     Operator("agg25_filing_rollup", ("AGG25",), lambda d: """
         SELECT p.project_id, CASE WHEN bool_or(f.status = 'REVOKED') THEN 'REVOKED' ELSE 'ACTIVE' END AS rera_status,
                greatest(0.0e0, coalesce(max(try_cast(f.completion_text AS DOUBLE)), 0.0e0)) AS completion, max(f.processed_at) AS last_filed
@@ -98,8 +101,8 @@ OPERATORS = [
     Operator("agg33_district_counts", ("AGG33",), lambda d: "SELECT district, status, count(*) AS n FROM {projects} GROUP BY district, status ORDER BY n DESC, district, status"),
     Operator("agg34_transaction_outliers", ("AGG34",), lambda d: """
         SELECT snapshot_id, label, round(max_rate, 9) AS rate, round((max_rate - mid) / nullif(mid, 0) * 100, 4) AS deviation_pct
-        FROM (SELECT s.*, m.mid FROM {snapshots} s JOIN (SELECT label, median(max_rate) AS mid FROM {snapshots} GROUP BY label) m ON m.label IS NOT DISTINCT FROM s.label) t
-        WHERE abs((max_rate - mid) / nullif(mid, 0) * 100) > 20"""),
+        FROM (SELECT s.*, m.mid FROM {snapshots} s JOIN {mids} m ON m.label IS NOT DISTINCT FROM s.label) t
+        WHERE abs((max_rate - mid) / nullif(mid, 0) * 100) > 20""", {"mids": Picked(lambda d: "SELECT label, max_rate FROM {snapshots}", "max_rate", ("label",))}),
     Operator("agg35_phase_counts", ("AGG35", "WIN07"), lambda d: """
         SELECT project_id, parent_id, phases FROM (
           SELECT project_id, parent_id, count(*) OVER (PARTITION BY coalesce(parent_id, -project_id)) AS phases,

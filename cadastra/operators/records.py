@@ -48,13 +48,23 @@ HEADERS = r"REGISTRATION\s+CERTIFICATE|PROJECT\s+DETAILS?|PROMOTER\s+DETAILS?|LA
 # Patterns of the kinds of document, in order.
 KINDS = [
     ("registration_certificate", [r"registration\s*certificate", r"rera\s*certificate", r"project\s*registration"]),
-    ("building_permission", [r"building\s*permission", r"construction\s*permit", r"sanctioned\s*(?:building\s*)?plan", r"building\s*approval"]),
+    ("building_permission", [r"building\s*permission", r"construction\s*permit", r"sanctioned\s*(building\s*)?plan", r"building\s*approval"]),
     ("layout_plan", [r"layout\s*plan", r"site\s*plan", r"master\s*plan", r"sanctioned\s*layout"]),
-    ("cost_description", [r"cost\s*(?:description|estimate|sheet)", r"project\s*cost", r"financial\s*(?:plan|estimate)"]),
-    ("agreement", ["agreement", "deed", "mou", "contract"]),
-    ("affidavit", ["affidavit", "declaration", "undertaking"]),
+    ("noc_fire", [r"fire\s*(safety\s*)?(no[c\-]?\s*objection|noc|clearance)", r"noc.*fire"]),
+    ("noc_environment", [r"environment(al)?\s*(no[c\-]?\s*objection|noc|clearance)", r"noc.*environment"]),
+    ("noc_pollution", [r"pollution\s*(control\s*)?(no[c\-]?\s*objection|noc|clearance)", r"noc.*pollution"]),
+    ("noc_water", [r"water\s*(supply\s*)?(no[c\-]?\s*objection|noc|clearance)", r"noc.*water"]),
+    ("cost_description", [r"cost\s*(description|estimate|sheet)", r"project\s*cost", r"financial\s*(plan|estimate)"]),
+    ("agreement", [r"agreement", r"deed", r"mou", r"contract"]),
+    ("affidavit", [r"affidavit", r"declaration", r"undertaking"]),
+    ("ca_certificate", [r"ca\s*certificate", r"chartered\s*accountant", r"auditor.*certificate"]),
+    ("engineer_certificate", [r"engineer\s*certificate", r"structural.*certificate"]),
+    ("quarterly_report", [r"quarterly\s*(progress\s*)?report", r"qpr", r"progress\s*report"]),
+    ("bank_passbook", [r"bank\s*(account\s*)?passbook", r"account\s*statement"]),
     ("search_report", [r"search\s*report", r"title\s*search"]),
-    ("encumbrance_certificate", ["encumbrance", r"non[-\s]?encumbrance"]),
+    ("encumbrance_certificate", [r"encumbrance", r"non[-\s]?encumbrance"]),
+    ("development_plan", [r"development\s*(work\s*)?plan", r"development\s*permission"]),
+    ("project_specification", [r"project\s*specification", r"technical\s*specification"]),
 ]
 # Dates in texts.
 MONTHS = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
@@ -83,11 +93,15 @@ def repaired(text: Column, pattern: str, wrong: str, right: str) -> Column:
     return F.aggregate(found, text, lambda t, m: F.replace(t, m, F.translate(m, wrong, right)))
 
 
+#: What counts as white space at a line's ends.
+WHITE = r"[\s\x1c-\x1f\x85\p{Z}]"
+
+
 def spaced(text: Column) -> Column:
-    """Runs of spaces become one, indents two spaces, and no more than two blank lines stand together."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, " {2,}", " "))
-    lines = F.transform(lines, lambda x: F.when(F.trim(x) == "", "").otherwise(F.regexp_replace(x, r"^\s+", "  ")))
-    return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), r"\n{4,}", "\n\n\n"), r"^\n{3,}", "\n\n")
+    """Runs of spaces become one, indents two spaces, lines of white space empty; of empty lines together the first two stay."""
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.when(x.rlike(f"^{WHITE}*$"), "").otherwise(F.regexp_replace(F.regexp_replace(x, " {2,}", " "), f"^{WHITE}+", "  ")))
+    third = lambda x, i: (i > 1) & (x == "") & (F.get(lines, i - 1) == "") & (F.get(lines, i - 2) == "")
+    return F.array_join(F.filter(lines, lambda x, i: ~third(x, i)), "\n")
 
 
 def punctuated(text: Column) -> Column:
@@ -133,12 +147,25 @@ def document_kind(name: Column, text: Column) -> Column:
     return F.when(best["tenths"] > 0, best)
 
 
-def joined_url(base: Column, relative: Column) -> Column:
-    """``relative`` against the folder of ``base``; each ``..`` takes one folder away."""
-    folders = F.split(F.regexp_replace(base, r"/[^/]*$", ""), "/")
-    up = F.regexp_count(relative, F.lit(r"(?:^|/)\.\.(?=/)"))
-    rest = F.regexp_replace(relative, r"^(?:\.\./)+", "")
-    return F.concat_ws("/", F.slice(folders, F.lit(1), F.greatest(F.size(folders) - up, F.lit(3))), rest)
+def joined_url(base: Column, link: Column) -> Column:
+    """A link that begins with ``..`` against its page; any other link, and one without a page, as it stands.
+
+    The page's query and fragment don't count, the link's stay; dot segments anywhere in the path are resolved, and those beyond
+    the root are dropped.
+    """
+    page = F.regexp_replace(F.coalesce(base, F.lit("")), "[?#].*$", "")
+    site = F.regexp_extract(page, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/]*)?", 0)
+    folders = F.split(F.regexp_replace(F.substring(page, F.length(site) + 1, F.length(page)), "[^/]*$", ""), "/", -1)
+    path = F.regexp_extract(link, "^[^?#]*", 0)
+    steps = F.split(path, "/", -1)
+    inner = F.filter(F.concat(F.slice(folders, F.lit(1), F.size(folders) - 1), steps), lambda x, i: (x != "") | (i == 0))
+    # an empty last step is the slash at the end
+    walked = F.aggregate(inner, F.array().cast("array<string>"), lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.array_append(done, x)))
+    closing = F.element_at(steps, -1).isin("", ".", "..")
+    joined = F.concat(F.array_join(walked, "/"), F.when(closing & (F.size(walked) > 0), "/").otherwise(""))
+    rooted = F.when((site != "") & ~joined.startswith("/"), F.concat(F.lit("/"), joined)).otherwise(joined)
+    whole = F.concat(site, rooted, F.substring(link, F.length(path) + 1, F.length(link)))
+    return F.when(link.startswith("..") & (page != ""), whole).otherwise(link)
 
 
 def first_filled(*columns: Column) -> Column:
@@ -153,10 +180,21 @@ OCR = """SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'Certiticate of P
     || p_name || ' PCGRERA2506' || CAST(10 + p_partkey % 80 AS VARCHAR(3)) || 'OO1 Rs. 1O,OOO' AS text FROM {part}"""
 LINES = """SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'Intro  for' || chr(10) ELSE '' END || 'Project Details' || chr(10) || '     name:' || c_name || ' ,paid ( in full )' || chr(10) || chr(10) || chr(10) || chr(10) || chr(10)
     || 'VALIDITY' || chr(10) || 'until  1' || CAST(c_custkey % 10 AS VARCHAR(2)) || '-03-2024 .See' || chr(10) || 'Bank detail' || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE ' ' || c_mktsegment END AS text FROM {customer}"""
+GAPS = """SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN chr(10) || chr(10) || chr(10) WHEN 1 THEN '  ' || chr(9) || chr(10) WHEN 2 THEN chr(9) || 'tab' || chr(10) ELSE '' END || p_name || '   ' || p_type
+    || CASE p_partkey % 7 WHEN 0 THEN chr(10) || chr(10) || chr(10) || chr(10) || chr(10) WHEN 1 THEN chr(10) || chr(9) || chr(10) || ' ' || chr(10) || chr(9) || chr(10) || chr(10) WHEN 2 THEN chr(10) || chr(10) ELSE chr(10) END || '      ' || p_brand
+    || CASE p_partkey % 11 WHEN 0 THEN chr(10) || chr(10) || chr(10) || chr(10) WHEN 1 THEN '  ' || chr(10) || '  ' WHEN 2 THEN chr(10) ELSE '' END AS text FROM {part}"""
+LINKS = """SELECT page_id AS k, CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'https://example.org/a/b/' || CAST(page_id AS VARCHAR(12)) || '/view?x=/y/z' WHEN 2 THEN 'https://example.org' WHEN 3 THEN 'https://example.org/a/b/#f/g' ELSE 'https://example.org/a//b/c' END AS base,
+    CASE page_id % 9 WHEN 0 THEN '../../docs/x.pdf' WHEN 1 THEN 'y.pdf' WHEN 2 THEN '../z.pdf?p=../q' WHEN 3 THEN 'https://other/z.pdf' WHEN 4 THEN '/root.pdf' WHEN 5 THEN './z.pdf' WHEN 6 THEN 'a/../z.pdf' WHEN 7 THEN '../w/./v/../u/' ELSE '../../../../..' END AS rel FROM {pages}"""
 PDFS = """SELECT o_orderkey AS k, 'Dated ' || CAST(1 + o_orderkey % 28 AS VARCHAR(2)) || '/06/2024 and 12 March ' || CAST(2000 + o_orderkey % 25 AS VARCHAR(4)) || '. Plot of ' || CAST(o_orderkey % 90 AS VARCHAR(3)) || ',' || CAST(100 + o_orderkey % 900 AS VARCHAR(3))
     || ' sq. ft, ' || CAST(o_orderkey % 7 AS VARCHAR(2)) || '.5 acres. Rs. ' || CAST(10 + o_orderkey % 80 AS VARCHAR(3)) || CASE o_orderkey % 3 WHEN 0 THEN ' lakh' WHEN 1 THEN ' crore' ELSE ' only' END || ' paid in the year that follows. Approval No: CG-' || CAST(o_orderkey AS VARCHAR(12)) AS text FROM {orders}"""
-DOCS = """SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN 'layout_plan.pdf' WHEN 1 THEN 'sale deed.pdf' WHEN 2 THEN 'scan.pdf' WHEN 3 THEN 'Registration Certificate.pdf' WHEN 4 THEN 'project cost.pdf' ELSE 'x.pdf' END AS name,
-    CASE o_orderkey % 5 WHEN 0 THEN 'Site plan and layout plan; agreement' WHEN 1 THEN 'AGREEMENT. This deed is a contract' WHEN 2 THEN 'search report on title search' WHEN 3 THEN 'nothing of note' ELSE 'project registration, rera certificate and encumbrance' END AS text FROM {orders}"""
+#: Phrases of documents, and the number of the kind that each stands for.
+PHRASES = [
+    ("Registration  Certificate", 0), ("sanctioned building plan", 1), ("Construction Permit", 1), ("Site Plan", 2), ("fire safety clearance", 3), ("NOC from the fire brigade", 3), ("Environmental NOC", 4), ("pollution control clearance", 5),
+    ("water supply noc", 6), ("Cost Sheet", 7), ("lease deed", 8), ("undertaking", 9), ("Chartered Accountant", 10), ("structural safety certificate", 11), ("QPR", 12), ("Bank Account Passbook", 13), ("title search", 14),
+    ("development work plan", 16), ("technical specification", 17), ("scan 0001", None), ("nothing of note", None), ("", None), ("appendix", None),
+]
+_PHRASE = lambda at: f"CASE ({at}) % {len(PHRASES)} " + " ".join(f"WHEN {i} THEN '{phrase}'" for i, (phrase, _) in enumerate(PHRASES)) + " END"
+SCANS = f"""SELECT o_orderkey AS k, {_PHRASE('o_orderkey')} || '.pdf' AS name, {_PHRASE('o_orderkey * 7 + 3')} || chr(10) || {_PHRASE('o_orderkey * 5 + 1')} || ', ' || chr(10) || {_PHRASE('o_orderkey * 5 + 1')} AS text FROM {{orders}}"""
 DAYS = """SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN '2024-02-' || CAST(10 + o_orderkey % 20 AS VARCHAR(2)) WHEN 1 THEN CAST(10 + o_orderkey % 20 AS VARCHAR(2)) || '-02-2024' WHEN 2 THEN CAST(10 + o_orderkey % 20 AS VARCHAR(2)) || '/02/2024' WHEN 3 THEN 'soon' ELSE NULL END AS a,
     CASE o_orderkey % 7 WHEN 0 THEN '2024/02/20' WHEN 1 THEN '20-02-2024' ELSE '2024-02-15' END AS b FROM {orders}"""
 
@@ -188,8 +226,12 @@ RULES = [
          lambda x: x.select("k", repaired(repaired(corrected(F.col("text")), r"PCGRERA[0-9OlI]+", "OlI", "011"), r"Rs\. [0-9][0-9Oo,]*", "Oo", "00").alias("text"), F.array_join(corrections_made(F.col("text")), "|").alias("made")),
          "SELECT k, " + "".join("replace(" for _ in CORRECTIONS) + "head || translate(tail, 'O', '0')" + "".join(f", '{w}', '{r}')" for w, r in CORRECTIONS) + " AS text, concat_ws('|', "
          + ", ".join(f"CASE WHEN contains(head, '{w}') THEN '{w}>{r}' END" for w, r in CORRECTIONS) + ") AS made FROM (SELECT k, split_part(text, 'PCGRERA', 1) AS head, 'PCGRERA' || split_part(text, 'PCGRERA', 2) AS tail FROM x)"),
-    Rule("str27_structure_spacing", ("STR27",), LINES, lambda x: x.select("k", spaced(F.col("text")).alias("text")),
-         "SELECT k, regexp_replace(regexp_replace(regexp_replace(text, ' +', ' ', 'g'), '\\n +', chr(10) || '  ', 'g'), '\\n{4,}', chr(10) || chr(10) || chr(10), 'g') AS text FROM x"),
+    Rule("str27_structure_spacing", ("STR27",), GAPS, lambda x: x.select("k", spaced(F.col("text")).alias("text")),
+         # each line apart, and the count of blank lines since the last other one
+         r""", l AS (SELECT k, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM x),
+            b AS (SELECT *, trim(line, ' ' || chr(9)) = '' AS blank, max(CASE WHEN trim(line, ' ' || chr(9)) <> '' THEN i ELSE 0 END) OVER (PARTITION BY k ORDER BY i) AS last FROM l)
+            SELECT k, string_agg(CASE WHEN blank THEN '' ELSE CASE WHEN ltrim(line, ' ' || chr(9)) <> line THEN '  ' ELSE '' END || regexp_replace(ltrim(line, ' ' || chr(9)), ' +', ' ', 'g') END, chr(10) ORDER BY i) AS text
+            FROM b WHERE NOT blank OR i - last <= 2 GROUP BY k"""),
     Rule("str28_punctuation", ("STR28",), LINES, lambda x: x.select("k", punctuated(F.col("text")).alias("text")),
          r"SELECT k, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([.,;:!?])([A-Za-z])', '\1 \2', 'g'), '\s+([.,;:!?])', '\1', 'g'), ':\s*(\S)', ': \1', 'g'), '\(\s+', '(', 'g'), '\s+\)', ')', 'g') AS text FROM x"),
     Rule("str31_sections", ("STR31",), LINES, lambda x: sections(x, "k", "text").select("k", "title", F.length("content").cast("long").alias("n")),
@@ -219,9 +261,11 @@ RULES = [
     Rule("str18_lower_status", ("STR18",), "SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN ' Ready to Move' WHEN 1 THEN 'LAPSED' WHEN 2 THEN 'Mystery' WHEN 3 THEN '' WHEN 4 THEN NULL ELSE 'registered ' END AS s FROM {orders}",
          lambda x: x.select("k", F.when(F.col("s") != "", F.coalesce(F.create_map(*(F.lit(v) for kv in STATUSES.items() for v in kv))[F.lower(F.trim("s"))], "s")).alias("status")),
          "SELECT k, CASE k % 6 WHEN 0 THEN 'completed' WHEN 1 THEN 'expired' WHEN 2 THEN 'Mystery' WHEN 5 THEN 'approved' END AS status FROM x"),
-    Rule("str23_artifact_urls", ("STR23",), "SELECT page_id AS k, 'https://example.org/a/b/' || CAST(page_id AS VARCHAR(12)) || '/view' AS base, CASE page_id % 3 WHEN 0 THEN '../../docs/x.pdf' WHEN 1 THEN 'y.pdf' ELSE '../z.pdf' END AS rel FROM {pages}",
-         lambda x: x.select("k", joined_url(F.col("base"), F.col("rel")).alias("url")),
-         "SELECT k, 'https://example.org/a/' || CASE k % 3 WHEN 0 THEN 'docs/x.pdf' WHEN 1 THEN 'b/' || CAST(k AS VARCHAR) || '/y.pdf' ELSE 'b/z.pdf' END AS url FROM x"),
+    Rule("str23_artifact_urls", ("STR23",), LINKS, lambda x: x.select("k", joined_url(F.col("base"), F.col("rel")).alias("url")),
+         # where each page's folder and each link lead, by hand: folders a, b and the page's own
+         """, f AS (SELECT k, base, rel, CASE k % 5 WHEN 1 THEN ['a', 'b', CAST(k AS VARCHAR)] WHEN 2 THEN [] WHEN 3 THEN ['a', 'b'] ELSE ['a', 'b'] END AS d FROM x),
+            u AS (SELECT *, CASE k % 9 WHEN 0 THEN 2 WHEN 2 THEN 1 WHEN 7 THEN 1 WHEN 8 THEN 5 END AS up, CASE k % 9 WHEN 0 THEN 'docs/x.pdf' WHEN 2 THEN 'z.pdf?p=../q' WHEN 7 THEN 'w/u/' WHEN 8 THEN '' END AS rest FROM f)
+            SELECT k, CASE WHEN up IS NULL OR base IS NULL THEN rel ELSE 'https://example.org/' || array_to_string(list_concat(d[1:greatest(len(d) - up, 0)], [rest]), '/') END AS url FROM u"""),
     Rule("str42_first_filled", ("STR42",), """SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN '  ' WHEN 1 THEN NULL ELSE c_mktsegment END AS district, '{"project_details": {"district": "' || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE c_name END || '"}}' AS raw FROM {customer}""",
          lambda x: x.select("k", first_filled(F.col("district"), F.get_json_object("raw", "$.project_details.district")).alias("district")),
          "SELECT k, CASE WHEN k % 3 = 2 THEN district WHEN k % 2 = 1 THEN json_extract_string(raw, '$.project_details.district') END AS district FROM x"),
@@ -260,13 +304,14 @@ RULES = [
     Rule("nst19_vector_round_trip", ("NST19",), "SELECT vec_id AS k, embedding AS e FROM {embeddings}",
          lambda x: x.withColumn("back", F.from_json(F.to_json("e"), "array<float>")).select("k", F.size("back").cast("long").alias("n"), F.col("back").eqNullSafe(F.col("e").cast("array<float>")).alias("same")),
          "SELECT k, CAST(len(e) AS BIGINT) AS n, TRUE AS same FROM x"),
-    Rule("scr15_document_kind", ("SCR15",), DOCS,
+    Rule("scr15_document_kind", ("SCR15",), SCANS,
          lambda x: x.withColumn("best", document_kind(F.col("name"), F.col("text"))).select("k", F.coalesce("best.kind", F.lit("unknown")).alias("kind"), F.coalesce(F.col("best.tenths") / 10, F.lit(0.0)).alias("score")),
-         # names give 0.4 for layout, deed, registration, cost; texts (by k % 5): layout 2 and agreement 1; agreement 3; search 2; none; registration 2 and encumbrance 1
-         """, s AS (SELECT k, CASE k % 6 WHEN 0 THEN 0 ELSE NULL END AS z, 4 * CAST(k % 6 = 3 AS INTEGER) + 2 * CAST(k % 5 = 4 AS INTEGER) AS reg, 2 * CAST(k % 5 = 0 AS INTEGER) AS lay,
-               4 * CAST(k % 6 = 4 AS INTEGER) AS cost, 4 * CAST(k % 6 = 1 AS INTEGER) + CASE k % 5 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 0 END AS agr, 2 * CAST(k % 5 = 2 AS INTEGER) AS sea, CAST(k % 5 = 4 AS INTEGER) AS enc FROM x),
-            b AS (SELECT *, greatest(reg, lay, cost, agr, sea, enc) AS m FROM s)
-            SELECT k, CASE WHEN m = 0 THEN 'unknown' WHEN reg = m THEN 'registration_certificate' WHEN lay = m THEN 'layout_plan' WHEN cost = m THEN 'cost_description' WHEN agr = m THEN 'agreement' WHEN sea = m THEN 'search_report' ELSE 'encumbrance_certificate' END AS kind, m / 10.0e0 AS score FROM b"""),
+         # phrases (0 to 21) and the kind each stands for; a name's phrase counts 4, each of a text's 1
+         f""", w AS (SELECT * FROM (VALUES {', '.join(f"({i}, {order})" for i, (_, order) in enumerate(PHRASES) if order is not None)}) t(phrase, kind)),
+            p AS (SELECT k, k % {len(PHRASES)} AS phrase, 4 AS points FROM x UNION ALL SELECT k, (k * 7 + 3) % {len(PHRASES)}, 1 FROM x UNION ALL SELECT k, (k * 5 + 1) % {len(PHRASES)}, 1 FROM x UNION ALL SELECT k, (k * 5 + 1) % {len(PHRASES)}, 1 FROM x),
+            s AS (SELECT k, w.kind, sum(points) AS n FROM p JOIN w ON w.phrase = p.phrase GROUP BY ALL),
+            b AS (SELECT k, kind, n FROM s QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC, kind) = 1)
+            SELECT x.k, coalesce(CASE b.kind {' '.join(f"WHEN {i} THEN '{kind}'" for i, (kind, _) in enumerate(KINDS))} END, 'unknown') AS kind, coalesce(b.n / 10.0e0, 0) AS score FROM x LEFT JOIN b ON b.k = x.k"""),
     Rule("scr25_latest_audit", ("SCR25",), "SELECT project_id AS k, CASE WHEN project_id % 7 = 0 THEN NULL ELSE project_name END AS project_name, CASE WHEN project_id % 5 = 0 THEN NULL ELSE district END AS district, status FROM {projects}",
          lambda x: x.orderBy(F.desc("k")).limit(100).select("k", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).isNull().alias("missing")) for c in ("project_name", "district", "status")))).alias("f"))
          .groupBy("f.field").agg((100.0 * F.count_if("f.missing") / F.count(F.lit(1))).alias("null_pct"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("f.missing"), F.col("k")))).cast("array<string>"), ",").alias("failing")),

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from cadastra.operators import aggregates, dml, filters, joins, programs, records, scalars, scoring, search, windows
+from cadastra.operators import aggregates, dml, enrichment, explanations, extracts, filters, gate, joins, programs, records, sampling, scalars, scoring, search, states, windows
 from cadastra.plans.operator import Operator, registry
 
 OPERATORS: list[Operator] = [o for m in (filters, joins, aggregates, windows, scoring, scalars, dml) for o in m.OPERATORS]
 QUERIES, ORACLE_SQL = registry(OPERATORS)
 QUERIES |= programs.QUERIES
 ORACLE_SQL |= programs.ORACLE_SQL
-QUERIES |= records.QUERIES | search.QUERIES
-ORACLE_SQL |= records.ORACLE_SQL | search.ORACLE_SQL
+for _rules in (records, search, enrichment, gate, explanations, sampling, extracts, states):
+    QUERIES |= _rules.QUERIES
+    ORACLE_SQL |= _rules.ORACLE_SQL
 BY_NAME = {o.name: o for o in OPERATORS}

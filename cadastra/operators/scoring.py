@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadastra.plans.operator import Operator
+from cadastra.plans.operator import Operator, Picked
 
 #: Largest count of each bucket and its score; what is beyond gets the last score. Fixed values of the score rules.
 DAILY = ((0, 20), (2, 60), (4, 80), (None, 100))
@@ -52,11 +52,11 @@ OPERATORS = [
         SELECT project_id, {d.even('CASE WHEN location_score IS NOT NULL AND amenity_score IS NOT NULL THEN (location_score + amenity_score) / 2 ELSE coalesce(location_score, amenity_score) END', 0)} AS overall,
                CASE WHEN location_score IS NULL AND amenity_score IS NULL THEN 'insufficient_data' WHEN location_score IS NULL OR amenity_score IS NULL THEN 'partial' ELSE 'ok' END AS status FROM {{scores}}"""),
     Operator("scr05_value_score", ("SCR05",), lambda d: f"""
-        WITH m AS (SELECT median(min_price) AS mid FROM {{snapshots}} WHERE is_active),
+        WITH m AS (SELECT (SELECT mid FROM {{mids}}) AS mid),
         price AS (SELECT project_id, min(min_price) AS price FROM {{snapshots}} WHERE is_active GROUP BY project_id),
         v AS (SELECT s.project_id, (0.60e0 * least(greatest(s.overall_score, 0), 100) / 100 + 0.40e0 * (1 - least(greatest(p.price / CASE WHEN m.mid > 0 THEN m.mid ELSE 5000000 END, 0.0e0), 2.0e0) / 2)) * 100 AS score
               FROM {{scores}} s JOIN price p ON p.project_id = s.project_id CROSS JOIN m WHERE s.overall_score IS NOT NULL AND p.price IS NOT NULL)
-        SELECT project_id, {d.even('score', 2)} AS value_score, CASE WHEN score >= 70 THEN 'excellent' WHEN score >= 55 THEN 'good' WHEN score >= 40 THEN 'fair' ELSE 'poor' END AS value_bucket FROM v"""),
+        SELECT project_id, {d.even('score', 2)} AS value_score, CASE WHEN score >= 70 THEN 'excellent' WHEN score >= 55 THEN 'good' WHEN score >= 40 THEN 'fair' ELSE 'poor' END AS value_bucket FROM v""", {"mids": Picked(lambda d: "SELECT min_price FROM {snapshots} WHERE is_active", "min_price")}),
     Operator("scr06_explanation", ("SCR06",), lambda d: f"""
         SELECT project_id, coalesce({d.listagg("CASE WHEN nearby_count >= 6 THEN amenity_type END", 'amenity_type, radius_km, stat_id', '; ')}, '') AS strong,
                coalesce({d.listagg("CASE WHEN nearby_count = 0 THEN amenity_type END", 'amenity_type, radius_km, stat_id', '; ')}, '') AS weak FROM {{amenity_stats}} WHERE radius_km IS NOT NULL GROUP BY project_id"""),

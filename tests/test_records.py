@@ -18,8 +18,14 @@ def test_scans_are_put_right(spark):
     assert one(spark, "no O in Rs. 1O,OO0", records.repaired(F.col("text"), r"Rs\. [0-9][0-9O,]*", "O", "0"))[0] == "no O in Rs. 10,000"
 
 
-def test_spacing_keeps_the_structure(spark):
-    assert one(spark, "a   b\n      c  d\n\n\n\n\ne", records.spaced(F.col("text")))[0] == "a b\n  c d\n\n\ne"
+@pytest.mark.parametrize(("text", "result"), [
+    ("a   b\n      c  d\n\n\n\n\ne", "a b\n  c d\n\n\ne"), ("a\n\n\n\n\n", "a\n\n"), ("\t\n \t\n\t\n\t\nx", "\n\nx"), ("\tx  \n", "  x \n"), ("", ""), ("\n\n\n", "\n"), (None, None),
+])
+def test_spacing_keeps_the_structure(spark, text, result):
+    assert one(spark, text, records.spaced(F.col("text")))[0] == result
+
+
+def test_punctuation(spark):
     assert one(spark, "name:x ,see ( this )", records.punctuated(F.col("text")))[0] == "name: x, see (this)"
 
 
@@ -30,15 +36,19 @@ def test_sections(spark):
 
 
 def test_document_kinds(spark):
-    rows = [("deed.pdf", "an agreement and a deed", "agreement", 6), ("x", "nothing", None, None), ("x", "layout plan, search report", "layout_plan", 1)]
+    rows = [("deed.pdf", "an agreement and a deed", "agreement", 6), ("x", "nothing", None, None), ("x", "layout plan, search report", "layout_plan", 1), ("noc_fire.pdf", "fire noc", "noc_fire", 5), ("QPR.pdf", "progress report\nquarterly report", "quarterly_report", 6)]
     for name, text, kind, tenths in rows:
         best = spark.createDataFrame([(name, text)], "n string, t string").select(records.document_kind(F.col("n"), F.col("t")).alias("b")).first().b
         assert (best and (best.kind, best.tenths)) == (kind and (kind, tenths))
 
 
-@pytest.mark.parametrize(("base", "rel", "url"), [("https://h/a/b/c", "../x", "https://h/a/x"), ("https://h/a/b/c", "x/y", "https://h/a/b/x/y"), ("https://h/a", "../../../x", "https://h/x")])
-def test_urls(spark, base, rel, url):
-    assert spark.createDataFrame([(base, rel)], "b string, r string").select(records.joined_url(F.col("b"), F.col("r"))).first()[0] == url
+@pytest.mark.parametrize("base", ["https://h/a/b/c", "https://h/a", "https://h", "https://h/", "http://h/a/b/?x=/y/z", "https://h/a//b/c#/d/e", ""])
+def test_urls_are_joined_as_the_standard_says(spark, base):
+    from urllib.parse import urljoin
+
+    links = ["../x", "../../../x", "..", "../", "../..", "../x/../y", "../x/./y/", "../x?a=../b", "../x#../b", "../x//y", "x/y", "./z", "/root", "https://o/z", "a/../z", ""]
+    got = spark.createDataFrame([(base, x) for x in links], "b string, r string").select("r", records.joined_url(F.col("b"), F.col("r")).alias("u")).collect()
+    assert {r.r: r.u for r in got} == {x: urljoin(base, x) if x.startswith("..") else x for x in links}
 
 
 HITS = "project_id int, project_name string, status string, district string, lat double, lon double, approved_date date, min_price double, max_price double, overall_score double, location_score double, amenity_score double"

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.runtime import Workspace, ship_package
+from cadastra.runtime import Workspace, one_of, ship_package
 
 CAPACITY = 2048
 #: Pieces of a shard on the average.
@@ -186,12 +186,12 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, text: str = "te
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def _shard_packer(capacity: int, level: int, last: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+def _shard_packer(capacity: int, level: int, last: bool, left_over: str) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         # pieces in an order that depends on nothing but themselves: a retried task packs alike
         group = group.sort_values([c for c in ("ids_crc32", "doc_id", "piece") if c in group], kind="stable").reset_index(drop=True)
         bins, offsets, gaps = settle(group["length"].to_numpy(), capacity)
-        return group.assign(sequence_id=(np.int64(level) << 56) + (np.int64(key[0]) << 28) + bins, offset=offsets, left_over=(np.array(gaps)[bins] > 0) & (not last))
+        return group.assign(**{"sequence_id": (np.int64(level) << 56) + (np.int64(key[0]) << 28) + bins, "offset": offsets, left_over: (np.array(gaps)[bins] > 0) & (not last)})
 
     return run
 
@@ -204,7 +204,8 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, workspac
     rows = workspace.save(rows, "pieces")
     names = [c for c in rows.columns if c not in ("sequence_id", "offset")]
     rows = rows.select(*names)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, shard int, `sequence_id` long, `offset` long, left_over boolean"
+    in_shard, left_over = one_of(names, "shard"), one_of(names, "left_over")
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, `{in_shard}` int, `sequence_id` long, `offset` long, `{left_over}` boolean"
     done: DataFrame | None = None
     level, count = 0, rows.count()
     while count:
@@ -212,12 +213,12 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, workspac
         last = shards == 1
 
         order = [c for c in ("doc_id", "piece", "ids_crc32") if c in names] or names
-        dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(level), *order), F.lit(shards)).cast("int"))
-        packed = workspace.save(dealt.groupBy("shard").applyInPandas(_shard_packer(capacity, level, last), schema), f"level{level}")
-        rows = packed.where("left_over").select(*names)
+        dealt = rows.withColumn(in_shard, F.pmod(F.xxhash64(F.lit(level), *order), F.lit(shards)).cast("int"))
+        packed = workspace.save(dealt.groupBy(in_shard).applyInPandas(_shard_packer(capacity, level, last, left_over), schema), f"level{level}")
+        rows = packed.where(F.col(left_over)).select(*names)
         left = rows.count()
         last = last or left > LEFT * count
-        good = (packed if last else packed.where(~F.col("left_over"))).select(*names, "sequence_id", "offset")
+        good = (packed if last else packed.where(~F.col(left_over))).select(*names, "sequence_id", "offset")
         done = good if done is None else done.unionByName(good)
         if last:
             break

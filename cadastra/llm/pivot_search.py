@@ -34,6 +34,8 @@ from cadastra.runtime import Workspace, ship_package
 
 PIVOTS, FEW, SAMPLE = 64, 16, 2000
 QUERY_BLOCK, BLOCK = 512, 4096
+#: Bytes of a block's vectors, whatever their dimension.
+BLOCK_BYTES = 2 << 20
 DATA_BLOCKS, QUERY_BLOCKS = 32, 64
 LONG = range(-(1 << 63), 1 << 63)
 
@@ -49,7 +51,15 @@ def choose_pivots(sample: np.ndarray, count: int = PIVOTS) -> np.ndarray:
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.clip((x * x).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * x @ pivots.T, 0, None))
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.sqrt(np.clip((x * x).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * x @ pivots.T, 0, None))
+
+
+def _upper(squares: np.ndarray, gaps: np.ndarray, slack: np.ndarray) -> np.ndarray:
+    """Upper bounds of scores; what overflows a double bounds nothing."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        upper = (squares - np.square(gaps)) / 2 + slack
+    return np.where(np.isnan(upper), np.inf, upper)
 
 
 def held(score: int) -> int:
@@ -62,8 +72,9 @@ class Block:
     def __init__(self, ids: np.ndarray, data: np.ndarray, distances: np.ndarray) -> None:
         self.ids, self.data = ids, data
         self.few, self.distances = np.ascontiguousarray(distances[:, :FEW]), distances
-        self.squares = (data * data).sum(1)
-        self.largest = np.abs(data).max(initial=0)
+        with np.errstate(over="ignore"):
+            self.squares = (data * data).sum(1)
+        self.largest = np.abs(data).max(1, initial=0)
 
     @staticmethod
     def of(row: pd.Series | dict) -> Block:
@@ -76,24 +87,31 @@ def block_top_k(asked: Block, held_by: Block, best: list[list[tuple[int, int]]],
 
     ``floors``: a score for each query that its k best all reach.
     """
-    exact = max(asked.largest, 1) * max(held_by.largest, 1) * held_by.data.shape[1] < 2**53
     for at, mine in enumerate(best):
         q, q2 = asked.data[at], asked.squares[at]
         floor = -np.inf if floors is None else floors[at]
         if len(mine) == k:
             floor = max(floor, mine[0][0])
-        # rounding of the distances must not hide a candidate
-        slack = 1e-6 * (q2 + held_by.squares) + 1e-6
-        upper = (q2 + held_by.squares - np.square(np.abs(held_by.few - asked.few[at]).max(1))) / 2 + slack
-        rest = np.flatnonzero((upper >= floor) & (held_by.ids != asked.ids[at]))
-        bound = np.abs(held_by.distances[rest] - asked.distances[at]).max(1, initial=0)
-        upper = (q2 + held_by.squares[rest] - bound * bound) / 2 + slack[rest]
+        # a product of whole numbers that a double can't hold exactly is summed as such
+        exact = np.maximum(held_by.largest, 1) * (max(asked.largest[at], 1) * held_by.data.shape[1]) < 2**53
+        with np.errstate(over="ignore", invalid="ignore"):
+            squares = q2 + held_by.squares
+            # rounding of the distances must not hide a candidate
+            slack = 1e-6 * squares + 1e-6
+            gaps = np.abs(held_by.few - asked.few[at]).max(1)
+        rest = np.flatnonzero((_upper(squares, gaps, slack) >= floor) & (held_by.ids != asked.ids[at]))
+        with np.errstate(invalid="ignore"):
+            gaps = np.abs(held_by.distances[rest] - asked.distances[at]).max(1, initial=0)
+        upper = _upper(squares[rest], gaps, slack[rest])
         order = np.argsort(-upper, kind="stable")
         rest, upper = rest[order], upper[order]
         done, step = 0, 64
         while done < len(rest) and upper[done] >= floor:
             now = rest[done : done + step]
-            scores = (held_by.data[now] @ q).astype(np.int64).tolist() if exact else [held(sum(int(a) * int(b) for a, b in zip(row, q, strict=True))) for row in held_by.data[now]]
+            if exact[now].all():
+                scores = (held_by.data[now] @ q).astype(np.int64).tolist()
+            else:
+                scores = [int(row @ q) if sure else held(sum(int(a) * int(b) for a, b in zip(row, q, strict=True))) for row, sure in zip(held_by.data[now], exact[now].tolist(), strict=True)]
             for entry in zip(scores, (-held_by.ids[now]).tolist(), strict=True):
                 if len(mine) < k:
                     heapq.heappush(mine, entry)
@@ -128,7 +146,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, workspace: Workspace) ->
     by_length: dict[int, list] = {}
     for row in sample:
         by_length.setdefault(len(row["values"]), []).append(row["values"])
-    pivots = {dim: choose_pivots(np.array(rows)) for dim, rows in by_length.items()}
+    pivots = {}
+    for dim, rows in by_length.items():
+        with np.errstate(over="ignore"):
+            # a pivot whose square overflows bounds nothing
+            near = [row for row in rows if np.isfinite(np.square(np.array(row)).sum() * 4)]
+        if near:
+            pivots[dim] = choose_pivots(np.array(near))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,8 +171,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, workspace: Workspace) ->
             kept = [batch.column(c) for c in ("dim", "block", "ids", "data", "distances")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(floors, pa.binary())], names=["dim", "block", "ids", "data", "distances", "floors"])
 
-    everything = workspace.save(blocks(vectors, BLOCK).mapInArrow(measured, f"{BLOCKS}, distances binary"), "blocks")
-    asked = workspace.save(blocks(vectors.where(is_query).dropDuplicates(["id"]), QUERY_BLOCK).mapInArrow(measured, f"{BLOCKS}, distances binary"), "queries")
+    everything = workspace.save(blocks(vectors, BLOCK, BLOCK_BYTES).mapInArrow(measured, f"{BLOCKS}, distances binary"), "blocks")
+    asked = workspace.save(blocks(vectors.where(is_query).dropDuplicates(["id"]), QUERY_BLOCK, BLOCK_BYTES).mapInArrow(measured, f"{BLOCKS}, distances binary"), "queries")
     # one block of each length
     seeds = everything.join(everything.groupBy("dim").agg(F.min("block").alias("block")), ["dim", "block"])
     seeds = seeds.select("dim", *(F.col(c).alias(f"first_{c}") for c in ("ids", "data", "distances")))

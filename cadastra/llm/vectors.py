@@ -22,8 +22,8 @@ def usable(embedding: Column, nonzero: bool) -> Column:
     return out & F.coalesce(F.exists(values, lambda x: x != 0), F.lit(False)) if nonzero else out
 
 
-def blocks(vectors: DataFrame, rows: int) -> DataFrame:
-    """``vectors`` (id long, values array<double>) as blocks of up to ``rows`` vectors of one dimension.
+def blocks(vectors: DataFrame, rows: int, most_bytes: int | None = None) -> DataFrame:
+    """``vectors`` (id long, values array<double>) as blocks of up to ``rows`` vectors of one dimension, and up to ``most_bytes`` of more than one.
 
     ids are little-endian longs, data float64 in row order.
     """
@@ -52,7 +52,7 @@ def blocks(vectors: DataFrame, rows: int) -> DataFrame:
                 mine = held.setdefault(len(row), ([], []))
                 mine[0].append(number)
                 mine[1].append(row)
-                if len(mine[0]) == rows:
+                if len(mine[0]) >= (rows if most_bytes is None else min(rows, max(1, most_bytes // (8 * max(1, len(row)))))):
                     yield out(len(row))
         for dim in list(held):
             yield out(dim)

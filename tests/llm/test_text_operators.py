@@ -378,6 +378,12 @@ def test_packing_encodes_whole_texts_where_a_vocabulary_needs_it(tmp_path):
     assert packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json")).by_chunks
 
 
+def test_packing_keeps_columns_of_any_name(spark):
+    rows = spark.range(40).selectExpr("id AS doc_id", "0 AS piece", "id * 7 % 50 + 1 AS length", "id AS ids_crc32", "'s' AS shard", "'l' AS left_over", "'_s' AS _shard", "9 AS sequence_id", "9 AS offset")
+    out = packing.pack(rows, capacity=64, shard=10)
+    assert sorted(out.columns) == sorted(rows.columns) and {(r.shard, r.left_over, r._shard) for r in out.collect()} == {("s", "l", "_s")} and out.count() == 40
+
+
 def test_packing_ends_where_no_sequence_fills(spark):
     rows = spark.createDataFrame([(i, 0, 0, 1500, i) for i in range(200)], "doc_id long, piece int, start long, length long, ids_crc32 long")
     packed = packing.pack(rows, shard=50)

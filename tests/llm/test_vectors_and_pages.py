@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadastra.llm import graph, hnsw, pivot_search, warc
+from cadastra.llm import graph, hnsw, pivot_search, vectors, warc
 from cadastra.runtime import Workspace
 
 VECTORS = "vec_id long, embedding array<float>, label int"
@@ -121,6 +123,23 @@ def test_pivot_search_is_exact(spark, tmp_path):
     assert set(got) == {i for i in usable if i % 50 == 0}
 
 
+@pytest.mark.parametrize("huge", [1e30, 1e160, 1e300])
+def test_pivot_search_with_values_whose_squares_overflow(spark, tmp_path, huge):
+    rng = random.Random(8)
+    rows = [(i, [rng.uniform(-3, 3), rng.uniform(-3, 3)]) for i in range(1, 140)] + [(150, [huge, -huge]), (151, [huge, 1.0]), (200, [-huge, 2.0]), (201, [0.0, 0.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    whole = {i: [math.floor(256 * x) if abs(256 * x) < 2**62 else int(256 * x) for x in v] for i, v in rows}
+    score = lambda a, b: pivot_search.held(sum(x * y for x, y in zip(a, b, strict=True)))
+    expected = {(q, n, c, s) for q in whole if q % 50 == 0 for n, (s, c) in enumerate(sorted(((score(whole[q], v), i) for i, v in whole.items() if i != q), key=lambda x: (-x[0], x[1]))[:5], 1)}
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in pivot_search.op7_pivot_topk(spark, str(tmp_path)).collect()} == expected
+
+
+def test_blocks_are_bounded_in_bytes(spark):
+    frame = spark.createDataFrame([(i, [float(i)] * (1000 if i % 2 else 3)) for i in range(60)], "id long, values array<double>").coalesce(1)
+    sizes = {(r.dim, r.size) for r in vectors.blocks(frame, 25, 80_000).collect()}
+    assert sizes == {(1000, 10), (3, 25), (3, 5)}
+
+
 def test_pivot_search_of_nothing(spark, tmp_path):
     table(spark, []).write.parquet(str(tmp_path / "embeddings.parquet"))
     assert pivot_search.op7_pivot_topk(spark, str(tmp_path)).count() == 0

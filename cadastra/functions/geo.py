@@ -1,7 +1,14 @@
-"""Distances as SQL expressions: whole-stage code, no UDF."""
+"""Distances as SQL expressions, and pairs within a radius: whole-stage code, no UDF."""
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from cadastra.runtime import one_of
+
 EARTH_KM = 6371
 #: Kilometres in a degree of latitude.
 KM_PER_DEGREE = 111
@@ -11,3 +18,34 @@ def haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     """Great-circle distance in km."""
     a = f"(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2))"
     return f"({EARTH_KM} * 2 * atan2(sqrt({a}), sqrt(greatest(0.0e0, 1 - {a}))))"
+
+
+def _cells_around(band: Column, height: float, radius_km: float) -> Column:
+    """Number of cells of a band of latitude, each wide enough for the radius at the band's highest latitude; one where the radius reaches round a pole."""
+    low, high = band * height - 90, (band + 1) * height - 90
+    reach = math.sin(radius_km / EARTH_KM) / F.cos(F.radians(F.least(F.greatest(F.abs(low), F.abs(high)), F.lit(90.0))))
+    wide = reach.between(0, 0.999)
+    return F.when(wide, F.greatest(F.floor(360 / (F.degrees(F.asin(F.when(wide, reach))) * 1.01)), F.lit(1))).otherwise(1).cast("long")
+
+
+def within_radius(left: DataFrame, right: DataFrame, radius_km: float) -> DataFrame:
+    """All pairs of rows within the radius, and ``km``. Both sides have lat and lon in degrees; the right side's columns must not clash with the left's but for these, and its lat and lon are left out.
+
+    An equi-join on cells: bands of latitude a radius high, and in each band cells a radius wide at its highest latitude, closed into a
+    circle, so that neither latitude nor the 180th meridian loses a pair. A row of the right side stands in at most nine cells. Rows without a place
+    have no pair.
+    """
+    height = math.degrees(radius_km / EARTH_KM) * 1.01
+    band, cell, other = (one_of([*left.columns, *right.columns], c) for c in ("band", "cell", "other"))
+    at = lambda lat: F.floor((lat + 90) / height)
+    place = lambda lon, n: F.least(F.floor(F.pmod(lon + 180, F.lit(360.0)) / (360.0 / n)), n - 1)
+    l = left.where("lat IS NOT NULL AND lon IS NOT NULL").withColumn(band, at(F.col("lat")))  # noqa: E741
+    l = l.withColumn(cell, place(F.col("lon"), _cells_around(F.col(band), height, radius_km)))  # noqa: E741
+    r = right.where("lat IS NOT NULL AND lon IS NOT NULL").withColumn(band, F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: at(F.col("lat")) + i)))
+    n = _cells_around(F.col(band), height, radius_km)
+    r = r.withColumn(cell, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.pmod(place(F.col("lon"), n) + i, n)))))
+    r = r.withColumns({f"{other}_lat": F.col("lat"), f"{other}_lon": F.col("lon")}).drop("lat", "lon")
+    y, x, v, u = (F.radians(F.col(c)) for c in ("lat", "lon", f"{other}_lat", f"{other}_lon"))
+    half = F.pow(F.sin((v - y) / 2), 2) + F.cos(y) * F.cos(v) * F.pow(F.sin((u - x) / 2), 2)
+    pairs = l.join(r, [band, cell]).withColumn("km", 2 * EARTH_KM * F.asin(F.sqrt(F.least(half, F.lit(1.0)))))
+    return pairs.where(F.col("km") <= radius_km).drop(band, cell, f"{other}_lat", f"{other}_lon")

@@ -30,12 +30,12 @@ V1 = """
 CHILDREN = ("promoter_details", "building_details", "unit_types", "documents", "quarterly_updates", "bank_details", "land_details")
 
 
-def read_documents(spark: SparkSession, runs: str) -> DataFrame:
-    """``runs``: a folder or glob of run folders. One row per JSON document; run_id is its folder; a byte order mark is dropped.
+def read_documents(spark: SparkSession, runs: str, pattern: str = "*.v1.json") -> DataFrame:
+    """``runs``: a folder or glob of run folders, files by ``pattern``. One row per JSON document; run_id is its folder; a byte order mark is dropped.
 
     A document that isn't JSON has nulls and its text in ``broken``: one bad file doesn't stop a run.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.v1.json").load(runs)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(runs)
     text = F.regexp_replace(F.decode(F.col("content"), "UTF-8"), "^\\uFEFF", "")
     rows = files.select(F.regexp_extract("path", r"/(run_[^/]*)/", 1).alias("run_id"), F.col("path"), text.alias("raw"))
     parsed = rows.withColumn("doc", F.from_json("raw", f"{V1}, broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}))
@@ -53,9 +53,9 @@ def shred(documents: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def read_html(spark: SparkSession, path: str) -> DataFrame:
+def read_html(spark: SparkSession, path: str, pattern: str = "*.html") -> DataFrame:
     """page name, registration number of the file name, html."""
-    pages = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").text(path)
+    pages = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     return pages.select(name.alias("name"), F.regexp_extract(name, r"project_[^_]+_(.+)\.html$", 1).alias("reg_no"), F.col("value").alias("html"))
 

@@ -55,7 +55,7 @@ def shred(documents: DataFrame) -> dict[str, DataFrame]:
 
 def read_html(spark: SparkSession, path: str, pattern: str = "*.html") -> DataFrame:
     """page name, registration number of the file name, html."""
-    pages = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    pages = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     return pages.select(name.alias("name"), F.regexp_extract(name, r"project_[^_]+_(.+)\.html$", 1).alias("reg_no"), F.col("value").alias("html"))
 

@@ -23,6 +23,9 @@ A paragraph that lies in no passage shared with its leader goes on to narrower b
 The copy in the larger id is removed, so the smallest id keeps the passage. Removals that overlap or are linked form
 components. No pairs within a bucket are made: each level compares a row with one leader.
 
+Texts are dealt once, by document, and stay there; each level moves only what it asks for and the stretches that are compared. Buckets
+are led in one exchange by ranges of key and document, so that a hot bucket goes to many tasks.
+
 Defined results: null and empty texts have no passages; words are separated by ASCII white space and compared with A-Z
 lowered; rows of one id are one document (its distinct texts each matter); passages that repeat within one document only
 stay; a null id takes no part. Extra columns pass through ``remove_passages``; an empty table gives an empty result.
@@ -249,16 +252,103 @@ def _keys(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, key long, place long, words int")
 
 
+LED = "a long, place long, key long, words int, b long, b_place long, open boolean"
+
+
+class _Leaders:
+    """Leads the buckets of one range of rows, sorted by key, document and place, batch by batch.
+
+    The bucket that the range begins with may have begun before, so that its rows are left open; so is the leader of the last one,
+    which may go on. A leader's other rows wait until another document shows up in their bucket.
+    """
+
+    def __init__(self) -> None:
+        self.first: int | None = None
+        self.key, self.lead, self.place, self.words, self.others = None, 0, 0, 0, False
+        self.waiting: list[tuple[int, int]] = []
+
+    def _out(self, *columns: np.ndarray, open: bool = False, own: bool = False) -> pa.RecordBatch:  # noqa: A002
+        doc, place, key, words, lead, lead_place = columns
+        none = np.full(len(doc), open or own)
+        arrays = [pa.array(doc), pa.array(place), pa.array(key), pa.array(words.astype(np.int32)), pa.array(lead, mask=none), pa.array(lead_place, mask=none), pa.array(np.full(len(doc), open))]
+        return pa.RecordBatch.from_arrays(arrays, names=["a", "place", "key", "words", "b", "b_place", "open"])
+
+    def _own(self, open: bool = False) -> pa.RecordBatch:  # noqa: A002
+        rows = [*([(self.place, self.words)] if open else []), *self.waiting]
+        self.waiting = []
+        same = lambda value: np.full(len(rows), value, dtype=np.int64)
+        return self._out(same(self.lead), np.array([p for p, _ in rows], dtype=np.int64), same(self.key), np.array([w for _, w in rows], dtype=np.int64), same(0), same(0), open=open, own=not open)
+
+    def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        key, doc, place, words = (batch.column(c).to_numpy() for c in ("key", "doc_id", "place", "words"))
+        if not len(key):
+            return
+        if self.first is None:
+            self.first = int(key[0])
+        skip = int(np.searchsorted(key, self.first, side="right")) if key[0] == self.first else 0
+        if skip:
+            part = slice(0, skip)
+            yield self._out(doc[part], place[part], key[part], words[part], doc[part], place[part], open=True)
+            key, doc, place, words = key[skip:], doc[skip:], place[skip:], words[skip:]
+            if not len(key):
+                return
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        goes_on = self.key is not None and int(key[0]) == self.key
+        if not goes_on:
+            self.waiting = []
+        sizes = np.diff(np.r_[starts, len(key)])
+        lead, lead_place = np.repeat(doc[starts], sizes), np.repeat(place[starts], sizes)
+        if goes_on:
+            lead[: sizes[0]], lead_place[: sizes[0]] = self.lead, self.place
+        other = doc != lead
+        mixed_ = np.repeat(np.add.reduceat(other, starts) > 0, sizes)
+        own = ~other
+        own[starts[1:] if goes_on else starts] = False
+        if goes_on and other[: sizes[0]].any() and self.waiting:
+            yield self._own()
+        if goes_on and self.others:
+            mixed_[: sizes[0]] = True
+        at = np.flatnonzero(other)
+        yield self._out(doc[at], place[at], key[at], words[at], lead[at], lead_place[at])
+        at = np.flatnonzero(own & mixed_)
+        yield self._out(doc[at], place[at], key[at], words[at], lead[at], lead_place[at], own=True)
+        last = starts[-1]
+        if not (goes_on and last == 0):
+            self.key, self.lead, self.place, self.words, self.others, self.waiting = int(key[last]), int(doc[last]), int(place[last]), int(words[last]), False, []
+        self.others |= bool(other[last:].any())
+        if not self.others:
+            at = np.flatnonzero(own[last:]) + last
+            self.waiting += list(zip(place[at].tolist(), words[at].tolist(), strict=True))
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.key is not None:
+            yield self._own(open=True)
+
+
 def _led(rows: DataFrame, workspace: Workspace, name: str) -> DataFrame:
-    """Rows of buckets that hold several documents: a, place, key, words; b, b_place: the leader and where (null in the leader's own rows)."""
-    # the least place decides where a leader holds a key twice: min_by would take any, and runs would differ
-    ends = rows.groupBy("key").agg(F.min(F.struct("doc_id", "place")).alias("least"), F.max("doc_id").alias("most"))
-    ends = ends.select("key", F.col("least.doc_id").alias("lead"), "most", F.col("least.place").alias("b_place")).where("lead < most")
-    # saved, so that the join is one of plain tables: a small one is broadcast, else AQE may split the rows of a hot key
-    ends = workspace.save(ends.select("key", "lead", "b_place"), f"{name}-ends")
-    other = F.col("doc_id") != F.col("lead")
-    asked = rows.join(ends, "key").where(other | (F.col("place") != F.col("b_place")))
-    return asked.select(F.col("doc_id").alias("a"), "place", "key", "words", F.when(other, F.col("lead")).alias("b"), F.when(other, F.col("b_place")).alias("b_place"))
+    """Rows of buckets that hold several documents: a, place, key, words; b, b_place: the leader and where (null in the leader's own rows).
+
+    One exchange: rows are dealt by ranges of key and document, so that a hot bucket goes to many tasks, and led in their order. What a range
+    can't know by itself are at most two buckets of it, whose leaders come from a table with a row for each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaders = _Leaders()
+        for batch in batches:
+            yield from leaders.add(batch)
+        yield from leaders.end()
+
+    order = ["key", "doc_id", "place"]
+    led = workspace.save(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, LED), name)
+    rest = led.where("open").select("a", "place", "key", "words").distinct()
+    # the least place decides where a leader holds a key twice
+    ends = rest.groupBy("key").agg(F.min(F.struct("a", "place")).alias("least"), F.max("a").alias("most"))
+    ends = ends.select("key", F.col("least.a").alias("lead"), "most", F.col("least.place").alias("lead_place")).where("lead < most")
+    # at most two rows a range
+    rest = rest.join(F.broadcast(ends), "key")
+    other = F.col("a") != F.col("lead")
+    rest = rest.where(other | (F.col("place") != F.col("lead_place"))).select("a", "place", "key", "words", F.when(other, F.col("lead")).alias("b"), F.when(other, F.col("lead_place")).alias("b_place"))
+    return led.where("NOT open").drop("open").unionByName(rest)
 
 
 JOBS = "a long, a_part long, a_lo int, a_hi int, b long, b_part long, b_lo int, b_hi int, places array<struct<key:long,at:int,words:int>>"
@@ -298,30 +388,49 @@ def _jobs(led: DataFrame, margin: int) -> DataFrame:
     return pairs.mapInArrow(run, JOBS)
 
 
-STRETCH = ["doc_id", "part", "lo", "hi"]
+#: Bytes of stretches that are handed on together.
+STRETCH_BYTES = 4 << 20
+
 
+def _cut(texts: DataFrame, asked: DataFrame, schema: str, carried: list[str]) -> DataFrame:
+    """Stretches of documents: for each of the list ``asked`` (part, lo, hi, and the ``carried`` columns) the document, these, and the words from lo to hi (or the text's end).
 
-def _stretches(docs: DataFrame, jobs: DataFrame) -> DataFrame:
-    """doc_id, part, lo, hi and the words from lo to hi (or the text's end) of what ``jobs`` compares; each document is read once."""
-    sides = [jobs.where(F.col(s).isNotNull()).select(F.col(s).alias("doc_id"), F.struct(F.col(f"{s}_part").alias("part"), F.col(f"{s}_lo").alias("lo"), F.col(f"{s}_hi").alias("hi")).alias("x")) for s in "ab"]
-    asked = sides[0].union(sides[1]).groupBy("doc_id").agg(F.collect_set("x").alias("asked"))
+    ``texts`` lies by document already, so that only ``asked`` moves.
+    """
+    names = ["doc_id", "part", "lo", "hi", *carried, "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[], [], [], [], []]
-            for doc_id, text, asked in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("asked").to_pylist(), strict=True):
-                raw = text.as_py()
-                part, words = zlib.crc32(raw), raw.lower().split()
-                for x in asked:
-                    if x["part"] == part:
-                        for column, value in zip(columns, (doc_id, part, x["lo"], x["hi"], b" ".join(words[x["lo"] : x["hi"]])), strict=True):
-                            column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*STRETCH, "data"])
-
-    found = docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(run, "doc_id long, part long, lo int, hi int, data binary")
-    # repeated rows of a document give equal stretches
-    return found.groupBy(*STRETCH).agg(F.first("data").alias("data"))
+            kinds = batch.schema.field("asked").type.value_type
+            types = [pa.int64(), *(kinds.field(c).type for c in names[1:-1]), pa.binary()]
+            rows: list[tuple] = []
+            size = 0
+            for doc_id, part, text, asked in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), batch.column("text"), batch.column("asked").to_pylist(), strict=True):
+                wanted = [x for x in asked if x["part"] == part]
+                words = text.as_py().lower().split() if wanted else []
+                for x in wanted:
+                    data = b" ".join(words[x["lo"] : x["hi"]])
+                    rows.append((doc_id, *(x[c] for c in names[1:-1]), data))
+                    size += len(data)
+                    if size > STRETCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                        rows, size = [], 0
+            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    return texts.join(asked, "doc_id").select("doc_id", "part", "text", "asked").mapInArrow(run, schema)
+
+
+def _stretches(texts: DataFrame, jobs: DataFrame) -> DataFrame:
+    """``jobs`` with what they compare: mine and theirs (null where there is no leader to compare with). The words of either side move once."""
+    places = "places array<struct<key:long,at:int,words:int>>"
+    mine = jobs.groupBy(F.col("a").alias("doc_id")).agg(F.collect_list(F.struct(F.col("a_part").alias("part"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi"), "b", "b_part", "b_lo", "b_hi", "places")).alias("asked"))
+    mine = _cut(texts, mine, f"doc_id long, part long, lo int, hi int, b long, b_part long, b_lo int, b_hi int, {places}, data binary", ["b", "b_part", "b_lo", "b_hi", "places"])
+    theirs = jobs.where("b IS NOT NULL").groupBy(F.col("b").alias("doc_id")).agg(F.collect_set(F.struct(F.col("b_part").alias("part"), F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"))).alias("asked"))
+    theirs = _cut(texts, theirs, "doc_id long, part long, lo int, hi int, data binary", [])
+    theirs = theirs.select(F.col("doc_id").alias("b"), F.col("part").alias("b_part"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"), F.col("data").alias("theirs"))
+    mine = mine.select(F.col("doc_id").alias("a"), F.col("part").alias("a_part"), F.col("lo").alias("a_lo"), "b", "b_part", "b_lo", "b_hi", "places", F.col("data").alias("mine"))
+    return mine.join(theirs, ["b", "b_part", "b_lo", "b_hi"], "left")
 
 
 def _verbatim(words: np.ndarray, places: list[tuple[int, int]], min_words: int) -> list[tuple[int, int, int]]:
@@ -346,7 +455,7 @@ def _beside(words: np.ndarray, key: int, at: int, size: int) -> list[tuple[int,
     return out
 
 
-def _compared(jobs: DataFrame, stretches: DataFrame, level: int, onward: int | None, min_words: int, percent: int) -> DataFrame:
+def _compared(whole: DataFrame, level: int, onward: int | None, min_words: int, percent: int) -> DataFrame:
     """Verified passages (a, part, b, a_start, b_start, words, b_words), and, with a ``key``, rows (a, place, words) of the next round."""
     names = ["a", "part", "b", "a_start", "b_start", "words", "b_words", "key", "place"]
 
@@ -378,9 +487,6 @@ def _compared(jobs: DataFrame, stretches: DataFrame, level: int, onward: int | N
             columns = zip(*out, strict=True) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-    a = stretches.select(F.col("doc_id").alias("a"), F.col("part").alias("a_part"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"), F.col("data").alias("mine"))
-    b = stretches.select(F.col("doc_id").alias("b"), F.col("part").alias("b_part"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"), F.col("data").alias("theirs"))
-    whole = jobs.join(a, ["a", "a_part", "a_lo", "a_hi"]).join(b, ["b", "b_part", "b_lo", "b_hi"], "left")
     return whole.select("a", "a_part", "a_lo", "b", "b_lo", "places", "mine", "theirs").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
@@ -388,16 +494,19 @@ def find_matches(docs: DataFrame, workspace: Workspace, min_words: int = MIN_WOR
     """a, b (a > b), a_start, b_start, words, b_words: verified passages that document a shares with b, in words from 0."""
     ship_package(docs.sparkSession)
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    rows = workspace.save(_keys(docs), "rows0")
+    # the texts are dealt once, by document; all levels read them where they lie
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.repartition(parts, "doc_id").withColumn("part", F.crc32("text")).dropDuplicates(["doc_id", "part"])
+    texts = workspace.save_buckets(texts, "texts", parts, ["doc_id"])
+    rows = workspace.save(_keys(texts), "rows0")
     out: DataFrame | None = None
     for number, level in enumerate(LEVELS):
         onward = LEVELS[number + 1] if number + 1 < len(LEVELS) else None
         jobs = workspace.save(_jobs(_led(rows, workspace, f"led{number}"), max(MARGIN, min_words + GRID)), f"jobs{number}")
         if number == 0:
             workspace.drop("rows0")
-        stretches = workspace.save(_stretches(docs, jobs), f"stretches{number}")
-        found = workspace.save(_compared(jobs, stretches, level, onward, min_words, percent), f"found{number}")
-        workspace.drop(f"stretches{number}", f"jobs{number}", f"led{number}-ends")
+        found = workspace.save(_compared(_stretches(texts, jobs), level, onward, min_words, percent), f"found{number}")
+        workspace.drop(f"jobs{number}", f"led{number}")
         matches = found.where("key IS NULL").select("a", "b", "a_start", "b_start", "words", "b_words")
         out = matches if out is None else out.unionByName(matches)
         rows = found.where("key IS NOT NULL").select("key", F.col("a").alias("doc_id"), "place", F.col("words").cast("int").alias("words")).distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -67,3 +68,35 @@ def test_a_shared_passage_is_found_where_it_stands(passage, before, after):
     covered = max((n for i, j, n in found if i - before == j - after), default=0)
     varied = len(shingles.shingle_set(words.hashes(" ".join(passage).encode()), 5))
     assert covered >= len(passage) or varied < 25
+
+
+def led_by_hand(rows):
+    """(document, place, key, words, leader, its place) of buckets with several documents; a leader's own other rows have none."""
+    out, buckets = set(), {}
+    for key, doc, place, words in rows:
+        buckets.setdefault(key, []).append((doc, place, words))
+    for key, held in buckets.items():
+        lead = min((d, p) for d, p, _ in held)
+        if max(d for d, _, _ in held) > lead[0]:
+            out |= {(d, p, key, w, *(lead if d != lead[0] else (None, None))) for d, p, w in held if d != lead[0] or p != lead[1]}
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sets(st.tuples(st.integers(-3, 3), st.integers(0, 6), st.integers(0, 4)), max_size=40), st.lists(st.integers(0, 40), max_size=4), st.integers(1, 7))
+def test_ranges_lead_their_buckets(rows, cuts, size):
+    rows = [(*r, 7) for r in sorted(rows)]
+    cuts = sorted(min(c, len(rows)) for c in cuts)
+    led, left_open = [], set()
+    for begin, end in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+        leaders, outs = passage_dedup._Leaders(), []
+        for at in range(begin, end, size):
+            key, doc, place, words = (pa.array(c) for c in zip(*rows[at : min(at + size, end)], strict=True))
+            outs += leaders.add(pa.RecordBatch.from_arrays([doc, key, place, words.cast(pa.int32())], names=["doc_id", "key", "place", "words"]))
+        for r in (r for out in [*outs, *leaders.end()] for r in out.to_pylist()):
+            if r["open"]:
+                left_open.add((r["key"], r["a"], r["place"], r["words"]))
+            else:
+                led.append((r["a"], r["place"], r["key"], r["words"], r["b"], r["b_place"]))
+    got = led + list(led_by_hand(left_open))
+    assert len(got) == len(set(got)) and set(got) == led_by_hand(rows)

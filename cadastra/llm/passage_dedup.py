@@ -340,15 +340,13 @@ def _led(rows: DataFrame, workspace: Workspace, name: str) -> DataFrame:
 
     order = ["key", "doc_id", "place"]
     led = workspace.save(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, LED), name)
-    rest = led.where("open").select("a", "place", "key", "words").distinct()
     # the least place decides where a leader holds a key twice
-    ends = rest.groupBy("key").agg(F.min(F.struct("a", "place")).alias("least"), F.max("a").alias("most"))
-    ends = ends.select("key", F.col("least.a").alias("lead"), "most", F.col("least.place").alias("lead_place")).where("lead < most")
-    # at most two rows a range
-    rest = rest.join(F.broadcast(ends), "key")
-    other = F.col("a") != F.col("lead")
-    rest = rest.where(other | (F.col("place") != F.col("lead_place"))).select("a", "place", "key", "words", F.when(other, F.col("lead")).alias("b"), F.when(other, F.col("lead_place")).alias("b_place"))
-    return led.where("NOT open").drop("open").unionByName(rest)
+    ends = led.where("open").groupBy("key").agg(F.min(F.struct("a", "place")).alias("least"), F.max("a").alias("most"))
+    ends = ends.select("key", F.col("least.a").alias("lead"), "most", F.col("least.place").alias("lead_place")).where("lead < most").drop("most")
+    # at most two rows a range; all rows go through the one join, of which most come as they are
+    whole = led.join(F.broadcast(ends), "key", "left").where("NOT open OR (lead IS NOT NULL AND (a <> lead OR place <> lead_place))")
+    other = F.col("open") & (F.col("a") != F.col("lead"))
+    return whole.select("a", "place", "key", "words", F.when(other, F.col("lead")).otherwise(F.col("b")).alias("b"), F.when(other, F.col("lead_place")).otherwise(F.col("b_place")).alias("b_place"))
 
 
 JOBS = "a long, a_part long, a_lo int, a_hi int, b long, b_part long, b_lo int, b_hi int, places array<struct<key:long,at:int,words:int>>"

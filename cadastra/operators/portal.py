@@ -224,7 +224,7 @@ RULES = [
             UNION ALL SELECT 'type', document_type, count(*) FROM x WHERE document_type <> '' GROUP BY document_type UNION ALL SELECT 'processor', processor, count(*) FROM x GROUP BY processor"""),
     Rule("scr16_routes", ("SCR16",), FILED, lambda x: x.select("k", route(F.col("name"), F.col("size"), F.col("success"), F.nullif(F.col("document_type"), F.lit("")), F.col("confidence"), F.col("length"), F.col("model_success")).alias("route")),
          """SELECT k, CASE WHEN size < 100000 THEN 'text' WHEN k % 4 < 2 AND k % 7 > 1 AND length > 200 THEN 'text' WHEN (k % 7 < 2 OR k % 5 < 2 OR k % 6 = 0 OR confidence < 0.5e0 OR length < 100) AND k % 3 <> 1 THEN 'model' ELSE 'text' END AS route FROM x"""),
-    Rule("mth10_completeness", ("MTH10",), HOMES, lambda x: x.select("k", completeness([F.col(c) for c in "abcd"] + [F.lit(True)] * 3 + [F.col("a")] * 3).alias("c")).select("k", "c.percent", "c.band"),
+    Rule("mth10_ten_checks", ("MTH10",), HOMES, lambda x: x.select("k", completeness([F.col(c) for c in "abcd"] + [F.lit(True)] * 3 + [F.col("a")] * 3).alias("c")).select("k", "c.percent", "c.band"),
          """, n AS (SELECT k, 3 + 4 * a::INT + coalesce(b::INT, 0) + c::INT + d::INT AS n FROM x) SELECT k, CAST(n * 10 AS INTEGER) AS percent, CASE WHEN n >= 8 THEN 'good' WHEN n >= 5 THEN 'fair' ELSE 'poor' END AS band FROM n"""),
     Rule("str37_search_texts", ("STR37",), PARTS, _texts,
          """SELECT k, concat_ws('. ', nullif(name, ''), CASE WHEN district IS NOT NULL OR state <> '' THEN 'Location: ' || concat_ws(', ', district, nullif(state, '')) END, CASE WHEN u > 0 THEN 'Units: ' || array_to_string(['BHK01', 'BHK02', 'BHK03'][1:u], ', ') END,

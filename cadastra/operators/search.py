@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadastra.functions.salvage import at_path
 from cadastra.operators.records import Rule
+from cadastra.plans.operator import Operator
 
 FAR = float("inf")
 
@@ -53,9 +55,22 @@ def search(
     descending: bool = True,
     page: int = 1,
     size: int = 20,
+    tehsil: str | None = None,
+    project_types: Iterable[str] | None = None,
+    amenities: Iterable[str] | None = None,
+    tags: Iterable[str] | None = None,
+    match_all: bool = False,
+    verified_only: bool = False,
+    stats: DataFrame | None = None,
+    links: DataFrame | None = None,
+    verifications: DataFrame | None = None,
 ) -> DataFrame:
     """One page of hits, each with its ``total``. ``projects``: the read model's rows (project_id, project_name, status, district, lat,
-    lon, approved_date, min_price, max_price and the scores).
+    lon, approved_date, min_price, max_price and the scores; tehsil and raw, a JSON text, where these are asked for).
+
+    ``tehsil`` is a pattern without regard to case; ``project_types`` are held against project_type in ``raw``; all of ``amenities`` must be on site (``stats``: project_id, kind,
+    radius_km, onsite_available); of ``tags`` one, or all with ``match_all``, must be linked (``links``: project_id, slug); ``verified_only`` wants a current
+    verification (``verifications``: project_id, status, is_current). Such filters are semi-joins. An empty list asks for nothing.
 
     The page is a top-k of (sort key, project_id), the total a scalar subquery: no window holds all hits.
     """
@@ -75,12 +90,28 @@ def search(
         hits = hits.where(F.col("min_price") <= price[1])
     for column, value in (least or {}).items():
         hits = hits.where(F.col(column) >= value)
+    if tehsil:
+        hits = hits.where(F.col("tehsil").ilike(tehsil))
+    if types := list(project_types or ()):
+        hits = hits.where(at_path(F.col("raw"), "$.project_type").isin(types))
+    if wanted := set(amenities or ()):
+        onsite = stats.where(F.col("radius_km").isNull() & F.col("onsite_available") & F.col("kind").isin(*wanted))
+        hits = hits.join(_holders(onsite, "kind", len(wanted)), "project_id", "left_semi")
+    if wanted := set(tags or ()):
+        hits = hits.join(_holders(links.where(F.col("slug").isin(*wanted)), "slug", len(wanted) if match_all else 1), "project_id", "left_semi")
+    if verified_only:
+        hits = hits.join(verifications.where("is_current AND status = 'verified'").select("project_id"), "project_id", "left_semi")
     key = sort_key(sort_by)
     total = hits.agg(F.count(F.lit(1))).scalar()
     ordered = hits.orderBy(key.desc() if descending else key.asc(), "project_id").offset((page - 1) * size).limit(size)
     return ordered.withColumn("total", total)
 
 
+def _holders(rows: DataFrame, what: str, least: int) -> DataFrame:
+    """Projects with at least so many different values."""
+    return rows.select("project_id", what).distinct().groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("project_id")
+
+
 @dataclass(frozen=True)
 class ScoreConfig:
     """Kinds with the radius that counts, buckets as (count up to, score), and weights."""
@@ -202,3 +233,44 @@ RULES = [
 ]
 QUERIES = {r.name: r.query for r in RULES}
 ORACLE_SQL = {r.name: r.oracle() for r in RULES}
+
+
+# Searches by every predicate that needs another relation; the relations are made from the tables.
+_PROJECTS = """SELECT project_id, project_name, status, district, lat, lon, approved_date, total_price AS min_price, total_price AS max_price, CASE WHEN project_id % 7 = 0 THEN NULL ELSE CAST(project_id * 31 % 101 AS DOUBLE) END AS overall_score,
+    CASE project_id % 4 WHEN 0 THEN 'Arang' WHEN 1 THEN 'ABHANPUR' WHEN 2 THEN NULL ELSE 'Durg' END AS tehsil, CASE project_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '{"project_type": "' || project_type || '"}' ELSE '{"project_type": null}' END AS raw FROM {projects}"""
+_STATS = "SELECT l_orderkey AS project_id, CASE l_partkey % 4 WHEN 0 THEN 'park' WHEN 1 THEN 'gym' WHEN 2 THEN 'pool' ELSE 'school' END AS kind, CASE WHEN l_suppkey % 5 = 0 THEN 3 END AS radius_km, l_linenumber <> 2 AS onsite_available FROM {lineitem}"
+_LINKS = "SELECT project_id, slug FROM {project_tags}"
+_VERIFIED = "SELECT l_orderkey AS project_id, CASE WHEN l_returnflag = 'N' THEN 'verified' ELSE 'pending' END AS status, l_linenumber = 1 AS is_current FROM {lineitem}"
+SEARCHES = {
+    "tehsil": {"tehsil": "a%"}, "types": {"project_types": ["1-URGENT", "5-LOW"]}, "amenities": {"amenities": ["park", "gym", "park"]}, "any_tag": {"tags": ["Brand#11", "Brand#23"]},
+    "all_tags": {"tags": ["Brand#11", "Brand#23"], "match_all": True}, "verified": {"verified_only": True}, "together": {"tehsil": "%N%", "amenities": ["park"], "verified_only": True, "statuses": ["O", "F"], "sort_by": "price", "descending": False},
+}
+
+
+def search_by_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of each search, with its total."""
+    frames = [Operator("search", (), lambda d, text=text: text).query(spark, sf_dir) for text in (_PROJECTS, _STATS, _LINKS, _VERIFIED)]
+    out: DataFrame | None = None
+    for label, asked in SEARCHES.items():
+        page = search(frames[0], page=2, size=15, stats=frames[1], links=frames[2], verifications=frames[3], **asked)
+        page = page.select(F.lit(label).alias("search"), "project_id", "total")
+        out = page if out is None else out.unionByName(page)
+    return out
+
+
+def _search_check() -> str:
+    named = {n: Operator(n, (), lambda d, text=text: text).oracle() for n, text in (("x", _PROJECTS), ("st", _STATS), ("li", _LINKS), ("ve", _VERIFIED))}
+    where = {
+        "tehsil": "tehsil ILIKE 'a%'", "types": "project_id % 3 = 1 AND json_extract_string(raw, '$.project_type') IN ('1-URGENT', '5-LOW')",
+        "amenities": "project_id IN (SELECT project_id FROM st WHERE kind = 'park' AND radius_km IS NULL AND onsite_available) AND project_id IN (SELECT project_id FROM st WHERE kind = 'gym' AND radius_km IS NULL AND onsite_available)",
+        "any_tag": "project_id IN (SELECT project_id FROM li WHERE slug IN ('Brand#11', 'Brand#23'))", "all_tags": "project_id IN (SELECT project_id FROM li WHERE slug = 'Brand#11') AND project_id IN (SELECT project_id FROM li WHERE slug = 'Brand#23')",
+        "verified": "project_id IN (SELECT project_id FROM ve WHERE is_current AND status = 'verified')",
+        "together": "tehsil ILIKE '%n%' AND status IN ('O', 'F') AND project_id IN (SELECT project_id FROM st WHERE kind = 'park' AND radius_km IS NULL AND onsite_available) AND project_id IN (SELECT project_id FROM ve WHERE is_current AND status = 'verified')",
+    }
+    order = lambda label: "CASE WHEN min_price <> 0 THEN CAST(min_price AS DOUBLE) ELSE CAST('inf' AS DOUBLE) END, project_id" if label == "together" else "coalesce(overall_score, 0) DESC, project_id"
+    pages = " UNION ALL ".join(f"SELECT * FROM (SELECT '{label}' AS search, project_id, count(*) OVER () AS total FROM x WHERE {test} ORDER BY {order(label)} LIMIT 15 OFFSET 15) p_{label}" for label, test in where.items())
+    return f"WITH {', '.join(f'{n} AS ({text})' for n, text in named.items())} {pages}"
+
+
+QUERIES["search_by_relations"] = search_by_relations
+ORACLE_SQL["search_by_relations"] = _search_check()

@@ -26,8 +26,8 @@ class Tier:
     burst: int
 
 
-#: Requests allowed to each tier.
-TIERS = {"standard": Tier(100, 1000, 20), "premium": Tier(500, 10_000, 50), "internal": Tier(1000, 50_000, 100)}
+#: Requests allowed to each tier; a client without one is anonymous.
+TIERS = {"internal": Tier(1000, 50_000, 100), "premium": Tier(500, 20_000, 50), "standard": Tier(100, 5000, 20), "anonymous": Tier(500, 10_000, 50)}
 #: tokens, last request, minute, requests in it, hour, requests in it.
 START = (-1.0, 0.0, -1, 0, -1, 0)
 VERDICTS = "client long, event_id long, allowed boolean, reason string"
@@ -58,7 +58,8 @@ def limit_rows(state: tuple, tier: Tier, seconds: list[float]) -> tuple[tuple, l
 
 def _verdicts(client: int, rows: pd.DataFrame, state: tuple, tiers: dict[str, Tier]) -> tuple[tuple, pd.DataFrame]:
     rows = rows.sort_values(["ts", "event_id"])
-    tier = tiers.get(rows["tier"].iloc[0], tiers["standard"])
+    name = rows["tier"].iloc[0]
+    tier = tiers.get("anonymous" if pd.isna(name) else name, tiers["standard"])
     state, reasons = limit_rows(state, tier, (rows["ts"].astype("int64") / 10 ** {"ns": 9, "us": 6, "ms": 3}[rows["ts"].dt.unit]).tolist())
     return state, pd.DataFrame({"client": client, "event_id": rows["event_id"].to_numpy(), "allowed": [not r for r in reasons], "reason": reasons})
 

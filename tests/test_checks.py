@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from cadastra.functions import cleaning
 from cadastra.functions.geo import within_radius
-from cadastra.operators import arrivals, checks, portal, states, text_rules
+from cadastra.operators import arrivals, checks, lookups, portal, search, states, text_rules
 from cadastra.runtime import Workspace
 from cadastra.streaming import state
 
-QUERIES = {k: (m.QUERIES[k], m.ORACLE_SQL[k]) for m in (checks, states, arrivals, text_rules, portal) for k in m.QUERIES}
+QUERIES = {k: (m.QUERIES[k], m.ORACLE_SQL[k]) for m in (checks, states, arrivals, text_rules, portal, lookups, search) for k in m.QUERIES}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

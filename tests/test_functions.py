@@ -150,6 +150,19 @@ def test_rate_limits_in_order():
     assert rest == ["", "burst"]
 
 
+def test_tiers_of_clients(spark):
+    import pandas as pd
+
+    from cadastra.streaming.usage import rate_limits
+
+    start = pd.Timestamp("2024-01-01")
+    rows = [(client, client * 1000 + n, tier, (start + pd.Timedelta(seconds=n // 60)).to_pydatetime()) for client, tier in ((1, "standard"), (2, None), (3, "internal"), (4, "odd")) for n in range(180)]
+    verdicts = rate_limits(spark.createDataFrame(rows, "client long, event_id long, tier string, ts timestamp"))
+    allowed = {r.client: r.n for r in verdicts.where("allowed").groupBy("client").count().withColumnRenamed("count", "n").collect()}
+    # a burst, and what comes back in two seconds
+    assert allowed == {1: 23, 2: 66, 3: 133, 4: 23}
+
+
 def test_outliers_are_a_share_of_all_rows(spark):
     rows = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, 1.0).otherwise(F.randn(3)).alias("a"), F.when(F.col("id") % 3 == 0, 1.0).otherwise(F.randn(4)).alias("b"))
     out = outliers(rows, ["a", "b"], sample=256).collect()

@@ -49,7 +49,9 @@ def snk05_reloaded_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dml04_verifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shipments as verifications of their orders: the older ones are the history, the newer ones arrive."""
     rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("project_id"), F.col("l_linenumber").alias("verification"), F.col("l_returnflag").alias("status"), F.col("l_shipdate").cast("date").alias("day"))
-    old, new = rows.where("day < '1996-01-01'"), rows.where("day >= '1996-01-01'")
+    # no day comes before all days
+    is_new = F.coalesce(F.col("day") >= F.lit("1996-01-01").cast("date"), F.lit(False))
+    old, new = rows.where(~is_new), rows.where(is_new)
     empty = spark.createDataFrame([], "project_id long, verification int, status string, day date, is_current boolean")
     columns = [F.col(f.name).cast(f.dataType) for f in empty.schema.fields[:-1]]
     history = Workspace(spark, "verifications").save(state.record_verifications(empty, old.select(*columns), "project_id", ["day", "verification"]), "history")

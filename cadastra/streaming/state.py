@@ -80,12 +80,15 @@ def recompute_stats(path: str, projects: DataFrame, compute: Callable[[DataFrame
 def record_verifications(history: DataFrame, arrivals: DataFrame, key: str, order: list[str], current: str = "is_current") -> DataFrame:
     """``history`` with ``arrivals`` entered and ``current`` set anew: of each key the last arrival by ``order`` is current, and whatever was current before is closed; keys without arrivals stay as they are.
 
-    ``arrivals`` has the columns of ``history`` but for ``current``. Equal order values leave it to the other columns.
+    ``arrivals`` has the columns of ``history`` but for ``current``. Equal order values leave it to the other columns; of exact copies one is current.
     """
     ties = [c for c in arrivals.columns if c not in (key, *order)]
     new = one_of(history.columns, "newest")
-    last = arrivals.groupBy(F.col(key).alias(new)).agg(F.max(F.struct(*order, *ties)).alias(f"{new}_row"))
-    entered = arrivals.join(last, arrivals[key].eqNullSafe(last[new])).withColumn(current, F.struct(*(F.col(c) for c in (*order, *ties))) == F.col(f"{new}_row")).drop(new, f"{new}_row")
+    # copies as their number, so that one of them can be the current one
+    distinct = arrivals.groupBy(*arrivals.columns).agg(F.count(F.lit(1)).alias(f"{new}_copies"))
+    last = distinct.groupBy(F.col(key).alias(new)).agg(F.max(F.struct(*order, *ties)).alias(f"{new}_row"))
+    entered = distinct.join(last, distinct[key].eqNullSafe(last[new])).withColumn(f"{new}_copy", F.explode(F.sequence(F.lit(1), F.col(f"{new}_copies"))))
+    entered = entered.withColumn(current, (F.struct(*(F.col(c) for c in (*order, *ties))) == F.col(f"{new}_row")) & (F.col(f"{new}_copy") == 1))
     old = history.join(last.select(new, F.lit(True).alias(f"{new}_here")), history[key].eqNullSafe(last[new]), "left")
     old = old.withColumn(current, F.col(current) & F.col(f"{new}_here").isNull()).drop(new, f"{new}_here")
     return old.select(*history.columns).unionByName(entered.select(*history.columns))

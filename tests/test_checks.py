@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from datetime import date, datetime, timedelta
 
+import duckdb
 import pytest
 from compare import database, same
 from pyspark.sql import functions as F
@@ -162,6 +164,24 @@ def test_verifications_of_keys_that_did_not_arrive_stay(spark):
     assert got == {(1, 1, True), (2, 1, False), (2, 0, False), (None, 1, False), (2, 5, False), (2, 9, True), (3, 1, True), (None, 0, True)}
 
 
+def test_one_of_equal_verifications_is_current(spark):
+    history = spark.createDataFrame([], "k int, n int, s string, is_current boolean")
+    new = spark.createDataFrame([(1, 5, "x"), (1, 5, "x"), (1, 5, "x"), (1, 4, "y"), (1, 4, "y"), (2, None, None), (2, None, None), (None, 3, "z"), (None, 3, "z")], "k int, n int, s string")
+    got = Counter((r.k, r.n, r.s, r.is_current) for r in state.record_verifications(history, new, "k", ["n"]).collect())
+    assert got == {(1, 5, "x", True): 1, (1, 5, "x", False): 2, (1, 4, "y", False): 2, (2, None, None, True): 1, (2, None, None, False): 1, (None, 3, "z", True): 1, (None, 3, "z", False): 1}
+
+
+def test_shipments_with_copies_and_nulls_as_verifications(spark, tmp_path):
+    """Against the query's SQL: copies, equal days and nulls in every column, on either side of the day when the history ends."""
+    rng = random.Random(4)
+    pick = lambda *values: rng.choice([None, *values])
+    rows = [(pick(*range(40)), pick(1, 2), pick("A", "N", "R"), pick(*(datetime(1995 + n // 3, 12, 29 + n % 3, 5) for n in range(6)))) for _ in range(1500)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_returnflag string, l_shipdate timestamp_ntz").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    lineitem = duckdb.connect()
+    lineitem.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert same(states.dml04_verifications(spark, str(tmp_path)), lineitem, states.ORACLE_SQL["dml04_verifications"]) == len(rows)
+
+
 def test_audits_of_failed_runs(spark, tmp_path):
     path = str(tmp_path / "audit")
     state.audited(spark, path, "a", lambda: (3, 2, 1))

@@ -329,7 +329,7 @@ def _led(rows: DataFrame, workspace: Workspace, name: str) -> DataFrame:
     """Rows of buckets that hold several documents: a, place, key, words; b, b_place: the leader and where (null in the leader's own rows).
 
     One exchange: rows are dealt by ranges of key and document, so that a hot bucket goes to many tasks, and led in their order. What a range
-    can't know by itself are at most two buckets of it, whose leaders come from a table with a row for each.
+    can't know by itself are at most two buckets of it, whose leaders come from a map of the buckets that two ranges or more share.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,12 +341,12 @@ def _led(rows: DataFrame, workspace: Workspace, name: str) -> DataFrame:
     order = ["key", "doc_id", "place"]
     led = workspace.save(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, LED), name)
     # the least place decides where a leader holds a key twice
-    ends = led.where("open").groupBy("key").agg(F.min(F.struct("a", "place")).alias("least"), F.max("a").alias("most"))
-    ends = ends.select("key", F.col("least.a").alias("lead"), "most", F.col("least.place").alias("lead_place")).where("lead < most").drop("most")
-    # at most two rows a range; all rows go through the one join, of which most come as they are
-    whole = led.join(F.broadcast(ends), "key", "left").where("NOT open OR (lead IS NOT NULL AND (a <> lead OR place <> lead_place))")
-    other = F.col("open") & (F.col("a") != F.col("lead"))
-    return whole.select("a", "place", "key", "words", F.when(other, F.col("lead")).otherwise(F.col("b")).alias("b"), F.when(other, F.col("lead_place")).otherwise(F.col("b_place")).alias("b_place"))
+    ends = led.where("open").groupBy("key").agg(F.min(F.struct("a", "place")).alias("least"), F.max("a").alias("most")).where("least.a < most")
+    # a bucket for each range at most, so that one value holds them all and no row is joined
+    leads = ends.agg(F.map_from_entries(F.collect_list(F.struct("key", "least")))).scalar()
+    whole = led.withColumn("lead", F.when(F.col("open"), F.element_at(leads, F.col("key")))).where("NOT open OR (lead IS NOT NULL AND (a <> lead.a OR place <> lead.place))")
+    led_by = lambda mine, known: F.when(~F.col("open"), F.col(known)).when(F.col("a") != F.col("lead.a"), F.col(f"lead.{mine}"))
+    return whole.select("a", "place", "key", "words", led_by("a", "b").alias("b"), led_by("place", "b_place").alias("b_place"))
 
 
 JOBS = "a long, a_part long, a_lo int, a_hi int, b long, b_part long, b_lo int, b_hi int, places array<struct<key:long,at:int,words:int>>"

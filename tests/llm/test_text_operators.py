@@ -434,3 +434,22 @@ def test_line_runs_are_not_shuffled_again(spark):
     text = store.workspace.table(store.runs()[0]).join(known.hint("merge"), ["h1", "h2"], "left_anti")._jdf.queryExecution().toString()
     assert "SortMergeJoin" in text and "Exchange" not in text.split("== Physical Plan ==")[1]
     assert {r.h2 for r in store.repeated(2).collect()} == set(range(50, 100))
+
+
+def test_leaders_of_buckets_that_many_ranges_share(spark):
+    """Every row is held against its bucket's least document at its least place, and no join stands between."""
+    rng = np.random.default_rng(3)
+    n = 6000
+    keys = np.where(rng.random(n) < 0.6, rng.choice([7, 40], n), rng.integers(0, 1200, n))
+    rows = sorted({(int(k), int(d), int(p)) for k, d, p in zip(keys, rng.integers(0, 900, n), rng.integers(0, 5, n), strict=True)})
+    frame = spark.createDataFrame([(k, d, p, 9) for k, d, p in rows], "key long, doc_id long, place long, words int")
+    led = passage_dedup._led(frame.repartition(7), Workspace(spark, "led"), "led")
+    found = led.collect()
+    assert "Join" not in led._jdf.queryExecution().executedPlan().toString()
+    firsts, several = {}, {}
+    for k, d, p in rows:
+        firsts.setdefault(k, (d, p))
+        several.setdefault(k, set()).add(d)
+    others = [(k, d, p) for k, d, p in rows if len(several[k]) > 1 and (d, p) != firsts[k]]
+    plain = [(d, p, k, 9, *(firsts[k] if d != firsts[k][0] else (None, None))) for k, d, p in others]
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, plain))

@@ -40,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -117,6 +117,25 @@ def band_keys(words: np.ndarray) -> np.ndarray:
     return np.unique(paragraphs([words])[3])
 
 
+def _same(a: np.ndarray, b: np.ndarray) -> int:
+    """Words from the start on that are equal."""
+    n = min(len(a), len(b))
+    if not n:
+        return 0
+    wrong = a[:n] != b[:n]
+    first = int(wrong.argmax())
+    return first if wrong[first] else n
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order: ``np.unique``, which takes several times as long for a hundred of them."""
+    values = np.sort(values)
+    fresh = np.empty(len(values), dtype=bool)
+    fresh[:1] = True
+    np.not_equal(values[1:], values[:-1], out=fresh[1:])
+    return values[fresh]
+
+
 def _run_length(a: np.ndarray, b: np.ndarray) -> int:
     """Words of two sequences from their start on that are equal but for single changed words.
 
@@ -126,11 +145,11 @@ def _run_length(a: np.ndarray, b: np.ndarray) -> int:
     a, b = a[:n], b[:n]
     at, changes, block = 0, 0, 64
     while at < n:
-        wrong = np.flatnonzero(a[at : at + block] != b[at : at + block])
-        if not len(wrong):
-            at, block = min(n, at + block), 2 * block
+        equal = _same(a[at : at + block], b[at : at + block])
+        if equal == min(block, n - at):
+            at, block = at + equal, 2 * block
             continue
-        stop = at + int(wrong[0])
+        stop = at + equal
         if stop + 7 > n or (a[stop + 1 : stop + 7] != b[stop + 1 : stop + 7]).any() or changes + 1 > 1 + stop / 20:
             return stop
         changes += 1
@@ -146,13 +165,15 @@ def _extent(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """Words of either sequence as in ``_run_length``, but a change may also insert, drop or replace up to four words."""
     at, bt, changes, block = 0, 0, 0, 64
     while n := min(block, len(a) - at, len(b) - bt):
-        wrong = np.flatnonzero(a[at : at + n] != b[bt : bt + n])
-        if not len(wrong):
-            at, bt, block = at + n, bt + n, 2 * block
+        equal = _same(a[at : at + n], b[bt : bt + n])
+        at, bt = at + equal, bt + equal
+        if equal == n:
+            block = 2 * block
             continue
-        at, bt = at + int(wrong[0]), bt + int(wrong[0])
         x, y = a[at : at + 10].tolist(), b[bt : bt + 10].tolist()
-        gap = next(((m, n) for m, n in GAPS if len(x) >= m + 6 and x[m : m + 6] == y[n : n + 6]), None)
+        # most ends have no word in common that a change could stop at
+        stops = min(len(x), len(y)) >= 6 and not set(x[:5]).isdisjoint(y[:5])
+        gap = next(((m, n) for m, n in GAPS if x[m] == y[n] and len(x) >= m + 6 and x[m : m + 6] == y[n : n + 6]), None) if stops else None
         if gap is None or changes > at / 20:
             break
         changes += 1
@@ -160,30 +181,23 @@ def _extent(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return at, bt
 
 
-def _same(a: np.ndarray, b: np.ndarray) -> int:
-    """Words from the start on that are equal."""
-    n = min(len(a), len(b))
-    wrong = np.flatnonzero(a[:n] != b[:n])
-    return int(wrong[0]) if len(wrong) else n
-
-
 class Indexed:
-    """A text's word hashes, and its shingles in order of their hashes."""
+    """A text's word hashes, and its shingles in order of their hashes (``shingles``, if they are known)."""
 
-    def __init__(self, words: np.ndarray) -> None:
-        self.words, self.windows = words, windows(words, WIDTH)
+    def __init__(self, words: np.ndarray, shingles: np.ndarray | None = None) -> None:
+        self.words, self.windows = words, windows(words, WIDTH) if shingles is None else shingles
         self.order = np.argsort(self.windows, kind="stable")
         self.sorted = self.windows[self.order]
 
 
-def aligned(a: np.ndarray, held: Indexed, min_words: int = MIN_WORDS, percent: int = PERCENT) -> list[tuple[int, int, int, int]]:
+def aligned(a: np.ndarray, held: Indexed, min_words: int = MIN_WORDS, percent: int = PERCENT, shingles: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
     """(start in a, start in b, words in a, words in b) of what a has in common with the text b that ``held`` indexes."""
     b, wb, order = held.words, held.windows, held.order
     if min(len(a), len(b)) < min_words:
         return []
-    wa = windows(a, WIDTH)
+    wa = windows(a, WIDTH) if shingles is None else shingles
     if len(a) == len(b) and (a == b).all():
-        return [(0, 0, len(a), len(b))] if 2 * len(np.unique(wa)) >= min_words else []
+        return [(0, 0, len(a), len(b))] if 2 * len(_distinct(wa)) >= min_words else []
     place = np.searchsorted(held.sorted, wa)
     place[place == len(wb)] = 0
     present = held.sorted[place] == wa
@@ -192,17 +206,20 @@ def aligned(a: np.ndarray, held: Indexed, min_words: int = MIN_WORDS, percent: i
     have = np.cumsum(np.append(0, present))
     dense = have[span:] - have[:-span] >= (2 * percent - 100) / 100 * span
     # and has half as many distinct ones as words
-    if not dense.any() or 2 * len(np.unique(wa[present])) * 100 < percent * min_words:
+    if not dense.any() or 2 * len(_distinct(wa[present])) * 100 < percent * min_words:
         return []
     near = np.cumsum(np.concatenate([np.zeros(span, dtype=np.int64), dense, np.zeros(span - 1, dtype=np.int64)]))
     close = near[span:] - near[:-span] > 0
-    hits = np.flatnonzero(present & close & (np.append(np.uint64(0), wa[:-1]) != wa))
+    fresh = np.empty(len(wa), dtype=bool)
+    fresh[0] = wa[0] != 0
+    np.not_equal(wa[1:], wa[:-1], out=fresh[1:])
+    hits = (present & close & fresh).nonzero()[0]
     out: list[tuple[int, int, int, int]] = []
 
     def verified(i: int, j: int, m: int, n: int) -> bool:
         if min(m, n) < min_words:
             return False
-        sa, sb = np.unique(wa[i : i + m - WIDTH + 1]), np.unique(wb[j : j + n - WIDTH + 1])
+        sa, sb = _distinct(wa[i : i + m - WIDTH + 1]), _distinct(wb[j : j + n - WIDTH + 1])
         shared = common(sa, sb)
         return 100 * shared >= percent * (len(sa) + len(sb) - shared) and 2 * len(sa) >= min_words
 
@@ -399,22 +416,29 @@ def _cut(texts: DataFrame, asked: DataFrame, schema: str, carried: list[str]) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds = batch.schema.field("asked").type.value_type
-            types = [pa.int64(), *(kinds.field(c).type for c in names[1:-1]), pa.binary()]
-            rows: list[tuple] = []
-            size = 0
-            for doc_id, part, text, asked in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), batch.column("text"), batch.column("asked").to_pylist(), strict=True):
-                wanted = [x for x in asked if x["part"] == part]
-                words = text.as_py().lower().split() if wanted else []
-                for x in wanted:
-                    data = b" ".join(words[x["lo"] : x["hi"]])
-                    rows.append((doc_id, *(x[c] for c in names[1:-1]), data))
-                    size += len(data)
-                    if size > STRETCH_BYTES:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-                        rows, size = [], 0
-            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+            lists = batch.column("asked")
+            inner = lists.flatten()
+            fields = {inner.type.field(i).name: f for i, f in enumerate(inner.flatten())}
+            owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            # by text; the carried columns stay as they are
+            at = np.flatnonzero(fields["part"].to_numpy() == batch.column("part").to_numpy()[owner])
+            owner, text = owner[at], batch.column("text")
+            last, words, data, begin, size = -1, [], [], 0, 0
+
+            def cut(rows: np.ndarray, of: np.ndarray, data: list[bytes], batch: pa.RecordBatch = batch, fields: dict[str, pa.Array] = fields) -> pa.RecordBatch:
+                columns = [batch.column("doc_id").take(pa.array(of)), *(fields[c].take(pa.array(rows)) for c in names[1:-1]), pa.array(data, pa.binary())]
+                return pa.RecordBatch.from_arrays(columns, names=names)
+
+            low, high = (fields[c].to_numpy()[at].tolist() for c in ("lo", "hi"))
+            for i, (of, lo, hi) in enumerate(zip(owner.tolist(), low, high, strict=True)):
+                if of != last:
+                    last, words = of, text[of].as_py().lower().split()
+                data.append(b" ".join(words[lo:hi]))
+                size += len(data[-1])
+                if size > STRETCH_BYTES:
+                    yield cut(at[begin : i + 1], owner[begin : i + 1], data)
+                    data, begin, size = [], i + 1, 0
+            yield cut(at[begin:], owner[begin:], data)
 
     return texts.join(asked, "doc_id").select("doc_id", "part", "text", "asked").mapInArrow(run, schema)
 
@@ -431,59 +455,114 @@ def _stretches(texts: DataFrame, jobs: DataFrame) -> DataFrame:
     return mine.join(theirs, ["b", "b_part", "b_lo", "b_hi"], "left")
 
 
-def _verbatim(words: np.ndarray, places: list[tuple[int, int]], min_words: int) -> list[tuple[int, int, int]]:
-    """(key, start, words) of every run of ``min_words`` words that contains one of ``places`` or lies in it."""
-    if len(words) < min_words:
-        return []
-    wanted = np.zeros(len(words) - min_words + 1, dtype=bool)
-    for at, size in places:
-        first, last = (at + size - min_words, at) if size <= min_words else (at, at + size - min_words)
-        wanted[max(0, first) : last + 1] = True
-    starts = np.flatnonzero(wanted)
-    return [(k, i, min_words) for k, i in zip(windows(words, min_words)[starts].view(np.int64).tolist(), starts.tolist(), strict=True)]
+class Laid:
+    """Word hashes of many texts in one array, with where each begins and how many it has; windows are made of all at once."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        parts = WORDS.of(texts)
+        self.sizes = np.array([len(p) for p in parts], dtype=np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.words = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+        self.shingles = windows(self.words, WIDTH)
+
+    def of(self, text: int) -> np.ndarray:
+        return self.words[self.begins[text] : self.begins[text] + self.sizes[text]]
+
+    def shingles_of(self, text: int) -> np.ndarray:
+        n = int(self.sizes[text])
+        return self.shingles[self.begins[text] : self.begins[text] + n - WIDTH + 1] if n >= WIDTH else windows(self.of(text), WIDTH)
+
+
+def _verbatim(laid: Laid, text: np.ndarray, row: np.ndarray, at: np.ndarray, size: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, start, words) of every run of ``min_words`` words that contains one of the places or lies in it, once a row (in whose order they are)."""
+    runs = laid.sizes[text] - min_words + 1
+    within = size <= min_words
+    first, last = np.where(within, at + size - min_words, at), np.where(within, at, at + size - min_words)
+    first, last = np.maximum(first, 0), np.minimum(last, runs - 1)
+    some = last >= first
+    row, text, first, last = row[some], text[some], first[some], last[some]
+    counts = last - first + 1
+    starts = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+    row, text = np.repeat(row, counts), np.repeat(text, counts)
+    order = np.lexsort((starts, row))
+    row, text, starts = row[order], text[order], starts[order]
+    fresh = np.ones(len(row), dtype=bool)
+    fresh[1:] = (np.diff(row) != 0) | (np.diff(starts) != 0)
+    row, text, starts = row[fresh], text[fresh], starts[fresh]
+    # windows of the texts that are asked for only
+    used, place = np.unique(text, return_inverse=True)
+    flat = np.concatenate([laid.of(t) for t in used.tolist()]) if len(used) else laid.words[:0]
+    begins = np.cumsum(laid.sizes[used]) - laid.sizes[used]
+    keys = windows(flat, min_words)[begins[place] + starts] if len(row) else laid.words[:0]
+    return row, keys.view(np.int64), starts, np.full(len(row), min_words)
+
+
+def _beside(laid: Laid, text: np.ndarray, row: np.ndarray, key: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, start, words) of paragraphs in the buckets of their keys and the words on either side."""
+    beside = windows(laid.words, BESIDE)
+    out = []
+    for side, begin in ((1, at - BESIDE), (2, at + size)):
+        some = (begin >= 0) & (begin + BESIDE <= laid.sizes[text])
+        context = beside[laid.begins[text[some]] + begin[some]] + np.uint64(side)
+        out.append((row[some], mixed(mixed(context) * STEP + key[some].view(np.uint64)).view(np.int64), at[some], size[some]))
+    return tuple(np.concatenate(columns) for columns in zip(*out, strict=True))
 
 
-def _beside(words: np.ndarray, key: int, at: int, size: int) -> list[tuple[int, int, int]]:
-    """(key, start, words) of a paragraph in the buckets of its key and the words on either side."""
-    out = []
-    for side, beside in ((1, words[max(0, at - BESIDE) : at]), (2, words[at + size : at + size + BESIDE])):
-        if len(beside) == BESIDE:
-            whole = xxhash.xxh3_64_intdigest(beside.tobytes() + bytes([side]), seed=key & (2**64 - 1))
-            out.append((whole - (1 << 64) if whole >> 63 else whole, at, size))
-    return out
+#: Bytes of stretches that are compared together.
+COMPARED_BYTES = 2 << 20
 
 
 def _compared(whole: DataFrame, level: int, onward: int | None, min_words: int, percent: int) -> DataFrame:
     """Verified passages (a, part, b, a_start, b_start, words, b_words), and, with a ``key``, rows (a, place, words) of the next round."""
     names = ["a", "part", "b", "a_start", "b_start", "words", "b_words", "key", "place"]
 
+    def compared(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        mine, theirs = batch.column("mine").to_pylist(), batch.column("theirs").to_pylist()
+        texts = {t: i for i, t in enumerate(dict.fromkeys(t for t in (*mine, *theirs) if t is not None))}
+        laid = Laid(list(texts))
+        text = np.array([texts[t] for t in mine], dtype=np.int64)
+        a, part, low, b_low = (batch.column(c).fill_null(0).to_numpy().astype(np.int64) for c in ("a", "a_part", "a_lo", "b_lo"))
+        lists = batch.column("places")
+        ends = np.cumsum(lists.value_lengths().to_numpy())
+        key, at, size = (c.to_numpy().astype(np.int64) for c in lists.flatten().flatten())
+        open_ = np.ones(len(key), dtype=bool)
+        found: list[tuple[int, int, int, int, int]] = []
+        last, held = -1, None
+        for i, other in enumerate(theirs):
+            if other is None:
+                continue
+            if last != texts[other]:
+                last = texts[other]
+                held = Indexed(laid.of(last), laid.shingles_of(last))
+            spans = aligned(laid.of(text[i]), held, min_words, percent, laid.shingles_of(text[i]))
+            own = slice(ends[i - 1] if i else 0, ends[i])
+            for start, b_start, words, b_words in spans:
+                begin = int(low[i]) + start
+                found.append((i, begin, int(b_low[i]) + b_start, words, b_words))
+                open_[own] &= (at[own] < begin) | (at[own] + size[own] > begin + words)
+        row, *spans = np.array(found, dtype=np.int64).reshape(-1, 5).T
+        columns = [pa.array(a[row]), pa.array(part[row]), batch.column("b").take(pa.array(row)), *map(pa.array, spans)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.int64())], names=names)
+        if onward is None or not open_.any():
+            return
+        row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())[open_]
+        key, at, size = key[open_], at[open_] - low[row], size[open_]
+        if onward == VERBATIM:
+            row, key, at, size = _verbatim(laid, text[row], row, at, size, min_words)
+        elif onward != level:
+            row, key, at, size = _beside(laid, text[row], row, key, at, size)
+        none = pa.nulls(len(row), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(a[row]), pa.array(part[row]), none, none, none, pa.array(size), none, pa.array(key), pa.array(part[row] * PLACE + low[row] + at)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = b"", Indexed(WORDS.hashes(b""))
         for batch in batches:
-            out: list[tuple[int | None, ...]] = []
-            lists = (batch.column(c).to_pylist() for c in ("a", "a_part", "a_lo", "b", "b_lo", "places", "mine", "theirs"))
-            texts = list({t: None for c in ("mine", "theirs") for t in batch.column(c).to_pylist() if t is not None})
-            hashed = dict(zip(texts, (w for g in grouped(texts, BATCH_BYTES) for w in WORDS.of(g)), strict=True))
-            for a, part, a_lo, b, b_lo, places, mine, theirs in zip(*lists, strict=True):
-                words, spans = hashed[mine], []
-                if b is not None:
-                    if last[0] != theirs:
-                        last = theirs, Indexed(hashed[theirs])
-                    for i, j, m, n in aligned(words, last[1], min_words, percent):
-                        out.append((a, part, b, a_lo + i, b_lo + j, m, n, None, None))
-                        spans.append((a_lo + i, a_lo + i + m))
-                if onward is None:
-                    continue
-                rest = [p for p in places if not any(s <= p["at"] and p["at"] + p["words"] <= e for s, e in spans)]
-                if onward == VERBATIM:
-                    rows = _verbatim(words, [(p["at"] - a_lo, p["words"]) for p in rest], min_words) if rest else []
-                elif onward == level:
-                    rows = [(p["key"], p["at"] - a_lo, p["words"]) for p in rest]
-                else:
-                    rows = [row for p in rest for row in _beside(words, p["key"], p["at"] - a_lo, p["words"])]
-                out += [(a, part, None, None, None, w, None, k, part * PLACE + a_lo + i) for k, i, w in rows]
-            columns = zip(*out, strict=True) if out else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+            if not batch.num_rows:
+                continue
+            sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy().astype(np.int64) for c in ("mine", "theirs"))
+            group = np.cumsum(sizes) // COMPARED_BYTES
+            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+                yield from compared(batch.slice(begin, end - begin))
 
     return whole.select("a", "a_part", "a_lo", "b", "b_lo", "places", "mine", "theirs").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -453,3 +454,58 @@ def test_leaders_of_buckets_that_many_ranges_share(spark):
     others = [(k, d, p) for k, d, p in rows if len(several[k]) > 1 and (d, p) != firsts[k]]
     plain = [(d, p, k, 9, *(firsts[k] if d != firsts[k][0] else (None, None))) for k, d, p in others]
     assert sorted(map(str, map(tuple, found))) == sorted(map(str, plain))
+
+
+def test_stretches_are_compared_in_groups_as_one_by_one(monkeypatch):
+    """Passages and the next round's rows as from row after row, with a few calls for all windows of a group."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(400)}"
+    shared = [[word() for _ in range(rng.randint(4, 90))] for _ in range(12)]
+    rows = []
+    for i in range(300):
+        mine, theirs = ([word() for _ in range(rng.randint(0, 40))] + rng.choice(shared) + [word() for _ in range(rng.randint(0, 30))] for _ in range(2))
+        places = [{"key": rng.randrange(5), "at": 64 + rng.randrange(len(mine)), "words": rng.randint(1, 64)} for _ in range(rng.randint(1, 5))]
+        places = [p | {"words": min(p["words"], 64 + len(mine) - p["at"])} for p in places]
+        rows.append({"a": 1000 + i, "a_part": i % 3, "a_lo": 64, "b": None if i % 7 == 0 else i, "b_lo": None if i % 7 == 0 else 32, "places": places, "mine": " ".join(mine).encode(), "theirs": None if i % 7 == 0 else " ".join(theirs).encode()})
+    place = pa.struct([("key", pa.int64()), ("at", pa.int32()), ("words", pa.int32())])
+    types = {"a": pa.int64(), "a_part": pa.int64(), "a_lo": pa.int32(), "b": pa.int64(), "b_lo": pa.int32(), "places": pa.list_(place), "mine": pa.binary(), "theirs": pa.binary()}
+    batch = pa.RecordBatch.from_pylist(rows, schema=pa.schema(types.items()))
+
+    class Frame:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    calls = []
+    windows = passage_dedup.windows
+    for level, onward in ((passage_dedup.PARAGRAPH, passage_dedup.CONTEXT), (passage_dedup.CONTEXT, passage_dedup.CONTEXT), (passage_dedup.CONTEXT, passage_dedup.VERBATIM), (passage_dedup.VERBATIM, None)):
+        monkeypatch.setattr(passage_dedup, "windows", lambda *x: calls.append(1) or windows(*x))
+        found = [r for out in passage_dedup._compared(Frame(), level, onward, 50, 80)(iter([batch.slice(0, 130), batch.slice(130)])) for r in out.to_pylist()]
+        assert len(calls) < 60
+        calls.clear()
+        monkeypatch.setattr(passage_dedup, "windows", windows)
+        names, passages, onwards = {}, [], []
+        for r in rows:
+            words = shingles.WORDS.hashes(r["mine"])
+            spans = [] if r["theirs"] is None else passage_dedup.aligned(words, passage_dedup.Indexed(shingles.WORDS.hashes(r["theirs"])))
+            passages += [(r["a"], r["a_part"], r["b"], 64 + i, 32 + j, m, n) for i, j, m, n in spans]
+            rest = [(p["key"], p["at"] - 64, p["words"]) for p in r["places"] if not any(64 + i <= p["at"] and p["at"] + p["words"] <= 64 + i + m for i, _, m, _ in spans)]
+            if onward == passage_dedup.VERBATIM:
+                starts = {s for _, at, n in rest for s in range(len(words) - 49) if (s <= at and at + n <= s + 50) or (at <= s and s + 50 <= at + n)}
+                onwards += [(r["a"], s, 50, tuple(words[s : s + 50].tolist())) for s in starts]
+            elif onward == level:
+                onwards += [(r["a"], at, n, key) for key, at, n in rest]
+            elif onward is not None:
+                sides = [(key, at, n, side, words[b : b + 10].tolist()) for key, at, n in rest for side, b in ((1, at - 10), (2, at + n)) if b >= 0]
+                onwards += [(r["a"], at, n, (key, side, *context)) for key, at, n, side, context in sides if len(context) == 10]
+        assert sorted(passages) == sorted(tuple(r[c] for c in ("a", "part", "b", "a_start", "b_start", "words", "b_words")) for r in found if r["key"] is None)
+        got = [(r["a"], r["place"] % passage_dedup.PLACE - 64, r["words"], r["key"], r["place"] // passage_dedup.PLACE) for r in found if r["key"] is not None]
+        assert sorted(x[:3] for x in onwards) == sorted(x[:3] for x in got) and all(x[4] == (x[0] - 1000) % 3 for x in got)
+        # the same key for the same bucket, and for no other
+        named = {}
+        for x in got:
+            named.setdefault(x[:3], set()).add(x[3])
+        for x in onwards:
+            names.setdefault(x[:3], set()).add(x[3])
+        keys = {tuple(sorted(map(str, v))): tuple(sorted(named[k])) for k, v in names.items()}
+        assert len(keys) == len(set(keys.values())) and all(keys[tuple(sorted(map(str, v)))] == tuple(sorted(named[k])) for k, v in names.items())
+    assert passages and len(onwards) == 0

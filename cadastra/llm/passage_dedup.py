@@ -276,11 +276,12 @@ class _Leaders:
     """Leads the buckets of one range of rows, sorted by key, document and place, batch by batch.
 
     The bucket that the range begins with may have begun before, so that its rows are left open; so is the leader of the last one,
-    which may go on. A leader's other rows wait until another document shows up in their bucket.
+    which may go on. A leader's other rows wait until another document shows up in their bucket. A row that comes twice counts once.
     """
 
     def __init__(self) -> None:
         self.first: int | None = None
+        self.last: tuple[int, int, int] | None = None
         self.key, self.lead, self.place, self.words, self.others = None, 0, 0, 0, False
         self.waiting: list[tuple[int, int]] = []
 
@@ -300,6 +301,14 @@ class _Leaders:
         key, doc, place, words = (batch.column(c).to_numpy() for c in ("key", "doc_id", "place", "words"))
         if not len(key):
             return
+        fresh = np.ones(len(key), dtype=bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
+        fresh[0] = self.last != (int(key[0]), int(doc[0]), int(place[0]))
+        self.last = int(key[-1]), int(doc[-1]), int(place[-1])
+        if not fresh.all():
+            key, doc, place, words = key[fresh], doc[fresh], place[fresh], words[fresh]
+            if not len(key):
+                return
         if self.first is None:
             self.first = int(key[0])
         skip = int(np.searchsorted(key, self.first, side="right")) if key[0] == self.first else 0
@@ -366,71 +375,82 @@ def _led(rows: DataFrame, workspace: Workspace, name: str) -> DataFrame:
     return whole.select("a", "place", "key", "words", led_by("a", "b").alias("b"), led_by("place", "b_place").alias("b_place"))
 
 
-JOBS = "a long, a_part long, a_lo int, a_hi int, b long, b_part long, b_lo int, b_hi int, places array<struct<key:long,at:int,words:int>>"
+#: Bytes of stretches that are handed on together.
+STRETCH_BYTES = 4 << 20
+JOBS = "a long, a_part long, a_lo int, b long, b_part long, b_lo int, b_hi int, places array<struct<key:long,at:int,words:int>>, mine binary"
 
 
-def _jobs(led: DataFrame, margin: int) -> DataFrame:
-    """Pairs of stretches of two documents that are to be compared, with the colliding paragraphs inside."""
+def _jobs(texts: DataFrame, led: DataFrame, margin: int) -> DataFrame:
+    """Pairs of stretches of two documents that are to be compared, with the colliding paragraphs inside and the words of the first.
+
+    ``texts`` lies by document already, so that only the led rows move, once.
+    """
     at = lambda c: F.pmod(F.col(c), F.lit(PLACE)).cast("int")
-    rows = led.select("a", F.shiftright("place", 31).alias("a_part"), "b", F.shiftright("b_place", 31).alias("b_part"), F.struct("key", at("place").alias("at"), "words", at("b_place").alias("b_at")).alias("x"))
-    pairs = rows.groupBy("a", "a_part", "b", "b_part").agg(F.collect_set("x").alias("places"))
+    row = F.struct(F.shiftright("place", 31).alias("part"), at("place").alias("at"), "words", "key", "b", F.shiftright("b_place", 31).alias("b_part"), at("b_place").alias("b_at"))
+    asked = led.groupBy(F.col("a").alias("doc_id")).agg(F.collect_list(row).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = batch.column("places")
-            key, at, words, b_at = (c.fill_null(0).to_numpy() for c in lists.flatten().flatten())
+            lists = batch.column("asked")
+            inner = lists.flatten()
+            fields = {inner.type.field(i).name: f for i, f in enumerate(inner.flatten())}
             owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
-            order = np.lexsort((key, b_at, at, owner))
-            key, at, words, b_at, owner = key[order], at[order], words[order], b_at[order], owner[order]
-            alone = batch.column("b").is_null().to_numpy(zero_copy_only=False)
+            # rows of one id may be several texts
+            mine = np.flatnonzero(fields["part"].to_numpy() == batch.column("part").to_numpy()[owner])
+            if not len(mine):
+                continue
+            columns = [fields[c].fill_null(0).to_numpy()[mine] for c in ("key", "b_at", "at", "b_part", "b", "words")]
+            alone, owner = fields["b"].is_null().to_numpy(zero_copy_only=False)[mine], owner[mine]
+            order = np.lexsort((*columns[:5], alone, owner))
+            key, b_at, at, b_part, b, words, alone, owner = (c[order] for c in (*columns, alone, owner))
             fresh = np.ones(len(at), dtype=bool)
-            fresh[1:] = (np.diff(owner) != 0) | (at[1:] - at[:-1] - words[:-1] > 2 * margin) | ((np.abs(np.diff(b_at) - np.diff(at)) > margin) & ~alone[owner[1:]])
+            fresh[1:] = (np.diff(owner) != 0) | (alone[1:] != alone[:-1]) | (b[1:] != b[:-1]) | (b_part[1:] != b_part[:-1])
+            fresh[1:] |= (at[1:] - at[:-1] - words[:-1] > 2 * margin) | ((np.abs(np.diff(b_at) - np.diff(at)) > margin) & ~alone[1:])
             begins = np.flatnonzero(fresh)
-            of = owner[begins]
-            columns = {n: batch.column(n).take(pa.array(of)) for n in ("a", "a_part", "b", "b_part")}
-            for side, place in (("a", at), ("b", b_at)):
-                low = np.maximum(np.minimum.reduceat(place, begins) - margin, 0) // GRID * GRID
-                high = -(-(np.maximum.reduceat(place + words, begins) + margin) // GRID) * GRID
-                none = alone[of] if side == "b" else np.zeros(len(of), dtype=bool)
-                columns |= {f"{side}_lo": pa.array(low.astype(np.int32), mask=none), f"{side}_hi": pa.array(high.astype(np.int32), mask=none)}
-            inner = pa.StructArray.from_arrays([pa.array(key), pa.array(at), pa.array(words)], names=["key", "at", "words"])
-            columns["places"] = pa.ListArray.from_arrays(pa.array(np.append(begins, len(at)).astype(np.int32)), inner)
-            names = ["a", "a_part", "a_lo", "a_hi", "b", "b_part", "b_lo", "b_hi", "places"]
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
-
-    return pairs.mapInArrow(run, JOBS)
-
-
-#: Bytes of stretches that are handed on together.
-STRETCH_BYTES = 4 << 20
+            ends, of, none = np.append(begins[1:], len(at)), owner[begins], alone[begins]
+            low, b_low = (np.maximum(np.minimum.reduceat(place, begins) - margin, 0) // GRID * GRID for place in (at, b_at))
+            high, b_high = (-(-(np.maximum.reduceat(place + words, begins) + margin) // GRID) * GRID for place in (at, b_at))
+
+            def handed(i: int, j: int, data: list[bytes], batch: pa.RecordBatch = batch, begins: np.ndarray = begins, ends: np.ndarray = ends, places: tuple = (key, at, words), theirs: tuple = (b[begins], b_part[begins], b_low, b_high), of: np.ndarray = of, low: np.ndarray = low, none: np.ndarray = none) -> pa.RecordBatch:
+                rows, inner = pa.array(of[i:j]), slice(begins[i], ends[j - 1])
+                lists = pa.ListArray.from_arrays(pa.array((np.append(begins[i:j], ends[j - 1]) - begins[i]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(c[inner]) for c in places], names=["key", "at", "words"]))
+                other = [pa.array(c[i:j].astype(kind), mask=none[i:j]) for c, kind in zip(theirs, (np.int64, np.int64, np.int32, np.int32), strict=True)]
+                columns = [batch.column("doc_id").take(rows), batch.column("part").take(rows), pa.array(low[i:j].astype(np.int32)), *other, lists, pa.array(data, pa.binary())]
+                return pa.RecordBatch.from_arrays(columns, names=["a", "a_part", "a_lo", "b", "b_part", "b_lo", "b_hi", "places", "mine"])
+
+            last, split, data, begin, size = -1, [], [], 0, 0
+            for i, (text, lo, hi) in enumerate(zip(of.tolist(), low.tolist(), high.tolist(), strict=True)):
+                if text != last:
+                    last, split = text, batch.column("text")[text].as_py().lower().split()
+                data.append(b" ".join(split[lo:hi]))
+                size += len(data[-1])
+                if size > STRETCH_BYTES:
+                    yield handed(begin, i + 1, data)
+                    data, begin, size = [], i + 1, 0
+            if data:
+                yield handed(begin, len(of), data)
 
+    return texts.join(asked, "doc_id").select("doc_id", "part", "text", "asked").mapInArrow(run, JOBS)
 
-def _cut(texts: DataFrame, asked: DataFrame, schema: str, carried: list[str]) -> DataFrame:
-    """Stretches of documents: for each of the list ``asked`` (part, lo, hi, and the ``carried`` columns) the document, these, and the words from lo to hi (or the text's end).
 
-    ``texts`` lies by document already, so that only ``asked`` moves.
-    """
-    names = ["doc_id", "part", "lo", "hi", *carried, "data"]
+def _with_theirs(texts: DataFrame, jobs: DataFrame) -> DataFrame:
+    """``jobs`` with the words of the leader's stretch (null where there is no leader to compare with), which move once."""
+    asked = jobs.where("b IS NOT NULL").groupBy(F.col("b").alias("doc_id")).agg(F.collect_set(F.struct(F.col("b_part").alias("part"), F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"))).alias("asked"))
+    names = ["b", "b_part", "b_lo", "b_hi", "theirs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("asked")
-            inner = lists.flatten()
-            fields = {inner.type.field(i).name: f for i, f in enumerate(inner.flatten())}
+            part, low, high = lists.flatten().flatten()
             owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
-            # by text; the carried columns stay as they are
-            at = np.flatnonzero(fields["part"].to_numpy() == batch.column("part").to_numpy()[owner])
+            at = np.flatnonzero(part.to_numpy() == batch.column("part").to_numpy()[owner])
             owner, text = owner[at], batch.column("text")
             last, words, data, begin, size = -1, [], [], 0, 0
 
-            def cut(rows: np.ndarray, of: np.ndarray, data: list[bytes], batch: pa.RecordBatch = batch, fields: dict[str, pa.Array] = fields) -> pa.RecordBatch:
-                columns = [batch.column("doc_id").take(pa.array(of)), *(fields[c].take(pa.array(rows)) for c in names[1:-1]), pa.array(data, pa.binary())]
-                return pa.RecordBatch.from_arrays(columns, names=names)
+            def cut(rows: np.ndarray, of: np.ndarray, data: list[bytes], doc: pa.Array = batch.column("doc_id"), asked: tuple = (part, low, high)) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([doc.take(pa.array(of)), *(c.take(pa.array(rows)) for c in asked), pa.array(data, pa.binary())], names=names)
 
-            low, high = (fields[c].to_numpy()[at].tolist() for c in ("lo", "hi"))
-            for i, (of, lo, hi) in enumerate(zip(owner.tolist(), low, high, strict=True)):
+            for i, (of, lo, hi) in enumerate(zip(owner.tolist(), low.to_numpy()[at].tolist(), high.to_numpy()[at].tolist(), strict=True)):
                 if of != last:
                     last, words = of, text[of].as_py().lower().split()
                 data.append(b" ".join(words[lo:hi]))
@@ -440,19 +460,8 @@ def _cut(texts: DataFrame, asked: DataFrame, schema: str, carried: list[str]) ->
                     data, begin, size = [], i + 1, 0
             yield cut(at[begin:], owner[begin:], data)
 
-    return texts.join(asked, "doc_id").select("doc_id", "part", "text", "asked").mapInArrow(run, schema)
-
-
-def _stretches(texts: DataFrame, jobs: DataFrame) -> DataFrame:
-    """``jobs`` with what they compare: mine and theirs (null where there is no leader to compare with). The words of either side move once."""
-    places = "places array<struct<key:long,at:int,words:int>>"
-    mine = jobs.groupBy(F.col("a").alias("doc_id")).agg(F.collect_list(F.struct(F.col("a_part").alias("part"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi"), "b", "b_part", "b_lo", "b_hi", "places")).alias("asked"))
-    mine = _cut(texts, mine, f"doc_id long, part long, lo int, hi int, b long, b_part long, b_lo int, b_hi int, {places}, data binary", ["b", "b_part", "b_lo", "b_hi", "places"])
-    theirs = jobs.where("b IS NOT NULL").groupBy(F.col("b").alias("doc_id")).agg(F.collect_set(F.struct(F.col("b_part").alias("part"), F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"))).alias("asked"))
-    theirs = _cut(texts, theirs, "doc_id long, part long, lo int, hi int, data binary", [])
-    theirs = theirs.select(F.col("doc_id").alias("b"), F.col("part").alias("b_part"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"), F.col("data").alias("theirs"))
-    mine = mine.select(F.col("doc_id").alias("a"), F.col("part").alias("a_part"), F.col("lo").alias("a_lo"), "b", "b_part", "b_lo", "b_hi", "places", F.col("data").alias("mine"))
-    return mine.join(theirs, ["b", "b_part", "b_lo", "b_hi"], "left")
+    theirs = texts.join(asked, "doc_id").select("doc_id", "part", "text", "asked").mapInArrow(run, "b long, b_part long, b_lo int, b_hi int, theirs binary")
+    return jobs.join(theirs, names[:4], "left")
 
 
 class Laid:
@@ -579,14 +588,14 @@ def find_matches(docs: DataFrame, workspace: Workspace, min_words: int = MIN_WOR
     out: DataFrame | None = None
     for number, level in enumerate(LEVELS):
         onward = LEVELS[number + 1] if number + 1 < len(LEVELS) else None
-        jobs = workspace.save(_jobs(_led(rows, workspace, f"led{number}"), max(MARGIN, min_words + GRID)), f"jobs{number}")
+        jobs = workspace.save(_jobs(texts, _led(rows, workspace, f"led{number}"), max(MARGIN, min_words + GRID)), f"jobs{number}")
         if number == 0:
             workspace.drop("rows0")
-        found = workspace.save(_compared(_stretches(texts, jobs), level, onward, min_words, percent), f"found{number}")
+        found = workspace.save(_compared(_with_theirs(texts, jobs), level, onward, min_words, percent), f"found{number}")
         workspace.drop(f"jobs{number}", f"led{number}")
         matches = found.where("key IS NULL").select("a", "b", "a_start", "b_start", "words", "b_words")
         out = matches if out is None else out.unionByName(matches)
-        rows = found.where("key IS NOT NULL").select("key", F.col("a").alias("doc_id"), "place", F.col("words").cast("int").alias("words")).distinct()
+        rows = found.where("key IS NOT NULL").select("key", F.col("a").alias("doc_id"), "place", F.col("words").cast("int").alias("words"))
         if onward is None or rows.isEmpty():
             break
     return out
@@ -594,18 +603,18 @@ def find_matches(docs: DataFrame, workspace: Workspace, min_words: int = MIN_WOR
 
 def clustered(matches: DataFrame, workspace: Workspace) -> DataFrame:
     """doc_id, start, words, kept, component_id (smallest document of the component) of every passage, overlaps merged."""
-    links = matches.select("a", "b", "a_start", "b_start", "words", "b_words").distinct()
-    sides = links.select(F.col("a").alias("doc_id"), F.col("a_start").alias("s"), (F.col("a_start") + F.col("words")).alias("e"), F.lit(False).alias("kept"))
-    sides = sides.union(links.select("b", "b_start", F.col("b_start") + F.col("b_words"), F.lit(True))).groupBy("doc_id", "s", "e").agg(F.min("kept").alias("kept"))
+    ends = matches.withColumns({"a_end": F.col("a_start") + F.col("words"), "b_end": F.col("b_start") + F.col("b_words")})
+    side = lambda own, other, kept: F.struct(F.col(own).alias("doc_id"), F.struct(F.col(f"{own}_start").alias("s"), F.col(f"{own}_end").alias("e"), F.lit(kept).alias("kept"), *(other(c) for c in ("b", "b_start", "b_end"))).alias("x"))
+    sides = ends.select(F.inline(F.array(side("a", F.col, False), side("b", lambda c: F.lit(None).cast("long").alias(c), True))))
+    # equal sides are one before they are moved: what many documents have in common with b is one row of b
+    sides = sides.groupBy("doc_id").agg(F.collect_set("x").alias("xs")).select("doc_id", F.inline("xs"))
     order = Window.partitionBy("doc_id").orderBy("s", "e")
     reached = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = sides.withColumn("fresh", F.coalesce((F.col("s") >= reached).cast("int"), F.lit(1)))
     marked = marked.withColumn("no", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     marked = workspace.save(marked.withColumn("node", F.xxhash64("doc_id", "no")), "sides")
-    a = marked.select(F.col("doc_id").alias("a"), F.col("s").alias("a_start"), F.col("e").alias("a_end"), F.col("node").alias("src"))
-    b = marked.select(F.col("doc_id").alias("b"), F.col("s").alias("b_start"), F.col("e").alias("b_end"), F.col("node").alias("dst"))
-    ends = links.withColumns({"a_end": F.col("a_start") + F.col("words"), "b_end": F.col("b_start") + F.col("b_words")})
-    edges = ends.join(a, ["a", "a_start", "a_end"]).join(b, ["b", "b_start", "b_end"]).select("src", "dst")
+    dst = marked.where("kept").select(F.col("doc_id").alias("b"), F.col("s").alias("b_start"), F.col("e").alias("b_end"), F.col("node").alias("dst"))
+    edges = marked.where("NOT kept").select(F.col("node").alias("src"), "b", "b_start", "b_end").join(dst, ["b", "b_start", "b_end"]).select("src", "dst")
     components = connected_components(edges, workspace, "passages")
     merged = marked.groupBy("node", "doc_id").agg(F.min("s").alias("start"), (F.max("e") - F.min("s")).alias("words"), F.min("kept").alias("kept"))
     placed = workspace.save(merged.join(components, "node"), "placed")

@@ -456,6 +456,43 @@ def test_leaders_of_buckets_that_many_ranges_share(spark):
     assert sorted(map(str, map(tuple, found))) == sorted(map(str, plain))
 
 
+def test_a_level_moves_its_rows_twice_and_runs_python_four_times(spark):
+    """On many partitions a level costs its stages: buckets are led, jobs cut their own words, leaders' words are cut, both are compared."""
+    rng = random.Random(47)
+    line = sentence(rng, 14)
+    texts = [f"{sentence(rng, 60)} {line} {sentence(rng, 60)}" for _ in range(6)]
+    plans = {}
+
+    class Noted(Workspace):
+        def save(self, df, name):
+            plans[name] = df._jdf.queryExecution().executedPlan().toString()
+            return super().save(df, name)
+
+    passage_dedup.find_matches(documents(spark, texts), Noted(spark, "t")).collect()
+    count = lambda what, *names: sum(len(re.findall(rf"\b{what}\b", plans[n].split("Subquery")[0])) for n in names)
+    for level in ("0", "1"):
+        assert count("Exchange", f"led{level}") == 1
+        assert count("MapInArrow", f"led{level}", f"jobs{level}", f"found{level}") == 4
+
+
+def test_rows_that_come_twice_are_led_once():
+    rows = [(1, 0, 5, 8), (1, 0, 5, 8), (1, 3, 9, 8), (1, 3, 9, 8), (1, 4, 2, 8), (2, 7, 1, 8), (2, 7, 1, 8)]
+    for size in (1, 2, 3, 7):
+        leaders, outs = passage_dedup._Leaders(), []
+        for at in range(0, len(rows), size):
+            key, doc, place, words = (pa.array(c) for c in zip(*[(0, 1, 1, 8)] * (at == 0) + rows[at : at + size], strict=True))
+            outs += leaders.add(pa.RecordBatch.from_arrays([doc, key, place, words.cast(pa.int32())], names=["doc_id", "key", "place", "words"]))
+        got = [(r["a"], r["place"], r["key"], r["b"], r["b_place"]) for out in outs for r in out.to_pylist() if not r["open"]]
+        assert sorted(got) == [(3, 9, 1, 0, 5), (4, 2, 1, 0, 5)]
+
+
+def test_components_of_passages_that_overlap_and_of_documents_on_both_sides(spark):
+    rows = [(2, 1, 10, 0, 60, 60), (2, 1, 10, 0, 60, 60), (3, 1, 0, 0, 60, 60), (3, 2, 40, 50, 70, 70), (9, 8, 5, 5, 50, 51), (9, 8, 200, 300, 55, 55)]
+    matches = spark.createDataFrame(rows, "a long, b long, a_start long, b_start long, words long, b_words long")
+    got = {(r.doc_id, r.start, r.words, r.kept, r.component_id) for r in passage_dedup.clustered(matches, Workspace(spark, "t")).collect()}
+    assert got == {(1, 0, 60, True, 1), (2, 10, 110, False, 1), (3, 0, 110, False, 1), (8, 5, 51, True, 8), (9, 5, 50, False, 8), (8, 300, 55, True, 8), (9, 200, 55, False, 8)}
+
+
 def test_stretches_are_compared_in_groups_as_one_by_one(monkeypatch):
     """Passages and the next round's rows as from row after row, with a few calls for all windows of a group."""
     rng = random.Random(12)

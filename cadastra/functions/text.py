@@ -71,9 +71,9 @@ def price_inr(x: str, d: object = SPARK) -> str:
     return f"{number_in(x, d)} * CASE WHEN {unit} LIKE 'cr%' THEN {RUPEES['cr']} WHEN {unit} LIKE 'l%' THEN {RUPEES['l']} WHEN {unit} LIKE 'k%' THEN {RUPEES['k']} ELSE 1 END"
 
 
-def price_text(x: str) -> str:
+def price_text(x: str, d: object = SPARK) -> str:
     """Crore from 10^7, lakh from 10^5, else rupees; whole hundredths."""
-    part = lambda by: f"CAST(CAST(round({x} / {by}, 2) AS DECIMAL(18, 2)) AS VARCHAR(30))"
+    part = lambda by: f"CAST(CAST({d.hundredths(f'{x} / {by}')} AS DECIMAL(18, 2)) AS VARCHAR(30))"
     return f"CASE WHEN {x} >= 10000000 THEN {part('10000000')} || ' Cr' WHEN {x} >= 100000 THEN {part('100000')} || ' L' ELSE {part('1')} END"
 
 

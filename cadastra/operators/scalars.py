@@ -37,7 +37,7 @@ OPERATORS = [
     Operator("str19_media_classes", ("STR19", "STR39"), lambda d: f"SELECT {t.keyword_class('p_name', MEDIA, 'other')} AS media, count(*) AS n FROM {{part}} GROUP BY {t.keyword_class('p_name', MEDIA, 'other')}"),
     Operator("str20_mime_types", ("STR20", "STR23"), lambda d: f"SELECT page_id, CASE lower(coalesce({d.extract('url', '[.]([A-Za-z0-9]+)$', 1)}, '')) WHEN 'pdf' THEN 'application/pdf' WHEN 'jpg' THEN 'image/jpeg' WHEN 'html' THEN 'text/html' ELSE 'application/octet-stream' END AS mime FROM {{pages}}"),
     Operator("str21_value_types", ("STR21",), lambda d: f"SELECT kind, count(*) AS n FROM (SELECT {t.value_type('x', d)} AS kind FROM {days(d)} UNION ALL SELECT {t.value_type('x', d)} FROM {PRICES}) u GROUP BY kind"),
-    Operator("str22_price_text", ("STR22",), lambda d: f"SELECT o_orderkey, {t.price_text('CAST(o_totalprice AS DOUBLE) * CASE o_orderkey % 3 WHEN 0 THEN 100 WHEN 1 THEN 10 ELSE 1 END')} AS price FROM {{orders}}"),
+    Operator("str22_price_text", ("STR22",), lambda d: f"SELECT o_orderkey, {t.price_text('CAST(o_totalprice AS DOUBLE) * CASE o_orderkey % 3 WHEN 0 THEN 100 WHEN 1 THEN 10 ELSE 1 END', d)} AS price FROM {{orders}}"),
     Operator("str24_truncate_at_sentence", ("STR24",), lambda d: "SELECT doc_id, CASE WHEN length(text) <= 500 THEN text WHEN 500 - instr(reverse(substring(text, 1, 500)), '.') + 1 > 350 AND instr(reverse(substring(text, 1, 500)), '.') > 0 THEN substring(text, 1, 500 - instr(reverse(substring(text, 1, 500)), '.') + 1) ELSE substring(text, 1, 500) END AS cut FROM {documents}"),
     Operator("str25_ocr_clean", ("STR25", "STR26", "STR28", "STR32"), lambda d: f"SELECT doc_id, length(text) AS before, length({d.replace_all(d.replace_all(d.replace_all('text', '[|~^_]', ' '), '[.][.]+', '.'), '  +', ' ')}) AS after FROM {{documents}}"),
     Operator("str29_entities", ("STR29", "STR33"), lambda d: f"SELECT doc_id, {d.distinct_sorted(d.find_all('text', '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]+'))} AS emails, {d.distinct_sorted(d.find_all('text', '[+]?[0-9][0-9 -]+[0-9]'))} AS numbers FROM {{documents}}"),

@@ -45,6 +45,11 @@ class SparkDialect:
     def even(x: str, digits: int) -> str:
         return f"CAST(bround(CAST({x} AS DECIMAL(30, 10)), {digits}) AS DOUBLE)"
 
+    @staticmethod
+    def hundredths(x: str) -> str:
+        # round(x, 2) rounds a double's shortest decimal, the checking engine what a hundred times the double is
+        return f"(round({x} * 100e0) / 100e0)"
+
     @staticmethod
     def quantile(x: str, q: float) -> str:
         return f"percentile({x}, {q})"
@@ -125,6 +130,10 @@ class DuckDialect:
     def even(x: str, digits: int) -> str:
         return f"CAST(round_even(CAST({x} AS DECIMAL(30, 10)), {digits}) AS DOUBLE)"
 
+    @staticmethod
+    def hundredths(x: str) -> str:
+        return f"round({x}, 2)"
+
     @staticmethod
     def quantile(x: str, q: float) -> str:
         return f"quantile_cont(CAST({x} AS DOUBLE), {q})"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 from compare import database, same
 
@@ -28,3 +29,13 @@ def test_apply_takes_any_frames(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "project_id long, slug string")
     rows = rows.replace({"a": "Brand#1", "b": "Brand#2"})
     assert [r.project_id for r in BY_NAME["agg03_has_all_tags"].apply(spark, project_tags=rows).collect()] == [1]
+
+
+def test_price_text_at_halves(spark, tmp_path):
+    # 189350 * 100 / 10^5 hundredths is 18.935 in decimals and a little less as a double
+    prices = [189350.0, 75335.0, 75365.0, 190250.0, 1005.0, 0.125, 99999.995, 100500.0]
+    rows = spark.createDataFrame([(3 * i + r, p) for i, p in enumerate(prices) for r in range(3)], "o_orderkey long, o_totalprice double")
+    rows.write.parquet(str(tmp_path / "orders.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert same(QUERIES["str22_price_text"](spark, str(tmp_path)), duck, ORACLE_SQL["str22_price_text"]) == len(prices) * 3

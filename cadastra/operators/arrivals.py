@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.runtime import Workspace
+from cadastra.runtime import Workspace, local_path
 from cadastra.sources import readers
 
 
@@ -13,9 +19,37 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _files(rows: DataFrame, text: Column, path: str) -> str:
-    """A file for each row."""
-    rows.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+def _files(rows: DataFrame, text: Column, path: str, folder: Column | None = None) -> str:
+    """A file for each row, in ``folder`` under ``path`` if that is given: the text and a line feed, as Spark's text writer has it."""
+    spark = rows.sparkSession
+    values = rows.select(F.concat(F.lit("/"), folder).alias("folder") if folder is not None else F.lit("").alias("folder"), text.alias("value"))
+    # tables of one row group would be written by one task
+    values = values.repartition(2 * spark.sparkContext.defaultParallelism)
+    here = local_path(spark, path)
+    if here is None:
+        folders = [r.folder for r in values.select("folder").distinct().collect()]
+        for one in folders:
+            values.where(F.col("folder") == one).select("value").write.option("maxRecordsPerFile", 1).text(f"{path}{one}")
+        return path
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # named by partition and row: a task that runs again writes the same files, each whole at once
+        part, number, made = TaskContext.get().partitionId(), 0, set()
+        for batch in batches:
+            for one, value in zip(batch.column("folder").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                place = f"{here}{one}/{part:05d}"
+                if place not in made:
+                    os.makedirs(place, exist_ok=True)
+                    made.add(place)
+                draft = f"{place}/.{number}-{uuid.uuid4().hex}"
+                with open(draft, "wb") as out:
+                    out.write((value or "").encode() + b"\n")
+                os.replace(draft, f"{place}/part-{number:08d}")
+                number += 1
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64())], names=["n"])
+
+    values.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    os.makedirs(here, exist_ok=True)
     return path
 
 
@@ -27,10 +61,7 @@ def _documents(spark: SparkSession, sf_dir: str, label: str) -> str:
     promoters = F.transform(F.sequence(F.lit(1), (key % 3).cast("int") + 1), lambda i: F.struct(F.concat(F.lit("P"), i.cast("string")).alias("name")))
     whole = F.to_json(F.struct(F.struct(F.lit("cg").alias("state_code")).alias("metadata"), details.alias("project_details"), promoters.alias("promoter_details")))
     text = F.concat(F.when(key % 9 == 0, "﻿").otherwise(""), F.when(key % 13 == 0, F.lit("{broken")).otherwise(whole))
-    suppliers = _table(spark, sf_dir, "supplier")
-    for run in range(4):
-        _files(suppliers.where(key % 4 == run), text, f"{root}/run_{run}/scraped_json")
-    return root
+    return _files(_table(spark, sf_dir, "supplier"), text, root, F.concat(F.lit("run_"), (key % 4).cast("string"), F.lit("/scraped_json")))
 
 
 def src01_run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+def local_path(spark: SparkSession, name: str) -> str | None:
+    """``name`` as a path of the machines' own (shared) file system; None if it lies in another store.
+
+    Without Hadoop's native library its local file system starts two processes for each file that it makes, some 10 ms.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    scheme = path.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+    return path.toUri().getPath() if scheme == "file" else None
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the executors once per application, so that functions pickled by name load there.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cadastra.functions import text as t
 from cadastra.functions.geo import haversine
 from cadastra.functions.html import listing_rows, map_coordinates, parse_page
+from cadastra.operators import arrivals
 from cadastra.operators.models import Forest, impute, outliers
 from cadastra.sources import readers
 
@@ -176,3 +177,21 @@ def test_imputation_counts_a_frequent_value(spark):
     rows = spark.range(90_000).select("id", F.when(F.col("id") % 3 == 0, 1.0).otherwise(F.col("id") / 1e5).alias("x"), F.when(F.col("id") % 3 == 0, 1000.0).otherwise(0.0).alias("y"))
     rows = rows.union(spark.createDataFrame([(-1, None, None)], "id long, x double, y double"))
     assert [r.y for r in impute(rows, ["y"], ["x"]).where("id = -1").collect()] == [333.0]
+
+
+def test_rows_become_files_by_many_tasks(spark, tmp_path):
+    # a table of one row group; Hadoop's writer made them in one task, with two processes for each
+    rows = spark.range(1000).coalesce(1)
+    path = arrivals._files(rows, F.col("id").cast("string"), str(tmp_path / "files"), F.concat(F.lit("run_"), (F.col("id") % 2).cast("string")))
+    found = [p for p in (tmp_path / "files").rglob("*") if p.is_file()]
+    assert sorted(int(p.read_text()) for p in found) == list(range(1000)) and all(p.read_bytes().endswith(b"\n") for p in found)
+    assert all(p.name.startswith("part-") for p in found) and {p.parts[-3] for p in found} == {"run_0", "run_1"}
+    assert len({p.parent for p in found}) >= 16
+    assert spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).agg(F.sum("length")).first()[0] == 3890
+
+
+def test_files_of_no_rows_and_of_no_text(spark, tmp_path):
+    path = arrivals._files(spark.createDataFrame([(1, None), (2, "é")], "id int, x string"), F.col("x"), str(tmp_path / "some"))
+    assert sorted(bytes(r.content) for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).collect()) == [b"\n", "é\n".encode()]
+    path = arrivals._files(spark.range(0), F.col("id").cast("string"), str(tmp_path / "none"))
+    assert readers.read_pdf_texts(spark, path).count() == 0

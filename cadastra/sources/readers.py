@@ -27,15 +27,23 @@ V1 = """
     land_details array<struct<khasra: string, area_sq_m: double>>,
     raw_data struct<sections: map<string, map<string, string>>, unmapped_sections: map<string, map<string, string>>>,
     validation_messages array<string>"""
+#: Tasks that read files, at least; small files come 32 to a task otherwise, and starting a task costs more than reading them.
+READ_TASKS = 512
 CHILDREN = ("promoter_details", "building_details", "unit_types", "documents", "quarterly_updates", "bank_details", "land_details")
 
 
+def _files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """path, length, content of the files under ``path``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return files.coalesce(max(READ_TASKS, 8 * spark.sparkContext.defaultParallelism))
+
+
 def read_documents(spark: SparkSession, runs: str, pattern: str = "*.v1.json") -> DataFrame:
     """``runs``: a folder or glob of run folders, files by ``pattern``. One row per JSON document; run_id is its folder; a byte order mark is dropped.
 
     A document that isn't JSON has nulls and its text in ``broken``: one bad file doesn't stop a run.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(runs)
+    files = _files(spark, runs, pattern)
     text = F.regexp_replace(F.decode(F.col("content"), "UTF-8"), "^\\uFEFF", "")
     rows = files.select(F.regexp_extract("path", r"/(run_[^/]*)/", 1).alias("run_id"), F.col("path"), text.alias("raw"))
     parsed = rows.withColumn("doc", F.from_json("raw", f"{V1}, broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}))
@@ -82,7 +90,7 @@ def read_mhtml(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([html_of_mhtml(b or b"") for b in batch.column("content").to_pylist()], pa.string())], names=["path", "html"])
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").mapInArrow(run, "path string, html string")
+    return _files(spark, path).select("path", "content").mapInArrow(run, "path string, html string")
 
 
 def read_price_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -95,7 +103,7 @@ def read_price_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pdf_texts(spark: SparkSession, path: str, least: int = 50) -> DataFrame:
     """path, is_pdf (by its first bytes), bytes, of every file under ``path``, sorted by name; text comes from elsewhere."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = _files(spark, path)
     return files.select("path", (F.substring("content", 1, 5) == F.lit(b"%PDF-")).alias("is_pdf"), F.col("length").alias("bytes"), (F.col("length") < least).alias("too_short")).orderBy(F.lower("path"))
 
 

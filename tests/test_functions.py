@@ -195,3 +195,15 @@ def test_files_of_no_rows_and_of_no_text(spark, tmp_path):
     assert sorted(bytes(r.content) for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).collect()) == [b"\n", "é\n".encode()]
     path = arrivals._files(spark.range(0), F.col("id").cast("string"), str(tmp_path / "none"))
     assert readers.read_pdf_texts(spark, path).count() == 0
+
+
+def test_small_files_are_read_by_few_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "READ_TASKS", 8, raising=False)
+    run = tmp_path / "run_1"
+    run.mkdir()
+    for i in range(2500):
+        (run / f"{i}.v1.json").write_text(json.dumps(document(str(i))))
+    docs = readers.read_documents(spark, str(tmp_path))
+    # 32 files to a task before: 79 tasks
+    assert docs.rdd.getNumPartitions() <= 64
+    assert docs.select("project_details.project_name").distinct().count() == 2500

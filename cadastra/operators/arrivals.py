@@ -72,7 +72,9 @@ def src01_run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def src02_shredded_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The project table and the table of promoters of all runs."""
-    tables = readers.shred(readers.read_documents(spark, _documents(spark, sf_dir, "shredded"), "part-*"))
+    # the files are read once, whatever reads the tables
+    documents = Workspace(spark, "read").save(readers.read_documents(spark, _documents(spark, sf_dir, "shredded"), "part-*"), "documents")
+    tables = readers.shred(documents)
     promoters = tables["promoter_details"].groupBy("state_code", "reg_no").agg(F.max_by("name", "position").alias("last_promoter"), F.count(F.lit(1)).alias("n"))
     return tables["projects"].join(promoters, ["state_code", "reg_no"]).select("run_id", "state_code", "reg_no", "project_name", "launch_date", "expected_completion_date", "last_promoter", "n")
 

@@ -207,3 +207,8 @@ def test_small_files_are_read_by_few_tasks(spark, tmp_path, monkeypatch):
     # 32 files to a task before: 79 tasks
     assert docs.rdd.getNumPartitions() <= 64
     assert docs.select("project_details.project_name").distinct().count() == 2500
+
+
+def test_shredded_projects_read_their_files_once(spark, sf_dir):
+    rows = arrivals.src02_shredded_projects(spark, sf_dir)
+    assert "binaryFile" not in rows._jdf.queryExecution().toString() and all("/shredded-" not in f for f in rows.inputFiles())

@@ -5,7 +5,8 @@ from __future__ import annotations
 import email
 import re
 from collections.abc import Iterator
-from email import policy
+from email import headerregistry, policy
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -68,9 +69,13 @@ def read_html(spark: SparkSession, path: str, pattern: str = "*.html") -> DataFr
     return pages.select(name.alias("name"), F.regexp_extract(name, r"project_[^_]+_(.+)\.html$", 1).alias("reg_no"), F.col("value").alias("html"))
 
 
+#: Parsed headers are kept: the library parses one anew each time it is asked for, most of the time that a page takes.
+MHTML = policy.default.clone(header_factory=lru_cache(maxsize=256)(headerregistry.HeaderRegistry()))
+
+
 def html_of_mhtml(raw: bytes) -> str | None:
     """First text/html part that isn't blank."""
-    for part in email.message_from_bytes(raw, policy=policy.default).walk():
+    for part in email.message_from_bytes(raw, policy=MHTML).walk():
         if part.get_content_type() == "text/html":
             body = part.get_payload(decode=True) or b""
             try:

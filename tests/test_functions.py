@@ -212,3 +212,13 @@ def test_small_files_are_read_by_few_tasks(spark, tmp_path, monkeypatch):
 def test_shredded_projects_read_their_files_once(spark, sf_dir):
     rows = arrivals.src02_shredded_projects(spark, sf_dir)
     assert "binaryFile" not in rows._jdf.queryExecution().toString() and all("/shredded-" not in f for f in rows.inputFiles())
+
+
+def test_mhtml_headers_are_parsed_once():
+    raw = b'Content-Type: multipart/related; boundary="B"\n\n--B\nContent-Type: text/html; charset=utf-8\n\n <p>\n--B--\n'
+    parsed = readers.MHTML.header_factory.cache_info
+    assert readers.html_of_mhtml(raw) == " <p>"
+    once = parsed().misses
+    for _ in range(20):
+        assert readers.html_of_mhtml(raw) == " <p>"
+    assert parsed().misses == once

@@ -33,6 +33,29 @@ def radius_join(left: str, right: str, left_cols: str, right_cols: str, radius_k
         WHERE km <= {radius_km}"""
 
 
+def landmark_links(radius_km: float, parts: int = 16) -> str:
+    """Spark's statement of the nearest distance of every project and landmark within the radius: no pair is shuffled but those of repeated ids.
+
+    Projects of one place are compared together, in ``parts`` lists, and named last. Where project and landmark have one place each, a pair is a row.
+    """
+    pairs = lambda where: radius_join("homes", "places", "l.ids", "r.landmark_id, r.importance", radius_km, where=where)
+    return f"""
+        WITH homes AS (
+          SELECT lat, lon, single, collect_list(named_struct('project_id', project_id)) AS ids FROM (
+            SELECT project_id, lat, lon, count(*) OVER (PARTITION BY project_id) = 1 AS single
+            FROM (SELECT DISTINCT project_id, lat, lon FROM (SELECT /*+ REPARTITION(project_id) */ project_id, lat, lon FROM {{projects}} WHERE lat IS NOT NULL AND lon IS NOT NULL) a) b) c
+          GROUP BY lat, lon, single, pmod(xxhash64(project_id), {parts})),
+        places AS (
+          SELECT landmark_id, lat, lon, importance, count(*) OVER (PARTITION BY landmark_id) = 1 AS single
+          FROM (SELECT DISTINCT landmark_id, lat, lon, importance FROM {{landmarks}} WHERE is_active AND lat IS NOT NULL AND lon IS NOT NULL) d)
+        SELECT project_id, landmark_id, distance_km, is_highlighted
+        FROM (SELECT ids, landmark_id, round(km, 2) AS distance_km, importance >= 90 AS is_highlighted FROM ({pairs('l.single AND r.single')}) t) u LATERAL VIEW inline(ids) v AS project_id
+        UNION ALL
+        SELECT project_id, landmark_id, round(min(km), 2) AS distance_km, max(importance) >= 90 AS is_highlighted
+        FROM ({pairs('NOT l.single')} UNION ALL {pairs('l.single AND NOT r.single')}) t LATERAL VIEW inline(ids) v AS project_id
+        GROUP BY project_id, landmark_id"""
+
+
 OPERATORS = [
     Operator("jn02_projects_with_scores", ("JN02", "SRT03"), lambda d: "SELECT p.project_id, p.project_name, s.overall_score FROM {projects} p JOIN {scores} s ON s.project_id = p.project_id WHERE s.overall_score IS NOT NULL ORDER BY s.overall_score DESC, p.project_name, p.project_id LIMIT 40"),
     Operator("jn04_active_tags", ("JN04",), lambda d: "SELECT pt.project_id, t.slug, t.category FROM {project_tags} pt JOIN {tags} t ON t.slug = pt.slug WHERE t.is_active"),
@@ -50,7 +73,7 @@ OPERATORS = [
         SELECT p.project_id FROM {projects} p
         WHERE p.project_id IN (SELECT project_id FROM {project_tags} WHERE slug IN ('Brand#1', 'Brand#2'))
           AND p.project_id IN (SELECT project_id FROM {verifications} WHERE is_current AND status = 'VERIFIED')"""),
-    Operator("jn13_landmark_links", ("JN13",), lambda d: f"""
+    Operator("jn13_landmark_links", ("JN13",), lambda d: landmark_links(10) if d.name == "spark" else f"""
         SELECT project_id, landmark_id, round(min(km), 2) AS distance_km, max(importance) >= 90 AS is_highlighted
         FROM ({radius_join('{projects}', '(SELECT * FROM {landmarks} WHERE is_active)', 'l.project_id', 'r.landmark_id, r.importance', 10)}) t
         GROUP BY project_id, landmark_id"""),

@@ -253,7 +253,7 @@ def jn14_places_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and suppliers spread over the globe, poles and the 180th meridian included: pairs within 400 km."""
     left = _table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 7919 % 1801 / 10 - 90).alias("lat"), (F.col("c_custkey") * 104729 % 3601 / 10 - 180).alias("lon"))
     right = _table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") * 6007 % 181 - 90).cast("double").alias("lat"), (F.col("s_suppkey") * 3571 % 361 - 180).cast("double").alias("lon"))
-    return within_radius(left, right, 400.0).select("c_custkey", "s_suppkey", F.round("km", 6).alias("km"))
+    return within_radius(left, right, 400.0).select("c_custkey", "s_suppkey", (F.floor(F.col("km") * 1e6 + 0.5) / 1e6).alias("km"))
 
 
 def dml05_places(spark: SparkSession, sf_dir: str) -> DataFrame:

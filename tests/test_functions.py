@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cadastra.functions import geo
 from cadastra.functions import text as t
 from cadastra.functions.geo import haversine
 from cadastra.functions.html import listing_rows, map_coordinates, parse_page
@@ -222,3 +223,23 @@ def test_mhtml_headers_are_parsed_once():
     for _ in range(20):
         assert readers.html_of_mhtml(raw) == " <p>"
     assert parsed().misses == once
+
+
+def test_crowded_cells_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(geo, "SIDE", 50, raising=False)
+    # a pole is one cell, and these tables one partition each
+    left = spark.range(400).coalesce(1).selectExpr("id AS i", "89.0D + id / 1000 AS lat", "id * 7 % 360 - 180.0D AS lon")
+    right = spark.range(300).coalesce(1).selectExpr("id AS j", "89.9D - id / 1000 AS lat", "id * 11 % 360 - 180.0D AS lon")
+    rows = geo.within_radius(left, right, 400.0).withColumn("task", F.spark_partition_id()).collect()
+    assert len(rows) == len({(r.i, r.j) for r in rows}) == 400 * 300
+    assert len({r.task for r in rows}) >= 4
+
+
+@pytest.mark.parametrize("radius", [5e-6, 111.19492664455873, 20015.086796020572, 30000.0])
+def test_pairs_at_just_the_radius(spark, radius):
+    places = spark.createDataFrame([(0, 0.0, 0.0), (1, 1.0, 0.0), (2, 0.0, 180.0), (3, -1.0, 0.0), (4, 0.0, 4.5e-11)], "i long, lat double, lon double")
+    got = {(r.i, r.j): r.km for r in geo.within_radius(places, places.withColumnRenamed("i", "j"), radius).collect()}
+    pairs = places.alias("a").crossJoin(places.alias("b")).select(F.col("a.i").alias("i"), F.col("b.i").alias("j"), *(F.radians(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("lat", "lon")))
+    half = F.pow(F.sin((F.col("b_lat") - F.col("a_lat")) / 2), 2) + F.cos("a_lat") * F.cos("b_lat") * F.pow(F.sin((F.col("b_lon") - F.col("a_lon")) / 2), 2)
+    expected = {(r.i, r.j): r.km for r in pairs.withColumn("km", 2 * geo.EARTH_KM * F.asin(F.sqrt(F.least(half, F.lit(1.0))))).where(F.col("km") <= radius).collect()}
+    assert got == expected

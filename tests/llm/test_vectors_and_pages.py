@@ -198,3 +198,25 @@ def test_surt(spark):
     urls = ["http://user@WWW.Example.com:8080/a?b#c", "https://example.com", "mailto:x", None, "http:///x"]
     rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string").select("i", warc.surt(F.col("u")).alias("s")).orderBy("i").collect()
     assert [r.s for r in rows] == ["com,example,www)/a?b#c", "com,example)/", "mailto:x", "", "http:///x"]
+
+
+@pytest.mark.parametrize("shards", [1, 2, 5, 6])
+def test_any_two_shards_meet_once(spark, shards):
+    rows = spark.range(shards).select(F.col("id").cast("int").alias("of")).select("of", F.explode(hnsw._searched(shards)).alias("shard")).collect()
+    met = [frozenset((r.of, r["shard"])) for r in rows]
+    assert len(met) == len(set(met)) == shards * (shards + 1) // 2
+    # no shard's graph is searched by more than half of the others, and one
+    assert max(sum(r["shard"] == s for r in rows) for s in range(shards)) <= shards // 2 + 1
+
+
+def test_links_between_shards_count_at_both_ends(spark):
+    rng = np.random.default_rng(3)
+    centres = np.repeat(rng.normal(size=(20, 16)), 12, axis=0)
+    data = centres + 0.05 * rng.normal(size=centres.shape)
+    # equal vectors are one node with a count
+    data[1::12] = data[0::12]
+    unit = hnsw.unit_rows(data)
+    links = (unit @ unit.T >= 0.9).sum(1) - 1
+    frame = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(data)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in hnsw.near_duplicates(frame, Workspace(spark, "t")).collect()}
+    assert got == dict(enumerate(links.tolist()))
